@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import col, double, floor_div, round_half_up
+from ..functions.unroll import unroll
 from ..session import shuffle_partitions
 
 KM_PER_DEGREE = 111.32
@@ -33,11 +34,11 @@ def explode_grid(
     With ``spread`` the row list (one record per grid line) is shuffled before the lines
     are expanded, so that a single huge grid is produced by many tasks instead of one.
     """
-    lines = df.select("*", F.explode(ys).alias(y))
+    lines = unroll(df, ys, y)
     if spread:
         hashable = [c for c, t in lines.dtypes if "map<" not in t]
         lines = lines.repartition(shuffle_partitions(df), F.xxhash64(*hashable))
-    return lines.select("*", F.explode(xs).alias(x))
+    return unroll(lines, xs, x)
 
 
 def blocked_row_number(df: DataFrame, keys: Sequence[str], order: str, name: str, block: int = 65536) -> DataFrame:

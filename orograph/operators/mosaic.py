@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.numbers import col, double, floor_div, round_half_up
+from ..functions.unroll import residual
 from ..sources.catalogs import LANDCOVER_DEGREES, fetch_outcome_fill
 from .grids import explode_grid, int_range
 
@@ -83,7 +84,7 @@ def crop_windows(
         (F.col("x") >= F.col("left")) & (F.col("x") <= right) & (F.col("y") >= F.col("top")) & (F.col("y") <= bottom)
     )
     return (
-        joined.filter(inside)
+        joined.filter(residual(inside))
         .withColumn("x", F.col("x") - F.col("left"))
         .withColumn("y", F.col("y") - F.col("top"))
         .drop("_bx", "_by", "left", "top", "width", "height")

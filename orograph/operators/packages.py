@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import path_tile_coords
 from ..functions.numbers import double, is_finite
+from ..functions.unroll import unroll
 from .grids import blocked_row_number, int_range
 
 METERS_PER_DEGREE = 111320.0
@@ -45,7 +46,7 @@ def world_offsets(tiles: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFra
             F.min_by(F.greatest(F.lit(1.0), size), F.struct("row", "col")).alias("size_m")
         )
         ends = first.groupBy(*keys).agg(F.min(index).alias("_lo"), F.max(index).alias("_hi"))
-        every = ends.select(*keys, F.explode(int_range("_lo", "_hi")).alias(index))
+        every = unroll(ends, int_range("_lo", "_hi"), index).select(*keys, index)
         w = Window.partitionBy(*keys).orderBy(index).rowsBetween(Window.unboundedPreceding, -1)
         full = every.join(first, [*keys, index], "left")
         return full.select(*keys, index, F.coalesce(F.sum(F.coalesce("size_m", F.lit(0.0))).over(w), F.lit(0.0)).alias("offset_m"))

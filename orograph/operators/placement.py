@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import features as ft
 from ..functions import geo
 from ..functions.numbers import col, double
+from ..functions.unroll import unroll_indexed
 from .vectors import BOUNDS, min_vertices
 
 DEFAULT_RIBBON_WIDTH = 6.0
@@ -70,15 +71,10 @@ def road_ribbon_edges(roads: DataFrame, points: str = "points", width: str = "wi
     """
     p = F.col(points)
     n = F.size(p)
-    listed = roads.filter(n >= 2).select(
-        *[c for c in roads.columns if c != points],
-        F.posexplode(
-            F.transform(p, lambda v, i: F.struct(
-                v.alias("here"), F.get(p, F.greatest(i - 1, F.lit(0))).alias("before"),
-                F.get(p, F.least(i + 1, n - 1)).alias("after"),
-            ))
-        ).alias("pos", "_v"),
-    )
+    around = F.transform(p, lambda v, i: F.struct(
+        v.alias("here"), F.get(p, F.greatest(i - 1, F.lit(0))).alias("before"), F.get(p, F.least(i + 1, n - 1)).alias("after"),
+    ))
+    listed = unroll_indexed(roads.filter(n >= 2), around, "pos", "_v").drop(points)
     dx, dz = F.col("_v.after.x") - F.col("_v.before.x"), F.col("_v.after.z") - F.col("_v.before.z")
     size = F.sqrt(dx * dx + dz * dz)
     flat = size < 1e-10
@@ -104,10 +100,8 @@ def building_footprints_local(buildings: DataFrame, exaggeration: float = 1.5) -
     placed = placed.withColumn("base_y", ft.building_base_y(
         "centroid_x", "centroid_z", "width_m", "height_m", "elev_min", "elev_max", F.lit(exaggeration), "min_level", "height"
     ))
-    return placed.select(
-        *[c for c in buildings.columns if c not in ("footprint", "tags", *BOUNDS)], "centroid_x", "centroid_z", "base_y",
-        F.posexplode("_points").alias("pos", "_p"),
-    ).select("*", (F.col("_p.x") + F.col("offset_x")).alias("x"), (F.col("_p.z") + F.col("offset_z")).alias("z")).drop("_p")
+    listed = unroll_indexed(placed.drop("footprint", "tags", *BOUNDS), F.col("_points"), "pos", "_p").drop("_points")
+    return listed.select("*", (F.col("_p.x") + F.col("offset_x")).alias("x"), (F.col("_p.z") + F.col("offset_z")).alias("z")).drop("_p")
 
 
 def road_ribbons(roads: DataFrame, exaggeration: float = 1.5, offset: float = 0.1) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import clamp, col, double, round_half_up
+from ..functions.unroll import unroll
 from .grids import int_range
 
 
@@ -35,7 +36,7 @@ def _linear_axis(df: DataFrame, src: str, n_src: Column, n_dst: Column, dst: str
     safe = F.nullif(scale, F.lit(0.0))
     low = F.when(flat, F.lit(0.0)).otherwise((F.col(src) - 1) / safe)
     high = F.when(flat, _last(n_dst)).otherwise((F.col(src) + 1) / safe)
-    out = df.select("*", F.explode(_candidates(low, high, n_dst)).alias(dst))
+    out = unroll(df, _candidates(low, high, n_dst), dst)
     first = F.floor(F.col(dst) * scale)
     second = F.least(first + 1, n_src.cast("bigint") - 1)
     out = out.withColumn(f"_{dst}_low", first == F.col(src)).withColumn(f"_{dst}_high", second == F.col(src))
@@ -80,7 +81,7 @@ def _nearest_axis(df: DataFrame, src: str, n_src: Column, n_dst: Column, dst: st
     safe = F.nullif(span_src, F.lit(0.0))
     low = F.when(flat, F.lit(0.0)).otherwise((F.col(src) - 0.5) / safe * span_dst)
     high = F.when(flat, span_dst).otherwise((F.col(src) + 0.5) / safe * span_dst)
-    out = df.select("*", F.explode(_candidates(low, high, n_dst)).alias(dst))
+    out = unroll(df, _candidates(low, high, n_dst), dst)
     # A target of a single pixel reads index 0.
     hit = F.when(span_dst == 0, F.lit(0).cast("bigint")).otherwise(
         round_half_up(F.col(dst) / F.nullif(span_dst, F.lit(0.0)) * span_src)
@@ -109,7 +110,7 @@ def _lanczos_axis(df, keys, axis, other, n_src, n_dst, a, value, aggregated_size
     reach = stretch * float(a)
     low = (F.col(axis) - reach + 0.5) / scale - 0.5
     high = (F.col(axis) + reach + 0.5) / scale - 0.5
-    spread = df.select("*", F.explode(_candidates(low, high, n_dst)).alias("_t"))
+    spread = unroll(df, _candidates(low, high, n_dst), "_t")
     distance = ((F.col("_t") + 0.5) * scale - 0.5 - F.col(axis)) / stretch
     spread = spread.withColumn("_w", lanczos_weight(distance, a)).filter(F.abs(distance) < float(a))
     return spread.groupBy(*keys, F.col("_t").alias(axis), other, *aggregated_sizes).agg(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import clamp, col, double, is_finite
 from ..functions.rng import draw, draw_array
+from ..functions.unroll import unroll
 from .grids import blocked_row_number, explode_grid, int_range
 
 CAP_SALTS = 64
@@ -146,8 +147,8 @@ def height_cells(grid: DataFrame, keys: list[str], subdivisions: int, value: str
     def around(axis: str) -> Column:
         return int_range(F.greatest(F.col(axis) - 1, F.lit(0)), F.least(F.col(axis), F.lit(last)))
 
-    spread = grid.select(*keys, "x", "y", F.col(value).alias("_h"), F.explode(around("x")).alias("cell_x"))
-    spread = spread.select("*", F.explode(around("y")).alias("cell_z"))
+    base = grid.select(*keys, "x", "y", F.col(value).alias("_h"))
+    spread = unroll(unroll(base, around("x"), "cell_x"), around("y"), "cell_z")
 
     def corner(dx: int, dz: int) -> Column:
         hit = (F.col("x") - F.col("cell_x") == dx) & (F.col("y") - F.col("cell_z") == dz)

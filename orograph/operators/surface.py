@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import heights
 from ..functions.numbers import double, floor_div, is_finite, is_nodata
+from ..functions.unroll import unroll
 from .resample import resample_nearest
 
 HALO_BLOCK = 256
@@ -24,8 +25,7 @@ def halo_blocks(pixels: DataFrame, block: int = HALO_BLOCK, reach: int = 1) -> D
         low, high = floor_div(F.col(axis) - reach, block), floor_div(F.col(axis) + reach, block)
         return F.when(low == high, F.array(home)).when(low < home, F.array(low, home)).otherwise(F.array(home, high))
 
-    out = pixels.select("*", F.explode(blocks("x")).alias("_bx"))
-    out = out.select("*", F.explode(blocks("y")).alias("_by"))
+    out = unroll(unroll(pixels, blocks("x"), "_bx"), blocks("y"), "_by")
     own = (F.col("_bx") == floor_div("x", block)) & (F.col("_by") == floor_div("y", block))
     return out.withColumn("_own", own)
 

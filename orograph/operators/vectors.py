@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..functions.features import tag
 from ..functions.numbers import col, double, floor_div, round_half_up
+from ..functions.unroll import residual, unroll, unroll_indexed
 from .grids import int_range
 
 REGION_CELL = 0.5
@@ -64,8 +65,8 @@ def features_to_regions(
     """
 
     def cells(df, w, s, e, n):
-        out = df.select("*", F.explode(int_range(floor_div(w, cell), floor_div(e, cell))).alias("_cx"))
-        return out.select("*", F.explode(int_range(floor_div(s, cell), floor_div(n, cell))).alias("_cy"))
+        out = unroll(df, int_range(floor_div(w, cell), floor_div(e, cell)), "_cx")
+        return unroll(out, int_range(floor_div(s, cell), floor_div(n, cell)), "_cy")
 
     f = features.withColumns(feature_bbox("geometry")).withColumn(
         "_salt", F.pmod(F.xxhash64("type", "id"), F.lit(salt)).cast("int")
@@ -84,7 +85,7 @@ def features_to_regions(
     home = (F.col("_cx") == first_x) & (F.col("_cy") == first_y)
     return (
         f.join(r, ["_cx", "_cy", "_salt"])
-        .filter(meets & home)
+        .filter(residual(meets & home))
         .drop("_cx", "_cy", "_salt", "f_west", "f_south", "f_east", "f_north")
         .withColumnsRenamed({f"r_{b}": b for b in BOUNDS})
     )
@@ -143,10 +144,7 @@ def line_segments(features: DataFrame, geometry: str = "geometry", close: bool =
     second = F.slice(g, F.lit(2), F.greatest(n - 1, F.lit(0)))
     if close:
         second = F.concat(second, F.slice(g, F.lit(1), F.lit(1)))
-    pairs = features.filter(n >= 1).select(
-        *[c for c in features.columns if c != geometry],
-        F.posexplode(F.arrays_zip(first.alias("a"), second.alias("b"))).alias("seg", "_p"),
-    )
+    pairs = unroll_indexed(features.filter(n >= 1), F.arrays_zip(first.alias("a"), second.alias("b")), "seg", "_p").drop(geometry)
     return pairs.select(
         "*", F.col("_p.a.lat").alias("lat1"), F.col("_p.a.lon").alias("lon1"),
         F.col("_p.b.lat").alias("lat2"), F.col("_p.b.lon").alias("lon2"),
@@ -164,9 +162,8 @@ def pixel_segments(segments: DataFrame, width: int, height: int) -> DataFrame:
 
 def scanline_crossings(edges: DataFrame) -> DataFrame:
     """x where each edge crosses the scanlines it spans; the upper end belongs to the next edge."""
-    rows = edges.filter(F.col("y1") != F.col("y2")).select(
-        "*", F.explode(int_range(F.least("y1", "y2"), F.greatest("y1", "y2") - 1)).alias("y")
-    )
+    leaning = edges.filter(F.col("y1") != F.col("y2"))
+    rows = unroll(leaning, int_range(F.least("y1", "y2"), F.greatest("y1", "y2") - 1), "y")
     t = (F.col("y") - F.col("y1")) / (F.col("y2") - F.col("y1"))
     return rows.withColumn("cross_x", F.col("x1") + t * (F.col("x2") - F.col("x1")))
 
@@ -198,7 +195,7 @@ def bresenham_steps(segments: DataFrame) -> DataFrame:
     sized = segments.withColumn("_major", F.greatest(dx, dy)).withColumn("_minor", F.least(dx, dy)).withColumn(
         "_flat", dx >= dy
     )
-    steps = sized.select("*", F.explode(int_range(F.lit(0), F.col("_major"))).alias("_i"))
+    steps = unroll(sized, int_range(F.lit(0), F.col("_major")), "_i")
     turn = F.when(F.col("_major") == 0, F.lit(0).cast("bigint")).otherwise(
         F.floor((F.col("_i") * F.col("_minor") * 2 + F.col("_major") - 1) / F.nullif(F.col("_major") * 2, F.lit(0)))
     )
@@ -220,7 +217,7 @@ def line_spans(features: DataFrame, keys: list[str], width: int, height: int, li
     segments = pixel_segments(line_segments(sized.select(*keys, *BOUNDS, "_radius", "geometry")), width, height)
     steps = bresenham_steps(segments).select(*keys, "cx", "cy", "_radius").filter("_radius >= 0")
     reach = F.floor("_radius")
-    rows = steps.select("*", F.explode(int_range(-reach, reach)).alias("_dy"))
+    rows = unroll(steps, int_range(-reach, reach), "_dy")
     half = F.floor(F.sqrt(F.col("_radius") * F.col("_radius") - F.col("_dy") * F.col("_dy")))
     return rows.select(
         *keys, (F.col("cy") + F.col("_dy")).alias("y"),
@@ -244,8 +241,8 @@ def merge_spans(spans: DataFrame, keys: list[str]) -> DataFrame:
 
 def paint(spans: DataFrame, keys: list[str], value: int = 255) -> DataFrame:
     """Pixels of spans as a sparse mask; merged spans are disjoint, so there are no repeats."""
-    merged = merge_spans(spans, keys)
-    return merged.select(*keys, F.explode(int_range("x_from", "x_to")).alias("x"), "y", F.lit(value).alias("v"))
+    pixels = unroll(merge_spans(spans, keys), int_range("x_from", "x_to"), "x")
+    return pixels.select(*keys, "x", "y", F.lit(value).alias("v"))
 
 
 def rasterize_polygons(features, keys, feature_keys, width: int, height: int, value: int = 255) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import path_tile_coords
+from ..functions.unroll import unroll_indexed
 
 MASK_KEYS = ("roadMask", "waterMask", "vegetationMask", "buildingMask", "cliffMask")
 FILE_KEYS = ("heightmap", "albedo", *MASK_KEYS, "buildings3D", "roads3D")
@@ -41,7 +42,7 @@ def packages_from_text(files: DataFrame, path: str = "path", body: str = "body")
         folder.alias("folder"), is_tile.alias("_tile"), F.from_json(body, MANIFEST_SCHEMA).alias("manifest"),
     ).filter(F.size("manifest.tiles") > 0)
     roots = parsed.filter(~F.col("_tile"))
-    listed = roots.select("package", "folder", "manifest.tileGrid", F.posexplode("manifest.tiles").alias("pos", "tile"))
+    listed = unroll_indexed(roots, F.col("manifest.tiles"), "pos", "tile").select("package", "folder", "manifest.tileGrid", "pos", "tile")
     loose = parsed.filter("_tile").join(roots.select("package").distinct(), "package", "left_anti")
     firsts = loose.select(
         "package", "folder", "manifest.tileGrid", F.lit(0).alias("pos"), F.get(F.col("manifest.tiles"), F.lit(0)).alias("tile")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.unroll import unroll_indexed
+
 _POINTS = "array<struct<lat: double, lon: double>>"
 RESPONSE_SCHEMA = (
     f"elements array<struct<type: string, id: bigint, geometry: {_POINTS}, "
@@ -21,7 +23,7 @@ def parse_osm_json(responses: DataFrame, body: str = "body") -> DataFrame:
     """
     rest = [c for c in responses.columns if c != body]
     parsed = responses.select(*rest, F.from_json(body, RESPONSE_SCHEMA).alias("_r"))
-    items = parsed.select(*rest, F.posexplode("_r.elements").alias("pos", "_e"))
+    items = unroll_indexed(parsed, F.col("_r.elements"), "pos", "_e").drop("_r")
     own = F.coalesce(F.col("_e.geometry"), F.array().cast(_POINTS))
     members = F.filter(
         F.transform(F.coalesce(F.col("_e.members"), F.array().cast(f"array<struct<type: string, geometry: {_POINTS}>>")),

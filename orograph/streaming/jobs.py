@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.names import search_trigger, trimmed
+from ..functions.unroll import unroll
 
 # States after which a job does not change any more.
 TERMINAL_STATES = ("complete", "cancelled", "error")
@@ -46,9 +47,9 @@ def debounced_queries(queries: DataFrame, gap_seconds: int, bucket_seconds: int
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     home = F.floor(us / F.lit(bucket * 1_000_000))
     back = F.floor((us - gap_seconds * 1_000_000) / F.lit(bucket * 1_000_000))
-    cut = queries.select("user_id", "ts", "event_id", "q", us.alias("_us"), home.alias("_home"), F.explode(
-        F.when(back < home, F.array(home, home - 1)).otherwise(F.array(home))
-    ).alias("_bucket"))
+    timed = queries.select("user_id", "ts", "event_id", "q", us.alias("_us"), home.alias("_home"), back.alias("_back"))
+    both = F.when(F.col("_back") < F.col("_home"), F.array("_home", F.col("_home") - 1)).otherwise(F.array("_home"))
+    cut = unroll(timed, both, "_bucket")
     w = Window.partitionBy("user_id", "_bucket").orderBy("_us", "event_id")
     ahead = cut.withColumn("_next", F.lead("_us").over(w)).filter(F.col("_bucket") == F.col("_home"))
     fires = F.col("_next").isNull() | (F.col("_next") - F.col("_us") > gap_seconds * 1_000_000)

@@ -1,4 +1,4 @@
 """Queries of the library on the given tables, with the SQL that checks them."""
 
-from . import rasters, scalars  # noqa: F401
+from . import rasters, scalars, shapes  # noqa: F401
 from .base import ORACLES, QUERIES  # noqa: F401
