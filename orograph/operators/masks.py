@@ -80,9 +80,7 @@ def vegetation_mask(
     """
     graded = landcover.select(*mosaic_keys, "x", "y", vegetation_intensity("cls").cast("double").alias("v"))
     sized = windows.withColumn("_cw", F.col("width")).withColumn("_ch", F.col("height"))
-    cut = crop_windows(graded, windows, mosaic_keys, out_keys)
-    extra = sized.select(*dict.fromkeys([*mosaic_keys, *out_keys]), "_cw", "_ch")
-    cut = cut.join(extra, list(dict.fromkeys([*mosaic_keys, *out_keys])))
+    cut = crop_windows(graded, sized, mosaic_keys, out_keys, carry=["_cw", "_ch"])
     out = resample_lanczos(cut, out_keys, "_cw", "_ch", width, height, 2, "v")
     return out.withColumn("raw", F.col("v")).withColumn(
         "v", F.floor(clamp("v", F.lit(0.0), F.lit(255.0)) + 0.5).cast("int")

@@ -64,17 +64,19 @@ def mercator_window(boxes: DataFrame, zoom: str, min_x: str, min_y: str) -> Data
 
 
 def crop_windows(
-    pixels: DataFrame, windows: DataFrame, mosaic_keys: list[str], out_keys: list[str], block: int = WINDOW_BLOCK
+    pixels: DataFrame, windows: DataFrame, mosaic_keys: list[str], out_keys: list[str], block: int = WINDOW_BLOCK,
+    carry: list[str] | None = None,
 ) -> DataFrame:
     """Pixels of ``pixels`` inside each window, shifted to the corner of the window.
 
-    ``windows`` has mosaic_keys, out_keys, left, top, width, height. Windows are cut into
+    ``windows`` has mosaic_keys, out_keys, left, top, width, height; its columns in ``carry``
+    are added to the pixels. Windows are cut into
     blocks, which turns the range condition into an equality on (mosaic, block) and spreads one
     large mosaic over many tasks.
     """
     right, bottom = F.col("left") + F.col("width") - 1, F.col("top") + F.col("height") - 1
     cut = explode_grid(
-        windows.select(*mosaic_keys, *[k for k in out_keys if k not in mosaic_keys], "left", "top", "width", "height"),
+        windows.select(*dict.fromkeys([*mosaic_keys, *out_keys, *(carry or [])]), "left", "top", "width", "height"),
         int_range(floor_div("left", block), floor_div(right, block)),
         int_range(floor_div("top", block), floor_div(bottom, block)), "_bx", "_by",
     )

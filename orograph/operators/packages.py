@@ -96,8 +96,11 @@ def relocate_tile_files(tiles: DataFrame, files: list[str]) -> DataFrame:
 
 
 def package_elevation_range(tiles: DataFrame, keys: list[str], low: str = "z_min", high: str = "z_max") -> DataFrame:
-    out = tiles.groupBy(*keys).agg(F.min(low).alias("_lo"), F.max(high).alias("_hi"))
-    ok = is_finite("_lo")
+    """Lowest minimum and highest maximum of a package; 0..100 when the minimum is not finite."""
+    out = tiles.groupBy(*keys).agg(
+        F.min(low).alias("_lo"), F.max(high).alias("_hi"), F.bool_or(F.isnan(low)).alias("_nan")
+    )
+    ok = is_finite("_lo") & ~F.col("_nan")
     return out.select(
         *keys, F.when(ok, F.col("_lo")).otherwise(F.lit(0.0)).alias("package_min"),
         F.when(ok, F.col("_hi")).otherwise(F.lit(100.0)).alias("package_max"),
