@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import clamp, col, double, is_finite
-from ..functions.rng import draw, draw_array
+from ..functions.rng import draw_array, with_draw
 from ..functions.unroll import unroll
 from .grids import blocked_row_number, explode_grid, int_range
 
@@ -45,32 +45,42 @@ def scatter_candidates(tiles: DataFrame, keys: list[str], settings: ScatterSetti
     grid = explode_grid(sized, int_range(F.lit(0), F.col("_cols") - 1), int_range(F.lit(0), F.col("_rows") - 1), "_c", "_r", spread=True)
     grid = grid.withColumn("idx", F.col("_r") * F.col("_cols") + F.col("_c"))
 
-    def place(cell: str, size: str, turn: int) -> Column:
-        base = (F.col(cell) + 0.5) * spacing
-        shift = (draw(settings.seed, F.col("idx") * 2 + turn) * 2.0 - 1.0) * reach
-        return F.greatest(F.lit(0.0), F.least(F.col(size), base + shift))
+    for turn, name in enumerate(("_dx", "_dz")):
+        grid = with_draw(grid, settings.seed, F.col("idx") * 2 + turn, name)
 
-    return grid.select(*keys, "width_m", "height_m", "idx", place("_c", "width_m", 0).alias("px"), place("_r", "height_m", 1).alias("pz"))
+    def place(cell: str, size: str, number: str) -> Column:
+        moved = (F.col(cell) + 0.5) * spacing + (F.col(number) * 2.0 - 1.0) * reach
+        return F.greatest(F.lit(0.0), F.least(F.col(size), moved))
+
+    return grid.select(*keys, "width_m", "height_m", "idx", place("_c", "width_m", "_dx").alias("px"), place("_r", "height_m", "_dz").alias("pz"))
+
+
+def _mask_pixel(points: DataFrame, mask_w: int, mask_h: int, u, v) -> DataFrame:
+    """Mask pixel of each point as _mx, _my; -1, which no mask has, outside 0..1.
+
+    The pixel is never NULL, so the joins on it add no filters on the expressions behind it.
+    """
+    inside = col(u).between(0.0, 1.0) & col(v).between(0.0, 1.0)
+
+    def pixel(at, size: int) -> Column:
+        hit = F.least(F.floor(col(at) * size), F.lit(size - 1).cast("bigint"))
+        return F.coalesce(F.when(inside, hit), F.lit(-1).cast("bigint"))
+
+    return points.withColumns({"_mx": pixel(u, mask_w), "_my": pixel(v, mask_h)})
 
 
 def sample_mask_at_points(
     points: DataFrame, mask: DataFrame, keys: list[str], mask_w: int, mask_h: int, u, v, out: str = "mask_value"
 ) -> DataFrame:
     """Nearest mask value at (u, v) in 0..1, v downwards; 0 outside and where nothing is stored."""
-    inside = col(u).between(0.0, 1.0) & col(v).between(0.0, 1.0)
-    spot = points.withColumn("_mx", F.when(inside, F.least(F.floor(col(u) * mask_w), F.lit(mask_w - 1).cast("bigint")))).withColumn(
-        "_my", F.when(inside, F.least(F.floor(col(v) * mask_h), F.lit(mask_h - 1).cast("bigint")))
-    )
+    spot = _mask_pixel(points, mask_w, mask_h, u, v)
     values = mask.select(*keys, F.col("x").alias("_mx"), F.col("y").alias("_my"), F.col("v").alias(out))
     return spot.join(values, [*keys, "_mx", "_my"], "left").withColumn(out, F.coalesce(F.col(out), F.lit(0))).drop("_mx", "_my")
 
 
 def exclude_points_by_mask(points: DataFrame, mask: DataFrame, keys: list[str], mask_w: int, mask_h: int, u, v) -> DataFrame:
     """Points whose mask pixel is 0. Points outside the mask stay."""
-    inside = col(u).between(0.0, 1.0) & col(v).between(0.0, 1.0)
-    spot = points.withColumn("_mx", F.when(inside, F.least(F.floor(col(u) * mask_w), F.lit(mask_w - 1).cast("bigint")))).withColumn(
-        "_my", F.when(inside, F.least(F.floor(col(v) * mask_h), F.lit(mask_h - 1).cast("bigint")))
-    )
+    spot = _mask_pixel(points, mask_w, mask_h, u, v)
     taken = mask.filter("v > 0").select(*keys, F.col("x").alias("_mx"), F.col("y").alias("_my"))
     return spot.join(taken, [*keys, "_mx", "_my"], "left_anti").drop("_mx", "_my")
 
@@ -95,7 +105,7 @@ def cap_instances(points: DataFrame, keys: list[str], cap: int, seed: int, salts
     subset of a sequential shuffle; ``cap_instances_shuffled`` gives that one. Every tile is
     first cut to ``cap`` in ``salts`` parts, so the final ranking sees salts*cap rows at most.
     """
-    ranked = points.withColumn("_key", draw(seed, F.col("idx"))).withColumn("_salt", F.pmod(F.xxhash64("idx"), F.lit(salts)))
+    ranked = with_draw(points, seed, "idx", "_key").withColumn("_salt", F.pmod(F.xxhash64("idx"), F.lit(salts)))
     part = Window.partitionBy(*keys, "_salt").orderBy("_key", "idx")
     whole = Window.partitionBy(*keys).orderBy("_key", "idx")
     first = ranked.withColumn("_rn", F.row_number().over(part)).filter(F.col("_rn") <= cap)
@@ -167,7 +177,7 @@ def sample_height_at_points(
     gx = clamp(double(u), F.lit(0.0), F.lit(1.0)) * float(subdivisions)
     gz = clamp(double(v), F.lit(0.0), F.lit(1.0)) * float(subdivisions)
     spot = points.withColumn("_gx", gx).withColumn("_gz", gz)
-    spot = spot.withColumn("cell_x", F.least(F.floor("_gx"), last)).withColumn("cell_z", F.least(F.floor("_gz"), last))
+    spot = spot.withColumns({c: F.coalesce(F.least(F.floor(g), last), F.lit(0).cast("bigint")) for c, g in (("cell_x", "_gx"), ("cell_z", "_gz"))})
     got = spot.join(height_cells(grid, keys, subdivisions, value), [*keys, "cell_x", "cell_z"], "left")
     fx, fz = F.col("_gx") - F.col("cell_x"), F.col("_gz") - F.col("cell_z")
     near = F.col("h00") * (1.0 - fx) + F.col("h10") * fx
@@ -220,11 +230,10 @@ def instance_transforms(
     seed = settings.seed + 2
     rows = blocked_row_number(instances, keys, order, "_i").withColumn("_i", F.col("_i") - 1)
     per = 2 if settings.random_rotation else 1
-    rows = rows.withColumn(
-        "_s", F.lit(settings.min_scale) + draw(seed, F.col("_i") * per) * (settings.max_scale - settings.min_scale)
-    )
+    rows = with_draw(rows, seed, F.col("_i") * per, "_s")
+    rows = rows.withColumn("_s", F.lit(settings.min_scale) + F.col("_s") * (settings.max_scale - settings.min_scale))
     if settings.random_rotation:
-        rows = rows.withColumn("_a", draw(seed, F.col("_i") * 2 + 1) * math.pi * 2.0)
+        rows = with_draw(rows, seed, F.col("_i") * 2 + 1, "_a").withColumn("_a", F.col("_a") * math.pi * 2.0)
         rows = rows.withColumn("_sc", F.col("_s") * F.cos("_a")).withColumn("_ss", F.col("_s") * F.sin("_a"))
     else:
         rows = rows.withColumn("_sc", F.col("_s")).withColumn("_ss", F.lit(0.0))
