@@ -31,9 +31,9 @@ def debounced_queries_stream(queries: DataFrame, gap: str, delay: str = "0 secon
     if events.isStreaming:
         events = events.withWatermark("ts", delay)
     last = events.groupBy("user_id", F.session_window("ts", gap).alias("_w")).agg(
-        F.max_by(F.struct("q", "ts"), F.struct("ts", "event_id")).alias("_l"), F.count(F.lit(1)).alias("n_events")
+        F.max_by(F.struct("q", "ts", "event_id"), F.struct("ts", "event_id")).alias("_l"), F.count(F.lit(1)).alias("n_events")
     )
-    return last.select("user_id", F.col("_l.ts").alias("ts"), trimmed("_l.q").alias("q"), "n_events").filter(search_trigger("q"))
+    return last.select("user_id", F.col("_l.ts").alias("ts"), F.col("_l.event_id").alias("event_id"), trimmed("_l.q").alias("q"), "n_events").filter(search_trigger("q"))
 
 
 def debounced_queries(queries: DataFrame, gap_seconds: int, bucket_seconds: int | None = None) -> DataFrame:
