@@ -31,13 +31,15 @@ def halo_blocks(pixels: DataFrame, block: int = HALO_BLOCK, reach: int = 1) -> D
 
 
 def slope_grid(
-    pixels: DataFrame, keys: list[str], value: str = "z", block: int = HALO_BLOCK, cell_size: float = 1.0
+    pixels: DataFrame, keys: list[str], value: str = "z", block: int = HALO_BLOCK, cell_size: float = 1.0,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Slope in degrees by central differences, one-sided at the border of the raster.
 
-    Distances are pixels unless ``cell_size`` gives the ground size of one.
+    Distances are pixels unless ``cell_size`` gives the ground size of one. Columns named in
+    ``carry`` stay.
     """
-    base = pixels.select(*keys, "x", "y", double(value).alias("_z"))
+    base = pixels.select(*keys, "x", "y", double(value).alias("_z"), *carry)
     cut = halo_blocks(base, block)
     place = [*keys, "_bx", "_by"]
     cut = cut.repartition(*[F.col(c) for c in place])
@@ -55,7 +57,7 @@ def slope_grid(
 
     out = cut.withColumn("_dx", gradient("x", across)).withColumn("_dy", gradient("y", down)).filter("_own")
     steep = F.sqrt(F.col("_dx") * F.col("_dx") + F.col("_dy") * F.col("_dy"))
-    return out.select(*keys, "x", "y", F.degrees(F.atan(steep)).alias("slope"))
+    return out.select(*keys, "x", "y", F.degrees(F.atan(steep)).alias("slope"), *carry)
 
 
 def cliff_mask(
@@ -63,8 +65,9 @@ def cliff_mask(
     sparse: bool = False,
 ) -> DataFrame:
     """255 where the slope reaches the threshold, resized to ``resolution`` by nearest pixel."""
-    mask = slope_grid(pixels, keys, value).select(
-        *keys, "x", "y", heights.threshold_mask("slope", F.lit(float(threshold))).alias("v")
+    sizes = tuple(c for c in (width, height) if isinstance(c, str))
+    mask = slope_grid(pixels, keys, value, carry=sizes).select(
+        *keys, "x", "y", heights.threshold_mask("slope", F.lit(float(threshold))).alias("v"), *sizes
     )
     if sparse:
         mask = mask.filter("v > 0")
