@@ -15,7 +15,9 @@ from ..functions.unroll import residual
 from ..sources.catalogs import LANDCOVER_DEGREES, fetch_outcome_fill
 from .grids import explode_grid, int_range
 
-WINDOW_BLOCK = 256
+# Small against common windows, so that few pixels meet a window they are not in; a window is
+# cut into one record per 1024 of its pixels.
+WINDOW_BLOCK = 32
 
 
 def mosaic_tiles(

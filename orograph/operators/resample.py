@@ -12,20 +12,23 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbers import clamp, col, double, round_half_up
+from ..functions.numbers import col, double, round_half_up
 from ..functions.unroll import unroll
 from .grids import int_range
 
 
+SLACK = 1e-6
+
+
 def _last(n: Column) -> Column:
     return n.cast("double") - 1.0
 
 
 def _candidates(low: Column, high: Column, n_dst: Column) -> Column:
-    zero = F.lit(0.0)
+    """Whole numbers between two bounds, widened by more than the bounds can be off."""
+    zero = F.lit(0).cast("bigint")
     return int_range(
-        clamp(F.floor(low).cast("double") - 1.0, zero, _last(n_dst)),
-        clamp(F.ceil(high).cast("double") + 1.0, zero, _last(n_dst)),
+        F.greatest(zero, F.ceil(low - SLACK)), F.least(n_dst.cast("bigint") - 1, F.floor(high + SLACK))
     )
 
 

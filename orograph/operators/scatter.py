@@ -214,8 +214,12 @@ def scatter_instances(
 
 
 def finite_groups(transforms: DataFrame, keys: list[str], matrix: str = "matrix") -> DataFrame:
-    """Rows of the groups in which all matrix values are finite; other groups are left out whole."""
-    bad = transforms.filter(~F.forall(matrix, is_finite)).select(*keys).distinct()
+    """Rows of the groups in which all matrix values are finite; other groups are left out whole.
+
+    The test is an aggregation, so that no filter on the whole matrix expression is pushed down.
+    """
+    tested = transforms.groupBy(*keys).agg(F.bool_and(F.forall(matrix, is_finite)).alias("_finite"))
+    bad = tested.filter(~F.col("_finite")).select(*keys)
     return transforms.join(bad, keys, "left_anti")
 
 

@@ -50,6 +50,7 @@ class TerrainPackage:
     stats: DataFrame
     quantized: DataFrame
     masks: DataFrame
+    features: DataFrame
     buildings: DataFrame
     roads: DataFrame
 
@@ -87,7 +88,7 @@ def plan_terrain_package(
     )
     buildings = placement.extract_buildings(local.filter(vectors.tag_filter("buildings")), F.lit(settings.building_height))
     roads = placement.extract_roads(local.filter(vectors.tag_filter("roads")))
-    return TerrainPackage(tiles, cut, heights, stats, quantized, painted, buildings, roads)
+    return TerrainPackage(tiles, cut, heights, stats, quantized, painted, local, buildings, roads)
 
 
 def package_report(package: TerrainPackage, area_key: str, settings: PackageSettings) -> DataFrame:
@@ -102,8 +103,11 @@ def package_report(package: TerrainPackage, area_key: str, settings: PackageSett
     )
     levels = package.quantized.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_pixels"), F.sum("q").alias("level_sum"))
     out = base.join(package.stats, keys, "left").join(levels, keys, "left").join(painted, keys, "left")
-    for name, part in (("n_buildings", package.buildings), ("n_roads", package.roads)):
-        out = out.join(part.groupBy(*keys).agg(F.count(F.lit(1)).alias(name)), keys, "left")
+    found = package.features.groupBy(*keys).agg(*[
+        F.count_if(vectors.tag_filter(kind) & vectors.min_vertices("geometry", use)).alias(name)
+        for name, kind, use in (("n_buildings", "buildings", "building"), ("n_roads", "roads", "road"))
+    ])
+    out = out.join(found, keys, "left")
     counts = [f"{k}_px" for k in kinds] + ["n_buildings", "n_roads", "n_pixels", "level_sum"]
     return out.fillna(0, counts)
 

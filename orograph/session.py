@@ -9,6 +9,8 @@ RECOMMENDED = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Call sites of every expression cost more than the expressions in plans of this size.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -129,6 +129,15 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def deal(df: DataFrame) -> DataFrame:
+    """Rows dealt to all cores.
+
+    The given tables are single small files that one task reads; operators that multiply rows
+    before their first shuffle would run in that task. Tables of many files need no such step.
+    """
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def fx(spark: SparkSession, sf: str, name: str) -> DataFrame:
     source, exprs = SHARED[name]
     return table(spark, sf, source).selectExpr(*exprs)
@@ -136,7 +145,7 @@ def fx(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def boxes(spark, sf) -> DataFrame:
     """Boxes with valid bounds."""
-    return fx(spark, sf, "boxes").filter("west < east")
+    return deal(fx(spark, sf, "boxes").filter("west < east"))
 
 
 def features(spark, sf) -> DataFrame:
@@ -155,7 +164,7 @@ def features(spark, sf) -> DataFrame:
 
     r, rv = k % 7 + 2, k % 5 + 2
     zero = F.lit(0)
-    shaped = table(spark, sf, "orders").select(
+    shaped = deal(table(spark, sf, "orders").select("o_orderkey")).select(
         F.floor(k / SHEET_FEATURES).alias("sheet"), F.when(k % 10 == 0, F.lit("relation")).otherwise(F.lit("way")).alias("type"),
         k.alias("id"), F.array(spot(-r, zero), spot(zero, -rv), spot(r, zero), spot(zero, rv)).alias("geometry"),
         (k % total).alias("part_id"),

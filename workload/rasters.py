@@ -8,7 +8,7 @@ from orograph.functions import geo, heights
 from orograph.operators import grids, masks, mosaic, resample, surface
 from orograph.sources import catalogs, r16
 
-from .base import GX, GY, K, TILE, boxes, div, fx, q6, query, r6, table, with_ctes
+from .base import GX, GY, K, TILE, boxes, deal, div, fx, q6, query, r6, table, with_ctes
 from .scalars import INTENSITY, zoom_sql
 
 TILE_KEYS = ["tile_row", "tile_col"]
@@ -174,7 +174,7 @@ HUNDRED = {
 
 
 def hundred(spark, sf, name="dem", value="z"):
-    return fx(spark, sf, name).select(F.floor(F.col("gy") / 100).alias("mosaic"), F.col("gx").alias("x"), (F.col("gy") % 100).alias("y"), value)
+    return deal(fx(spark, sf, name)).select(F.floor(F.col("gy") / 100).alias("mosaic"), F.col("gx").alias("x"), (F.col("gy") % 100).alias("y"), value)
 
 
 def on_mosaics(spark, sf, frame):
@@ -213,7 +213,7 @@ def _(spark, sf):
     small = table(spark, sf, "customer").selectExpr(*SMALL)
     windows = mosaic.georef_window(small, F.lit(100), F.lit(100), F.lit(0.0), F.lit(1.0), F.lit(0.01), F.lit(0.01))
     pixels, windows = on_mosaics(spark, sf, windows)
-    return mosaic.crop_windows(pixels, windows, ["mosaic"], ["box_id"], block=32).select("box_id", "x", "y", "z")
+    return mosaic.crop_windows(pixels, windows, ["mosaic"], ["box_id"]).select("box_id", "x", "y", "z")
 
 
 DW, DH = 64, 37
@@ -237,7 +237,7 @@ def bilinear_cte(name, source, keys, sw, sh, dw, dh):
 
 @query("resample_bilinear", with_ctes("dem", **bilinear_cte("bl", "dem", TILE_KEYS, TILE, TILE, DW, DH)) + f"SELECT tile_row, tile_col, x, y, {q6('z')} AS z FROM bl")
 def _(spark, sf):
-    out = resample.resample_bilinear(fx(spark, sf, "dem"), TILE_KEYS, TILE, TILE, DW, DH)
+    out = resample.resample_bilinear(deal(fx(spark, sf, "dem")), TILE_KEYS, TILE, TILE, DW, DH)
     return out.select(*TILE_KEYS, "x", "y", r6("z").alias("z"))
 
 
@@ -248,7 +248,7 @@ def nearest_sql(source, keys, sw, sh, dw, dh, value):
 
 @query("resample_nearest", with_ctes("landcover") + nearest_sql("landcover", TILE_KEYS, TILE, TILE, 31, 77, "cls"))
 def _(spark, sf):
-    return resample.resample_nearest(fx(spark, sf, "landcover"), TILE_KEYS, TILE, TILE, 31, 77, ("cls",))
+    return resample.resample_nearest(deal(fx(spark, sf, "landcover")), TILE_KEYS, TILE, TILE, 31, 77, ("cls",))
 
 
 def lanczos_cte(name, source, keys, sw, sh, dw, dh, a):
@@ -272,7 +272,7 @@ def lanczos_cte(name, source, keys, sw, sh, dw, dh, a):
 @query("resample_lanczos", with_ctes("landcover", g=f"SELECT tile_row, tile_col, x, y, {INTENSITY} AS v FROM landcover",
        **lanczos_cte("lz", "g", TILE_KEYS, TILE, TILE, 20, 33, 3)) + f"SELECT tile_row, tile_col, x, y, {q6('v')} AS v FROM lz")
 def _(spark, sf):
-    graded = fx(spark, sf, "landcover").select(*TILE_KEYS, "x", "y", heights.vegetation_intensity("cls").alias("v"))
+    graded = deal(fx(spark, sf, "landcover")).select(*TILE_KEYS, "x", "y", heights.vegetation_intensity("cls").alias("v"))
     return resample.resample_imagery(graded, TILE_KEYS, TILE, TILE, 20, 33).select(*TILE_KEYS, "x", "y", r6("v").alias("v"))
 
 

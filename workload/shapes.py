@@ -9,7 +9,7 @@ from orograph.functions.heights import vegetation_intensity
 from orograph.operators import grids, masks, placement, vectors
 from orograph.sources import gazetteer, osm, shapes
 
-from .base import K, KIND_SQL, SIDE, boxes, features, fx, line_cte, polygon_cte, q6, query, r6, recursive, table, with_ctes
+from .base import K, KIND_SQL, SIDE, boxes, deal, features, fx, line_cte, polygon_cte, q6, query, r6, recursive, table, with_ctes
 from .rasters import SPLIT
 from .scalars import BRIDGE_SQL, FLOORS_SQL, HEIGHT_SQL, INTENSITY, LAYER_SQL, MINLEVEL_SQL, ROOF_SQL, WIDTH_SQL
 
@@ -136,7 +136,7 @@ WORLD = {"wf": "SELECT point_id AS id, lon, lat, lon + (point_id % 13) / 20e0 AS
 
 
 def world(spark, sf):
-    p = fx(spark, sf, "points")
+    p = deal(fx(spark, sf, "points"))
     far = F.struct((F.col("lat") + F.col("point_id") % 7 / 10).alias("lat"), (F.col("lon") + F.col("point_id") % 13 / 20).alias("lon"))
     return p.select(F.lit("way").alias("type"), F.col("point_id").alias("id"), F.array(F.struct("lat", "lon"), far).alias("geometry"), F.col("zoom").alias("tag"))
 
