@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from ..functions.heights import vegetation_intensity
 from ..functions.numbers import clamp, double
 from ..functions.unroll import unroll
+from ..session import settle
 from .mosaic import crop_windows
 from .resample import resample_lanczos, resample_nearest
 from .surface import cliff_mask
-from .vectors import line_spans, paint, polygon_spans, tag_filter, union_regions
+from .vectors import fill_spans, line_spans, merge_spans, paint, polygon_spans, tag_filter, union_regions
 
 # Kind, settings flag, where the data come from, how features are drawn.
 MASK_KINDS = [
@@ -143,51 +144,28 @@ def generate_masks(
     """All enabled masks of a plan (keys, kind, line_px), water and roads taken off vegetation.
 
     ``features`` has keys and the box columns; ``vegetation`` is a finished vegetation mask.
-    A kind without features has no pixels, and no kind waits for another one.
+    A kind without features has no pixels. Drawn masks are needed twice, as a result and to clear
+    vegetation; their merged spans, much fewer than their pixels, are settled in between.
     """
     names = [*keys, "kind", "x", "y", "v"]
     kinds = {"water": tag_filter("water"), "building": tag_filter("buildings")}
     listed = F.filter(F.array(*[F.when(cond, F.lit(k)) for k, cond in kinds.items()]), lambda k: k.isNotNull())
     filled = unroll(features, listed, "kind").join(plan.select(*keys, "kind").distinct(), [*keys, "kind"], "left_semi")
-    areas = paint(polygon_spans(filled, [*keys, "kind"], feature_keys, resolution, resolution), [*keys, "kind"])
+    drawn = polygon_spans(filled, [*keys, "kind"], feature_keys, resolution, resolution)
+    areas = fill_spans(settle(merge_spans(drawn, [*keys, "kind"])), [*keys, "kind"])
     px = plan.filter("kind = 'road'").groupBy(*keys).agg(F.max("line_px").alias("_px"))
-    roads = feature_mask(features.join(px, keys), "road", keys, feature_keys, resolution, resolution, "_px")
+    lines = line_spans(features.filter(tag_filter("roads")).join(px, keys), keys, resolution, resolution, "_px")
+    roads = fill_spans(settle(merge_spans(lines, keys)), keys)
     wanted = plan.filter("kind = 'cliff'").select(*keys).distinct()
     cliffs = cliff_mask(
         elevation.join(wanted, keys, "left_semi"), keys, *elevation_size, cliff_threshold, resolution, sparse=True
     )
-    cleared = _clear_vegetation(plan, vegetation, areas, roads, keys)
-    return union_regions([cleared.select(*names), cliffs.withColumn("kind", F.lit("cliff")).select(*names)])
+    def tiles(kind):
+        return plan.filter(F.col("kind") == kind).select(*keys).distinct()
 
-
-def _clear_vegetation(plan: DataFrame, vegetation: DataFrame, areas: DataFrame, roads: DataFrame, keys: list[str]) -> DataFrame:
-    """Drawn masks and the vegetation left beside them, in one aggregation by pixel.
-
-    The same rule as ``subtract_masks``; the drawn masks are part of the result, so they are
-    brought together with the vegetation once instead of being computed again for a join.
-    """
-    def has(kind):
-        return F.bool_or(F.col("kind") == kind).alias(f"has_{kind}")
-
-    tiles = plan.groupBy(*keys).agg(has("vegetation"), has("water"), has("road"))
-    plants = vegetation.filter("v > 0").join(tiles.filter("has_vegetation"), keys)
-    none, no = F.lit(None).cast("int"), F.lit(False)
-
-    def layer(df, **given):
-        values = {"plant": none, "water": none, "road": none, "building": none, "has_water": no, "has_road": no} | given
-        return df.select(*keys, "x", "y", *[c.alias(n) for n, c in values.items()])
-
-    def drawn(kind):
-        return F.when(F.col("kind") == kind, F.col("v"))
-
-    every = union_regions([
-        layer(plants, plant=F.col("v"), has_water=F.col("has_water"), has_road=F.col("has_road")),
-        layer(areas, water=drawn("water"), building=drawn("building")), layer(roads, road=F.col("v")),
-    ])
-    pixel = every.groupBy(*keys, "x", "y").agg(
-        *[F.max(c).alias(c) for c in ("plant", "water", "road", "building")], *[F.bool_or(c).alias(c) for c in ("has_water", "has_road")]
+    plants = subtract_masks(
+        vegetation.filter("v > 0").join(tiles("vegetation"), keys, "left_semi"), areas.filter("kind = 'water'"), roads, keys,
+        tiles("water"), tiles("road"),
     )
-    under = F.col("has_water") & (F.col("water").isNotNull() | (F.col("has_road") & F.col("road").isNotNull()))
-    values = {"vegetation": F.when(~under, F.col("plant")), "water": F.col("water"), "road": F.col("road"), "building": F.col("building")}
-    rows = F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("v")) for k, v in values.items()])
-    return pixel.select(*keys, "x", "y", F.inline(rows)).filter("v IS NOT NULL")
+    parts = [("road", roads), ("cliff", cliffs), ("vegetation", plants)]
+    return union_regions([areas.select(*names), *[d.withColumn("kind", F.lit(k)).select(*names) for k, d in parts]])

@@ -32,6 +32,20 @@ def _candidates(low: Column, high: Column, n_dst: Column) -> Column:
     )
 
 
+def _sizes(*sizes) -> tuple:
+    """Sizes as columns, and the names of those that have to travel with the pixels."""
+    return (*[col(s) for s in sizes], list(dict.fromkeys(s for s in sizes if isinstance(s, str))))
+
+
+def _at_least_two(n: Column, given) -> Column:
+    message = "the target needs at least 2x2 pixels"
+    if isinstance(given, int):
+        if given < 2:
+            raise ValueError(message)
+        return n
+    return F.when(n < 2, F.raise_error(F.lit(message))).otherwise(n)
+
+
 def _linear_axis(df: DataFrame, src: str, n_src: Column, n_dst: Column, dst: str) -> DataFrame:
     """Target positions that use source position ``src`` as lower or upper neighbour."""
     scale = _last(n_src) / F.nullif(_last(n_dst), F.lit(0.0))
@@ -54,22 +68,20 @@ def resample_bilinear(
     Sizes are numbers or columns of ``pixels`` that are constant per key. The four neighbours
     are gathered by a conditional maximum, so the result does not depend on summation order.
     """
-    sizes = {"_sw": col(src_w), "_sh": col(src_h), "_dw": col(dst_w), "_dh": col(dst_h)}
-    base = pixels.select(*keys, "x", "y", double(value).alias("_z"), *[c.alias(n) for n, c in sizes.items()])
-    small = (F.col("_dw") < 2) | (F.col("_dh") < 2)
-    base = base.withColumn("_dw", F.when(small, F.raise_error(F.lit("the target needs at least 2x2 pixels"))).otherwise(F.col("_dw")))
-    spread = _linear_axis(base, "x", F.col("_sw"), F.col("_dw"), "tx")
-    spread = _linear_axis(spread, "y", F.col("_sh"), F.col("_dh"), "ty")
+    sw, sh, dw, dh, carried = _sizes(src_w, src_h, dst_w, dst_h)
+    base = pixels.select(*keys, "x", "y", double(value).alias("_z"), *carried)
+    dw, dh = _at_least_two(dw, dst_w), _at_least_two(dh, dst_h)
+    spread = _linear_axis(base, "x", sw, dw, "tx")
+    spread = _linear_axis(spread, "y", sh, dh, "ty")
 
     def corner(a: str, b: str) -> Column:
         return F.coalesce(F.max(F.when(F.col(a) & F.col(b), F.col("_z"))), F.lit(0.0))
 
-    got = spread.groupBy(*keys, "tx", "ty", *sizes).agg(
+    got = spread.groupBy(*keys, "tx", "ty", *carried).agg(
         corner("_tx_low", "_ty_low").alias("_v00"), corner("_tx_high", "_ty_low").alias("_v01"),
         corner("_tx_low", "_ty_high").alias("_v10"), corner("_tx_high", "_ty_high").alias("_v11"),
     )
-    sx = F.col("tx") * (_last(F.col("_sw")) / _last(F.col("_dw")))
-    sy = F.col("ty") * (_last(F.col("_sh")) / _last(F.col("_dh")))
+    sx, sy = F.col("tx") * (_last(sw) / _last(dw)), F.col("ty") * (_last(sh) / _last(dh))
     fx, fy = sx - F.floor(sx), sy - F.floor(sy)
     top = F.col("_v00") * (1.0 - fx) + F.col("_v01") * fx
     bottom = F.col("_v10") * (1.0 - fx) + F.col("_v11") * fx
@@ -114,8 +126,8 @@ def _lanczos_axis(df, keys, axis, other, n_src, n_dst, a, value, aggregated_size
     low = (F.col(axis) - reach + 0.5) / scale - 0.5
     high = (F.col(axis) + reach + 0.5) / scale - 0.5
     spread = unroll(df, _candidates(low, high, n_dst), "_t")
-    distance = ((F.col("_t") + 0.5) * scale - 0.5 - F.col(axis)) / stretch
-    spread = spread.withColumn("_w", lanczos_weight(distance, a)).filter(F.abs(distance) < float(a))
+    spread = spread.withColumn("_d", ((F.col("_t") + 0.5) * scale - 0.5 - F.col(axis)) / stretch)
+    spread = spread.filter(F.abs("_d") < float(a)).withColumn("_w", lanczos_weight(F.col("_d"), a))
     return spread.groupBy(*keys, F.col("_t").alias(axis), other, *aggregated_sizes).agg(
         (F.sum(F.col("_w") * F.col(value)) / F.sum("_w")).alias(value)
     )
@@ -125,13 +137,12 @@ def resample_lanczos(
     pixels: DataFrame, keys: list[str], src_w, src_h, dst_w, dst_h, a: int = 3, value: str = "v"
 ) -> DataFrame:
     """Separable Lanczos resize; taps outside the raster are dropped and the rest renormalised."""
-    names = ["_sw", "_sh", "_dw", "_dh"]
+    sw, sh, dw, dh, carried = _sizes(src_w, src_h, dst_w, dst_h)
     base = pixels.select(
-        *keys, F.col("x").cast("bigint").alias("x"), F.col("y").cast("bigint").alias("y"), double(value).alias(value),
-        *[col(c).alias(n) for n, c in zip(names, (src_w, src_h, dst_w, dst_h))],
+        *keys, F.col("x").cast("bigint").alias("x"), F.col("y").cast("bigint").alias("y"), double(value).alias(value), *carried
     )
-    wide = _lanczos_axis(base, keys, "x", "y", F.col("_sw"), F.col("_dw"), a, value, names)
-    high = _lanczos_axis(wide, keys, "y", "x", F.col("_sh"), F.col("_dh"), a, value, names)
+    wide = _lanczos_axis(base, keys, "x", "y", sw, dw, a, value, carried)
+    high = _lanczos_axis(wide, keys, "y", "x", sh, dh, a, value, carried)
     return high.select(*keys, "x", "y", value)
 
 

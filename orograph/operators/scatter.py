@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import clamp, col, double, is_finite
 from ..functions.rng import draw_array, with_draw
 from ..functions.unroll import unroll
+from ..session import settle
 from .grids import blocked_row_number, explode_grid, int_range
 
 CAP_SALTS = 64
@@ -130,6 +131,7 @@ def cap_instances_shuffled(points: DataFrame, keys: list[str], cap: int, seed: i
     The choice depends on the number of points only, so Python sees one row per crowded tile
     and returns ``cap`` positions; the points themselves stay in Spark. Adds ``slot``.
     """
+    points = settle(points)
     numbered = blocked_row_number(points, keys, "idx", "_pos").withColumn("_pos", F.col("_pos") - 1)
     counts = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     key_fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.select(*keys).schema)
@@ -232,7 +234,7 @@ def instance_transforms(
     numbered block-wise, so one crowded tile does not end up in one task.
     """
     seed = settings.seed + 2
-    rows = blocked_row_number(instances, keys, order, "_i").withColumn("_i", F.col("_i") - 1)
+    rows = blocked_row_number(settle(instances), keys, order, "_i").withColumn("_i", F.col("_i") - 1)
     per = 2 if settings.random_rotation else 1
     rows = with_draw(rows, seed, F.col("_i") * per, "_s")
     rows = rows.withColumn("_s", F.lit(settings.min_scale) + F.col("_s") * (settings.max_scale - settings.min_scale))

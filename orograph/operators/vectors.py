@@ -240,8 +240,13 @@ def merge_spans(spans: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def paint(spans: DataFrame, keys: list[str], value: int = 255) -> DataFrame:
-    """Pixels of spans as a sparse mask; merged spans are disjoint, so there are no repeats."""
-    pixels = unroll(merge_spans(spans, keys), int_range("x_from", "x_to"), "x")
+    """Pixels of spans as a sparse mask."""
+    return fill_spans(merge_spans(spans, keys), keys, value)
+
+
+def fill_spans(merged: DataFrame, keys: list[str], value: int = 255) -> DataFrame:
+    """Pixels of merged spans; these are disjoint, so there are no repeats."""
+    pixels = unroll(merged, int_range("x_from", "x_to"), "x")
     return pixels.select(*keys, "x", "y", F.lit(value).alias("v"))
 
 

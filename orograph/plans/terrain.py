@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, names
 from ..operators import checks, grids, masks, mosaic, placement, resample, surface, vectors
+from ..session import settle
 from ..sources import catalogs, manifests
 
 SIDES = ("west", "south", "east", "north")
@@ -63,8 +64,9 @@ def plan_terrain_package(
 
     ``areas`` has the key and a box; ``elevation`` (key, x, y, z) and ``landcover`` (key, x, y, cls)
     are rasters that start at the north-west corner of the area; ``features`` has type, id,
-    geometry and tags. Nothing runs until a table is written or read, and all tiles of all areas
-    are processed together.
+    geometry and tags. All tiles of all areas are processed together. The heights and the
+    features of each tile, which several tables read, are settled when the plan is made if the
+    session has a checkpoint folder; all else runs when a table is written or read.
     """
     keys = [area_key, "row", "col"]
     size = settings.resolution
@@ -74,11 +76,11 @@ def plan_terrain_package(
         tiles, F.lit(georef.width), F.lit(georef.height), "area_west", "area_north", F.lit(georef.pixel_deg), F.lit(georef.pixel_deg)
     ).withColumn("_cw", F.col("width")).withColumn("_ch", F.col("height"))
     cut = mosaic.crop_windows(elevation, windows, [area_key], keys, carry=["_cw", "_ch"])
-    heights = resample.resample_bilinear(cut, keys, "_cw", "_ch", size, size)
+    heights = settle(resample.resample_bilinear(cut, keys, "_cw", "_ch", size, size))
     stats = surface.elevation_stats(heights, keys)
     quantized = surface.quantize_heights(heights, keys)
 
-    local = vectors.features_to_regions(features, tiles.select(*keys, *SIDES), keys)
+    local = settle(vectors.features_to_regions(features, tiles.select(*keys, *SIDES), keys))
     plan = tiles.select(*keys, F.explode(F.array(*[F.lit(k) for k, on in settings.switches.items() if on])).alias("kind")).withColumn(
         "line_px", F.lit(settings.road_px)
     )

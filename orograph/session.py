@@ -26,7 +26,16 @@ def shuffle_partitions(df: DataFrame) -> int:
 
 def use_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | None:
     """Shared checkpoint folder named by the cluster; ``fallback`` only where none is named."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or fallback
-    if folder:
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or fallback
+    if folder and spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return folder
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Compute a table that several later steps read, once.
+
+    It is written to the checkpoint folder, so a lost executor does not lose it. Without a
+    folder the table stays a plan and every reader computes it; the results are the same.
+    """
+    return df.checkpoint() if use_checkpoint_dir(df.sparkSession) else df
