@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +30,6 @@ class PackageSettings:
     cliff_threshold: float = 45.0
     road_px: int = 3
     building_height: float = 10.0
-    vegetation: bool = True
     created_by: str = "orograph"
     switches: dict[str, bool] = field(default_factory=lambda: {k: True for k, *_ in masks.MASK_KINDS})
 
@@ -43,54 +43,81 @@ class Georeference:
     pixel_deg: float
 
 
-@dataclass(frozen=True)
 class TerrainPackage:
-    tiles: DataFrame
-    elevation: DataFrame
-    heights: DataFrame
-    stats: DataFrame
-    quantized: DataFrame
-    masks: DataFrame
-    features: DataFrame
-    buildings: DataFrame
-    roads: DataFrame
-
-
-def plan_terrain_package(
-    areas: DataFrame, area_key: str, elevation: DataFrame, landcover: DataFrame, features: DataFrame,
-    georef: Georeference, settings: PackageSettings = PackageSettings(),
-) -> TerrainPackage:
-    """Declare the tables of an export.
+    """The tables of an export, each declared when it is asked for.
 
     ``areas`` has the key and a box; ``elevation`` (key, x, y, z) and ``landcover`` (key, x, y, cls)
     are rasters that start at the north-west corner of the area; ``features`` has type, id,
     geometry and tags. All tiles of all areas are processed together. The heights and the
-    features of each tile, which several tables read, are settled when the plan is made if the
-    session has a checkpoint folder; all else runs when a table is written or read.
+    features of each tile, which several tables read, are settled if the session has a
+    checkpoint folder; all else runs when a table is written or read.
     """
-    keys = [area_key, "row", "col"]
-    size = settings.resolution
-    usable = checks.validate_bounds(areas).filter("valid").select(area_key, *SIDES)
-    tiles = grids.tile_grid(usable.withColumn("area_north", F.col("north")).withColumn("area_west", F.col("west")), F.lit(settings.tile_km))
-    windows = mosaic.georef_window(
-        tiles, F.lit(georef.width), F.lit(georef.height), "area_west", "area_north", F.lit(georef.pixel_deg), F.lit(georef.pixel_deg)
-    ).withColumn("_cw", F.col("width")).withColumn("_ch", F.col("height"))
-    cut = mosaic.crop_windows(elevation, windows, [area_key], keys, carry=["_cw", "_ch"])
-    heights = settle(resample.resample_bilinear(cut, keys, "_cw", "_ch", size, size))
-    stats = surface.elevation_stats(heights, keys)
-    quantized = surface.quantize_heights(heights, keys)
-
-    local = settle(vectors.features_to_regions(features, tiles.select(*keys, *SIDES), keys))
-    plan = tiles.select(*keys, F.explode(F.array(*[F.lit(k) for k, on in settings.switches.items() if on])).alias("kind")).withColumn(
-        "line_px", F.lit(settings.road_px)
-    )
-    plants = masks.vegetation_mask(landcover, windows.drop("_cw", "_ch"), [area_key], keys, size, size)
-    painted = masks.generate_masks(
-        plan, local, cut, plants.select(*keys, "x", "y", "v"), keys, ["type", "id"], size, ("_cw", "_ch"), settings.cliff_threshold
-    )
-    buildings = placement.extract_buildings(local.filter(vectors.tag_filter("buildings")), F.lit(settings.building_height))
-    roads = placement.extract_roads(local.filter(vectors.tag_filter("roads")))
-    return TerrainPackage(tiles, cut, heights, stats, quantized, painted, local, buildings, roads)
+
+    def __init__(
+        self, areas: DataFrame, area_key: str, elevation: DataFrame, landcover: DataFrame, features: DataFrame,
+        georef: Georeference, settings: PackageSettings = PackageSettings(),
+    ):
+        self.area_key, self.keys, self.settings = area_key, [area_key, "row", "col"], settings
+        self._areas, self._elevation, self._landcover, self._features = areas, elevation, landcover, features
+        self._georef = georef
+
+    @cached_property
+    def tiles(self) -> DataFrame:
+        usable = checks.validate_bounds(self._areas).filter("valid").select(self.area_key, *SIDES)
+        corners = usable.withColumns({"area_north": F.col("north"), "area_west": F.col("west")})
+        return grids.tile_grid(corners, F.lit(self.settings.tile_km))
+
+    @cached_property
+    def windows(self) -> DataFrame:
+        """Pixel window of each tile in the rasters of its area."""
+        g = self._georef
+        found = mosaic.georef_window(
+            self.tiles, F.lit(g.width), F.lit(g.height), "area_west", "area_north", F.lit(g.pixel_deg), F.lit(g.pixel_deg)
+        )
+        return found.withColumns({"_cw": F.col("width"), "_ch": F.col("height")})
+
+    @cached_property
+    def elevation(self) -> DataFrame:
+        """Elevation pixels of each tile before any resize; slopes are taken from these."""
+        return mosaic.crop_windows(self._elevation, self.windows, [self.area_key], self.keys, carry=["_cw", "_ch"])
+
+    @cached_property
+    def heights(self) -> DataFrame:
+        size = self.settings.resolution
+        return settle(resample.resample_bilinear(self.elevation, self.keys, "_cw", "_ch", size, size))
+
+    @cached_property
+    def stats(self) -> DataFrame:
+        return surface.elevation_stats(self.heights, self.keys)
+
+    @cached_property
+    def quantized(self) -> DataFrame:
+        return surface.quantize_heights(self.heights, self.keys)
+
+    @cached_property
+    def features(self) -> DataFrame:
+        return settle(vectors.features_to_regions(self._features, self.tiles.select(*self.keys, *SIDES), self.keys))
+
+    @cached_property
+    def masks(self) -> DataFrame:
+        size, on = self.settings.resolution, [k for k, yes in self.settings.switches.items() if yes]
+        plan = self.tiles.select(*self.keys, F.explode(F.array(*[F.lit(k) for k in on])).alias("kind"))
+        plan = plan.withColumn("line_px", F.lit(self.settings.road_px))
+        plants = masks.vegetation_mask(
+            self._landcover, self.windows.drop("_cw", "_ch"), [self.area_key], self.keys, size, size
+        ).select(*self.keys, "x", "y", "v")
+        return masks.generate_masks(
+            plan, self.features, self.elevation, plants, self.keys, ["type", "id"], size, ("_cw", "_ch"), self.settings.cliff_threshold
+        )
+
+    @cached_property
+    def buildings(self) -> DataFrame:
+        found = self.features.filter(vectors.tag_filter("buildings"))
+        return placement.extract_buildings(found, F.lit(self.settings.building_height))
+
+    @cached_property
+    def roads(self) -> DataFrame:
+        return placement.extract_roads(self.features.filter(vectors.tag_filter("roads")))
 
 
 def package_report(package: TerrainPackage, area_key: str, settings: PackageSettings) -> DataFrame:

@@ -279,7 +279,7 @@ def package(spark, sf):
     shift = F.lit(9.0) - F.col("sheet") % count
     moved = features(spark, sf).withColumn("_up", shift)
     moved = moved.withColumn("geometry", F.transform("geometry", lambda p: F.struct((p["lat"] + F.col("_up")).alias("lat"), p["lon"].alias("lon"))))
-    return terrain.plan_terrain_package(areas, "area_id", elevation, cover, moved.select("type", "id", "geometry", "tags"), terrain.Georeference(100, 100, 0.01), SETTINGS)
+    return terrain.TerrainPackage(areas, "area_id", elevation, cover, moved.select("type", "id", "geometry", "tags"), terrain.Georeference(100, 100, 0.01), SETTINGS)
 
 
 R = SETTINGS.resolution
