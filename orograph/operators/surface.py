@@ -19,6 +19,8 @@ def halo_blocks(pixels: DataFrame, block: int = HALO_BLOCK, reach: int = 1) -> D
     Adds _bx, _by and _own (false for copies). Neighbourhood operators then need one shuffle by
     block; no group grows beyond (block + 2*reach)**2 pixels however large a raster is.
     """
+    if block < 2 * reach:
+        raise ValueError("a block must be at least twice as wide as the margin")
 
     def blocks(axis: str) -> Column:
         home = floor_div(axis, block)

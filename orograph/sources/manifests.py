@@ -53,8 +53,7 @@ def packages_from_text(files: DataFrame, path: str = "path", body: str = "body")
 def read_packages(spark: SparkSession, path: str) -> DataFrame:
     """Scan a folder of packages. One manifest is one small document."""
     files = (
-        spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-        .option("pathGlobFilter", MANIFEST_NAME).text(path)
+        spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=MANIFEST_NAME)
         .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("body"))
     )
     return packages_from_text(files)

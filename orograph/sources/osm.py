@@ -40,7 +40,7 @@ def parse_osm_json(responses: DataFrame, body: str = "body") -> DataFrame:
 
 def read_osm_features(spark: SparkSession, path: str) -> DataFrame:
     """Features of all response files under ``path``, one JSON document per file."""
-    files = spark.read.option("wholetext", True).text(path).select(
+    files = spark.read.text(path, wholetext=True).select(
         F.col("value").alias("body"), F.col("_metadata.file_path").alias("file")
     )
     return parse_osm_json(files)
