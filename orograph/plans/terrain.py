@@ -160,15 +160,9 @@ def package_manifests(report: DataFrame, area_key: str, settings: PackageSetting
         out = out.join(present, keys, "left").withColumns({
             m: F.when(F.coalesce(F.array_contains("_present", m), F.lit(False)), F.col(m)) for m in mask_key.values()
         }).drop("_present")
-    out = catalogs.describe_sources(out.withColumn("_dem", F.lit(settings.dem_source)), "_dem", "elevation").withColumnsRenamed(
-        {"name": "dem_name", "attribution": "dem_by"}
-    ).drop("dataset", "needs_key", "source_error")
-    out = catalogs.describe_sources(out.withColumn("_img", F.lit(settings.imagery_source)), "_img", "imagery").withColumnsRenamed(
-        {"name": "img_name", "attribution": "img_by"}
-    )
-
-    def source(i, n, a):
-        return F.struct(F.col(i).alias("id"), F.col(n).alias("name"), F.col(a).alias("attribution"))
+    def source(source_id):
+        name, attribution = catalogs.source_info(source_id)
+        return F.struct(F.lit(source_id).alias("id"), F.lit(name).alias("name"), F.lit(attribution).alias("attribution"))
 
     files = F.struct(
         "heightmap", "albedo", *[F.col(m).alias(m) for m in mask_key.values()],
@@ -182,7 +176,7 @@ def package_manifests(report: DataFrame, area_key: str, settings: PackageSetting
         "bounds": F.struct(*SIDES), "row": F.col("row"), "col": F.col("col"), "width_m": F.col("width_m"), "height_m": F.col("height_m"),
         "z_min": F.col("z_min"), "z_max": F.col("z_max"), "has_nodata": F.col("has_nodata"),
         "display_min": surface.display_elevation("z_min"), "display_max": surface.display_elevation("z_max"), "files": files,
-        "dem": source("_dem", "dem_name", "dem_by"), "imagery": source("_img", "img_name", "img_by"), "preset": F.lit(settings.preset),
+        "dem": source(settings.dem_source), "imagery": source(settings.imagery_source), "preset": F.lit(settings.preset),
         "flags": flags, "resolution": F.lit(settings.resolution), "albedo_resolution": F.lit(settings.resolution),
         "name": F.concat(F.lit("Terrain_"), F.col(area_key).cast("string")), "created_by": F.lit(settings.created_by),
         "created_at": F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"),

@@ -83,6 +83,14 @@ def source_registry(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, REGISTRY_SCHEMA)
 
 
+def source_info(source_id: str) -> tuple[str, str]:
+    """Name and attribution of one source."""
+    for known, name, attribution, *_ in ELEVATION_SOURCES + IMAGERY_SOURCES:
+        if known == source_id:
+            return name, attribution
+    raise ValueError(f"unknown source: {source_id}")
+
+
 def describe_sources(df: DataFrame, source_col: str, kind: str) -> DataFrame:
     """Add name, attribution, dataset and key need of a source; an unknown id gives an error.
 

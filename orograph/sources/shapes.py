@@ -27,13 +27,8 @@ def shape_rings_to_features(vertices: DataFrame, keys: list[str]) -> DataFrame:
         .agg(F.array_sort(F.collect_list(F.struct("ord", "x", "y"))).alias("_v"))
         .withColumn("_v", F.transform("_v", lambda p: F.array(p["x"], p["y"])))
     )
-    lines = rings.filter((F.col("shape_type") == LINE_TYPE) & (F.size("_v") >= 2)).select(
-        *keys, "shape_type", F.col("ring").alias("part"), F.array("_v").alias("rings")
-    )
-    polygons = (
-        rings.filter(F.col("shape_type") == POLYGON_TYPE)
-        .groupBy(*keys, "shape_type")
-        .agg(F.array_sort(F.collect_list(F.struct("ring", "_v"))).alias("_r"))
-        .select(*keys, "shape_type", F.lit(0).cast("bigint").alias("part"), F.transform("_r", lambda r: r["_v"]).alias("rings"))
-    )
-    return lines.unionByName(polygons)
+    is_line = F.col("shape_type") == LINE_TYPE
+    usable = rings.filter((is_line & (F.size("_v") >= 2)) | (F.col("shape_type") == POLYGON_TYPE))
+    parts = usable.withColumn("part", F.when(is_line, F.col("ring").cast("bigint")).otherwise(F.lit(0).cast("bigint")))
+    grouped = parts.groupBy(*keys, "shape_type", "part").agg(F.array_sort(F.collect_list(F.struct("ring", "_v"))).alias("_r"))
+    return grouped.select(*keys, "shape_type", "part", F.transform("_r", lambda r: r["_v"]).alias("rings"))

@@ -124,9 +124,10 @@ RING_TYPE = "CASE {k} % 3 WHEN 0 THEN 3 WHEN 1 THEN 5 ELSE 0 END"
 def _(spark, sf):
     kind = F.when(F.col("id") % 3 == 0, F.lit(3)).when(F.col("id") % 3 == 1, F.lit(5)).otherwise(F.lit(0)).alias("shape_type")
     listed = features(spark, sf).select("id", kind, F.posexplode("geometry").alias("ord", "p"))
-    v = listed.select("id", "shape_type", F.floor(F.col("ord") / 2).alias("ring"), "ord", F.col("p.lon").alias("x"), F.col("p.lat").alias("y"))
-    extra = v.filter("ord = 0").withColumn("ring", F.lit(2).cast("bigint"))
-    out = shapes.shape_rings_to_features(v.unionByName(extra), ["id"])
+    ring = F.floor(F.col("ord") / 2)
+    rings = F.explode(F.when(F.col("ord") == 0, F.array(ring, F.lit(2).cast("bigint"))).otherwise(F.array(ring))).alias("ring")
+    v = listed.select("id", "shape_type", rings, "ord", F.col("p.lon").alias("x"), F.col("p.lat").alias("y"))
+    out = shapes.shape_rings_to_features(v, ["id"])
     xs = F.transform("rings", lambda r: F.array_join(F.transform(r, lambda p: F.round(p[0] * 255).cast("bigint").cast("string")), ","))
     return out.select("id", "shape_type", "part", F.size("rings").alias("n_rings"), F.array_join(xs, ";").alias("xs"))
 
