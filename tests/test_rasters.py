@@ -48,6 +48,16 @@ def test_slope_does_not_depend_on_the_blocks(spark, block):
                 assert got[t, x, y] == pytest.approx(want[y, x], abs=1e-9)
 
 
+def test_slope_beside_holes(spark):
+    a = noise(11, 3, 5)
+    df = raster(spark, {1: a}).filter("NOT (x = 2 AND y = 1)")
+    got = as_dict(surface.slope_grid(df, ["tile"], dense=False), "slope")
+    gx, gy = a[1, 1] - a[1, 0], (a[2, 1] - a[0, 1]) / 2
+    assert len(got) == 14 and got[1, 1, 1] == pytest.approx(math.degrees(math.atan(math.hypot(gx, gy))))
+    full = as_dict(surface.slope_grid(raster(spark, {1: a}), ["tile"], dense=False), "slope")
+    assert full == as_dict(surface.slope_grid(raster(spark, {1: a}), ["tile"]), "slope")
+
+
 def test_slope_groups_stay_small_for_one_large_tile(spark):
     pixels = spark.range(40000).select(F.lit(1).alias("tile"), (F.col("id") % 200).alias("x"), F.floor(F.col("id") / 200).alias("y"), F.rand(1).alias("z"))
     cut = surface.halo_blocks(pixels, 32)
