@@ -83,8 +83,13 @@ class TerrainPackage:
 
     @cached_property
     def heights(self) -> DataFrame:
-        size = self.settings.resolution
-        return settle(resample.resample_bilinear(self.elevation, self.keys, "_cw", "_ch", size, size))
+        """Resized elevation; a tile without any elevation reads as 0, like a failed download."""
+        size, keys = self.settings.resolution, self.keys
+        found = settle(resample.resample_bilinear(self.elevation, keys, "_cw", "_ch", size, size))
+        missing = self.tiles.select(*keys).join(found.select(*keys).distinct(), keys, "left_anti")
+        side = grids.int_range(F.lit(0), F.lit(size - 1))
+        blank = grids.explode_grid(missing, side, side, spread=True).withColumn("z", F.lit(0.0))
+        return found.unionByName(blank.select(*found.columns))
 
     @cached_property
     def stats(self) -> DataFrame:

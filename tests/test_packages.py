@@ -143,16 +143,18 @@ def test_written_package(spark, tmp_path):
         [("way", 1, square(9.2, 0.2), {"building": "yes"}), ("way", 2, square(9.45, 0.45), {"natural": "water"}), ("way", 3, square(9.7, 0.1)[:2], {"highway": "path"})],
         "type string, id bigint, geometry array<struct<lat: double, lon: double>>, tags map<string,string>")
     settings = terrain.PackageSettings(tile_km=55.66, resolution=16, height_format="r16")
+    areas = areas.unionByName(spark.createDataFrame([(3, 2.0, 1.0, 2.4, 1.4)], areas.schema))
     p = terrain.TerrainPackage(areas, "area_id", px.withColumn("z", (F.col("x") + F.col("y")) / 4), px.withColumn("cls", F.lit(10)), feats, terrain.Georeference(100, 100, 0.01), settings)
     terrain.write_package(p, str(tmp_path), "area_id", settings)
-    assert spark.read.parquet(str(tmp_path / "heights")).count() == 4 * 256
+    heights = spark.read.parquet(str(tmp_path / "heights"))
+    assert heights.count() == 5 * 256 and heights.filter("area_id = 3").agg(F.count("q"), F.max("q")).collect()[0] == (256, 0)
     kinds = {r["kind"]: r["count"] for r in spark.read.parquet(str(tmp_path / "masks")).groupBy("kind").count().collect()}
     assert set(kinds) == {"road", "water", "building", "vegetation"} and kinds["vegetation"] < 4 * 256
     texts = spark.read.text(str(tmp_path / "manifests"), wholetext=False)
     docs = [json.loads(r["value"]) for r in texts.collect()]
-    assert len(docs) == 4 and {(d["tiles"][0]["row"], d["tiles"][0]["col"]) for d in docs} == {(0, 0), (0, 1), (1, 0), (1, 1)}
+    assert len(docs) == 5 and {(d["tiles"][0]["row"], d["tiles"][0]["col"]) for d in docs} == {(0, 0), (0, 1), (1, 0), (1, 1)}
     assert all(d["tiles"][0]["elevation"]["min"] <= d["tiles"][0]["elevation"]["max"] and "seamStitching" not in d["processing"] for d in docs)
     again = manifests.packages_from_text(texts.select(F.concat(F.lit("pk/tile_"), F.col("tile_row").cast("string"), F.lit("_"), F.col("tile_col").cast("string"), F.lit("/manifest.json")).alias("path"), F.col("value").alias("body")))
-    assert again.count() == 4
+    assert again.count() == 5
     buildings = [json.loads(r["value"]) for r in spark.read.json(str(tmp_path / "buildings")).collect()]
-    assert len(buildings) == 4 and sum(len(b) for b in buildings) == 1
+    assert len(buildings) == 5 and sum(len(b) for b in buildings) == 1

@@ -133,9 +133,10 @@ def deal(df: DataFrame) -> DataFrame:
     """Rows dealt to all cores.
 
     The given tables are single small files that one task reads; operators that multiply rows
-    before their first shuffle would run in that task. Tables of many files need no such step.
+    before their first shuffle would run in that task. Tables with a split per core stay as they are.
     """
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def fx(spark: SparkSession, sf: str, name: str) -> DataFrame:
