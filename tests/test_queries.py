@@ -31,7 +31,7 @@ def con():
 def test_rows_equal_the_sql(spark, con, name):
     got = QUERIES[name](spark, SF).toArrow()
     if name in ORACLES:
-        assert compare(got, con.execute(ORACLES[name]).to_arrow_table()) is None
+        assert compare(got, con.sql(ORACLES[name]).to_arrow_table()) is None
 
 
 @pytest.mark.parametrize("name", NAMES)
