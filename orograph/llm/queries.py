@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
+from . import byte_bpe, decontamination
 from . import token_counts as tokens
 from .registry import ORACLES, QUERIES, query, table  # noqa: F401
 
@@ -11,3 +12,37 @@ from .registry import ORACLES, QUERIES, query, table  # noqa: F401
 @query("op2_token_counts")
 def op2_token_counts(spark, sf):
     return tokens.token_counts(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op8_byte_bpe")
+def op8_byte_bpe(spark, sf):
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return byte_bpe.digests(byte_bpe.decode(byte_bpe.encode(table(spark, sf, "documents"), ranks, offsets=False), ranks))
+
+
+SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+WORDS = f"list_filter(regexp_split_to_array({LOWERED}, '{SEPARATORS}'), lambda w: w <> '')"
+
+OP6_SQL = f"""
+WITH item AS (SELECT CAST(item_id AS VARCHAR) AS item, {WORDS} AS w FROM benchmark),
+win AS (
+  SELECT item, array_to_string(w[i:i + 9], ' ') AS g, CAST(least(len(w), 10) AS BIGINT) AS n
+  FROM item, unnest(range(1, greatest(1, len(w) - 9) + 1)) t(i) WHERE len(w) > 0
+),
+doc AS (SELECT doc_id, {WORDS} AS w FROM documents),
+gram AS (
+  SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS g
+  FROM doc, (SELECT DISTINCT n FROM win) l, unnest(range(1, CAST(len(w) AS BIGINT) - n + 2)) t(i)
+),
+hit AS (SELECT doc_id, i, gram.n, item FROM gram JOIN win USING (n, g)),
+words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM hit, unnest(range(i, i + n)) t(p) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM doc LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+
+@query("op6_benchmark_decontamination", OP6_SQL)
+def op6_benchmark_decontamination(spark, sf):
+    return decontamination.summary(decontamination.find_windows(table(spark, sf, "documents"), table(spark, sf, "benchmark")))
