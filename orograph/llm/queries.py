@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import byte_bpe, decontamination
+from . import byte_bpe, decontamination, licenses, pii
 from . import token_counts as tokens
 from .registry import ORACLES, QUERIES, query, table  # noqa: F401
 
@@ -46,3 +46,13 @@ FROM doc LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
 @query("op6_benchmark_decontamination", OP6_SQL)
 def op6_benchmark_decontamination(spark, sf):
     return decontamination.summary(decontamination.find_windows(table(spark, sf, "documents"), table(spark, sf, "benchmark")))
+
+
+@query("op10_pii")
+def op10_pii(spark, sf):
+    return pii.summary(pii.find_spans(table(spark, sf, "documents")))
+
+
+@query("op5_license_scan")
+def op5_license_scan(spark, sf):
+    return licenses.summary(table(spark, sf, "documents"))
