@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import byte_bpe, decontamination, licenses, pii
+from . import byte_bpe, decontamination, fingerprints, licenses, pii
 from . import token_counts as tokens
 from .registry import ORACLES, QUERIES, query, table  # noqa: F401
 
@@ -56,3 +56,8 @@ def op10_pii(spark, sf):
 @query("op5_license_scan")
 def op5_license_scan(spark, sf):
     return licenses.summary(table(spark, sf, "documents"))
+
+
+@query("op7_fingerprints")
+def op7_fingerprints(spark, sf):
+    return fingerprints.edit_report(table(spark, sf, "documents"))
