@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .shared import checkpointed
+
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 MIN_SHARE = 0.5
 #: Diagonals this far apart, at most, are one span (words put in or left out).
@@ -110,7 +112,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def summary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: words, base places, labels and a score (best share among its spans)."""
-    found = votes(docs, templates(docs.sparkSession), id_col, text_col)
+    found = checkpointed(votes(docs, templates(docs.sparkSession), id_col, text_col))  # read by three branches
     place = F.when(F.col("base"), F.col("first"))
     no_span = [F.lit(None).cast(t).alias(n) for n, t in (("base", "boolean"), ("label", "string"), ("first", "int"), ("share", "double"))]
     rows = found.filter("template IS NULL").select("id", "text_key", F.coalesce(F.col("p") + 1, F.lit(0)).alias("n_words"), "copies", *no_span)

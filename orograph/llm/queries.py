@@ -4,11 +4,19 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import byte_bpe, decontamination, fingerprints, licenses, pii
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from . import byte_bpe, decontamination, fingerprints, language, licenses, pii, quality
 from . import token_counts as tokens
 from .registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
+def remainder(n: int) -> Column:
+    """crc32 of the id as text, modulo ``n``; -1 for a null id."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % n, F.lit(-1))
+
+
 @query("op2_token_counts")
 def op2_token_counts(spark, sf):
     return tokens.token_counts(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -61,3 +69,21 @@ def op5_license_scan(spark, sf):
 @query("op7_fingerprints")
 def op7_fingerprints(spark, sf):
     return fingerprints.edit_report(table(spark, sf, "documents"))
+
+
+QUALITY_LIMIT = 0.7
+
+
+@query("op3_quality_classifier")
+def op3_quality_classifier(spark, sf):
+    docs = table(spark, sf, "documents")
+    model = quality.train(docs, table(spark, sf, "labels").filter(remainder(4) != 2))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", (remainder(4) == 2).alias("held_out"), "score", (F.col("score") >= QUALITY_LIMIT).cast("int").alias("predicted"))
+
+
+@query("op9_language_id")
+def op9_language_id(spark, sf):
+    docs = table(spark, sf, "documents")
+    found = language.predict(docs, language.train(docs.filter(remainder(5) != 0)))
+    return found.select("doc_id", (remainder(5) == 0).alias("held_out"), "lang_pred", "score")
