@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontamination, fingerprints, language, licenses, pii, quality
+from . import byte_bpe, decontamination, fingerprints, language, licenses, near_copies, pii, quality
 from . import token_counts as tokens
 from .registry import ORACLES, QUERIES, query, table  # noqa: F401
 
@@ -87,3 +87,29 @@ def op9_language_id(spark, sf):
     docs = table(spark, sf, "documents")
     found = language.predict(docs, language.train(docs.filter(remainder(5) != 0)))
     return found.select("doc_id", (remainder(5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+OP4_SQL = r"""
+WITH doc AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents
+),
+gram AS MATERIALIZED (
+  SELECT DISTINCT doc_id, hash(array_to_string(CASE WHEN len(w) < 5 THEN w ELSE w[i:i + 4] END, ' ')) AS g
+  FROM doc, unnest(range(1, greatest(1, len(w) - 4) + 1)) t(i) WHERE len(w) > 0
+),
+size AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM gram GROUP BY doc_id),
+link AS MATERIALIZED (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM gram x JOIN gram y USING (g) WHERE x.doc_id <> y.doc_id GROUP BY ALL)
+  JOIN size sa ON sa.doc_id = a JOIN size sb ON sb.doc_id = b WHERE 100 * c >= 75 * (sa.n + sb.n - c)
+),
+reach AS (
+  WITH RECURSIVE r(a, b) AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM r JOIN link l ON r.b = l.a) SELECT a, min(b) AS b FROM r GROUP BY a
+)
+SELECT doc.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(doc.doc_id, coalesce(b, doc.doc_id)) AS component_id
+FROM doc LEFT JOIN size USING (doc_id) LEFT JOIN reach ON reach.a = doc.doc_id"""
+
+
+@query("op4_ngram_jaccard_join", OP4_SQL)
+def op4_ngram_jaccard_join(spark, sf):
+    return near_copies.near_copies(table(spark, sf, "documents"))
