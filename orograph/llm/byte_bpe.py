@@ -18,7 +18,7 @@ rows; extra columns are ignored. Nulls in the id column stay.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -224,9 +224,9 @@ def decode(encoded: DataFrame, rank_path: str, id_col: str = "doc_id", ids_col:
     return rows.mapInArrow(run, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, `{ids_col}` array<int>, decoded binary")
 
 
-def digests(decoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Number of ids and digests of the ids (decimal, joined by commas) and of the decoded bytes."""
+def digests(decoded: DataFrame, id_col: str = "doc_id", keep: Sequence[str] = ()) -> DataFrame:
+    """Number of ids and digests of the ids (decimal, joined by commas) and of the decoded bytes; ``keep`` names columns that stay."""
     return decoded.select(
-        id_col, F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        id_col, *keep, F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )

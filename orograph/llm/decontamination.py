@@ -25,7 +25,8 @@ from functools import lru_cache
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import id_and_text, slices
@@ -93,6 +94,40 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def sent_blocks(benchmark: DataFrame, words: int, item_col: str, text_col: str) -> list[Broadcast]:
+    """The blocks of windows, sent to the executors one by one."""
+    context = benchmark.sparkSession.sparkContext
+    return [context.broadcast(zlib.compress(pickle.dumps(b))) for b in window_blocks(windows_of(benchmark, words, item_col, text_col))]
+
+
+def scan(texts: list[str], blocks: list[Broadcast]) -> tuple[list[int], list[list[tuple[int, int]]], list[set[str]]]:
+    """Numbers of words, merged spans of hit words, and items found, for each text."""
+    split = [normal_words(t.encode()) for t in texts]
+    lines = [(b" " + b" ".join(w) + b" ").decode("latin-1") if w else "" for w in split]
+    hits: list[list[tuple[int, int]]] = [[] for _ in texts]
+    items: list[set[str]] = [set() for _ in texts]
+    for block in blocks:
+        machine = automaton(block.value)
+        for k, line in enumerate(lines):
+            spans, names = occurrences(line, machine)
+            if spans:
+                hits[k] += spans
+                items[k] |= names
+    return [len(w) for w in split], [merged(h) for h in hits], items
+
+
+def hit_column(text: Column, benchmark: DataFrame, words: int = WINDOW, item_col: str = "item_id", item_text_col: str = "text") -> Column:
+    """Whether any window occurs in the text, as a column expression, for rows whose other columns are to stay."""
+    blocks = sent_blocks(benchmark, words, item_col, item_text_col)
+
+    @F.arrow_udf("boolean")
+    def run(texts: pa.Array) -> pa.Array:
+        parts = slices(iter([pa.RecordBatch.from_arrays([texts], names=["text"])]), SCAN_BYTES)
+        return pa.array([bool(h) for p in parts for h in scan(p.column("text").to_pylist(), blocks)[1]], pa.bool_())
+
+    return run(F.coalesce(text, F.lit("")))
+
+
 def original_spans(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Spans of words as code points of the text (from, to)."""
     raw = np.frombuffer(text.encode(), np.uint8)
@@ -114,27 +149,15 @@ def _spans(rows: list[list[tuple[int, int]]]) -> pa.Array:
 def find_windows(docs: DataFrame, benchmark: DataFrame, words: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Per row: its words, the hit spans in words and in code points (merged), and the items found (as strings, sorted)."""
     rows = id_and_text(docs, id_col, text_col)
-    context = docs.sparkSession.sparkContext
-    blocks = [context.broadcast(zlib.compress(pickle.dumps(b))) for b in window_blocks(windows_of(benchmark, words, item_col, item_text_col))]
+    blocks = sent_blocks(benchmark, words, item_col, item_text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, SCAN_BYTES):
             texts = part.column("text").to_pylist()
-            split = [normal_words(t.encode()) for t in texts]
-            lines = [(b" " + b" ".join(w) + b" ").decode("latin-1") if w else "" for w in split]
-            hits: list[list[tuple[int, int]]] = [[] for _ in texts]
-            items: list[set[str]] = [set() for _ in texts]
-            for block in blocks:
-                machine = automaton(block.value)
-                for k, line in enumerate(lines):
-                    spans, names = occurrences(line, machine)
-                    if spans:
-                        hits[k] += spans
-                        items[k] |= names
-            hits = [merged(h) for h in hits]
+            counts, hits, items = scan(texts, blocks)
             chars = [original_spans(t, h) if h else [] for t, h in zip(texts, hits)]
             yield pa.RecordBatch.from_arrays(
-                [part.column("id"), pa.array(map(len, split), pa.int64()), _spans(hits), _spans(chars), pa.array(map(sorted, items), pa.list_(pa.string()))],
+                [part.column("id"), pa.array(counts, pa.int64()), _spans(hits), _spans(chars), pa.array(map(sorted, items), pa.list_(pa.string()))],
                 names=[id_col, "n_words", "word_spans", "char_spans", "items"],
             )
 

@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import bytes_of, id_and_text, slices
@@ -225,3 +225,14 @@ def score(docs: DataFrame, model: AdditiveModel, id_col: str = "doc_id", text_co
 
     rows = id_and_text(docs, id_col, text_col)
     return rows.mapInArrow(run, f"`{id_col}` {rows.schema['id'].dataType.simpleString()}, score double")
+
+
+def score_column(text: Column, model: AdditiveModel) -> Column:
+    """The score as a column expression, for rows whose other columns are to stay."""
+
+    @F.arrow_udf("double")
+    def run(texts: pa.Array) -> pa.Array:
+        parts = slices(iter([pa.RecordBatch.from_arrays([texts], names=["text"])]))
+        return pa.array(np.concatenate([model.score(features(p.column("text"))) for p in parts] or [np.zeros(0)]))
+
+    return run(F.coalesce(text, F.lit("")))
