@@ -15,8 +15,10 @@ their sets' Jaccard similarity is at least 3/4. The steps:
    M grows with the size of the set (``combinations``), and sets that may link share a size level.
 4. Verification on the sets. Each signature first compares its members with one pivot (a star); what
    links becomes one component. Only members of different components are compared further: by
-   stars with other pivots while many pairs are left, then all that remain. So no pair of
-   different components that share a signature is left out, and groups of copies cost no square.
+   stars with other pivots while many pairs are left and stars still help, then all that remain.
+   So no pair of different components that share a signature is left out, and groups of copies
+   cost no square. Bitmaps of the sets bound the overlap of a pair from above first, exactly, so
+   that whole sets are only brought together for pairs that may link.
 
 Components are found by label propagation with pointer jumping, on the cluster.
 
@@ -36,15 +38,16 @@ from pyspark.sql import functions as F
 
 from .arrow import bytes_of, id_and_text, slices
 from .hashing import WHITE, Texts, first_of, mix, runs
-from .shared import checkpointed
+from .shared import checkpointed, written
 
 WORDS = 5
 RARE = 32
 #: Tokens of one bucket, about; and the bits of a token that are kept besides its bucket.
 BUCKET_TOKENS = 1 << 20
 TOKEN_BYTES = 5
-#: Stars go on while the pairs left are more than this many times the signatures, at most so often.
-STAR_FACTOR, STARS = 2, 6
+#: Stars go on while the pairs left are more than this many times the signatures and each star halves them, at most so often.
+STAR_FACTOR, STARS = 4, 6
+BITMAP_BYTES = 512
 COUNT_SLICE = 4 << 20
 
 
@@ -209,6 +212,37 @@ def _may_link(n: str, other: str):
     return (F.col(n) * 4 >= F.col(other) * 3) & (F.col(other) * 4 >= F.col(n) * 3)
 
 
+def bitmaps(sets: DataFrame) -> DataFrame:
+    """rep, n, k (shared tokens) and a bitmap of the shared tokens for every set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for tokens in batch.column("tokens"):
+                bits = np.zeros(BITMAP_BYTES * 8, np.uint8)
+                bits[(mix(tokens.values.to_numpy(zero_copy_only=False).astype(np.uint64)) % np.uint64(BITMAP_BYTES * 8)).astype(np.int64)] = 1
+                rows.append(np.packbits(bits).tobytes())
+            sizes = pa.array([len(t) for t in batch.column("tokens")], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("n"), sizes, pa.array(rows, pa.binary())], names=["rep", "n", "k", "bits"])
+
+    return sets.select("rep", "n", "tokens").mapInArrow(run, "rep long, n long, k long, bits binary")
+
+
+def possible(pairs: DataFrame, bits: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose bitmaps allow a link: a bit that only one has stands for a token that the other lacks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("bits_a", "bits_b"))
+                n_a, n_b, k_a, k_b = (batch.column(c).to_numpy() for c in ("n_a", "n_b", "k_a", "k_b"))
+                most = np.minimum(k_a - np.bitwise_count(x & ~y).sum(1, dtype=np.int64), k_b - np.bitwise_count(y & ~x).sum(1, dtype=np.int64))
+                yield batch.filter(pa.array(most * 100 >= (n_a + n_b - most) * 75)).select(["a", "b"])
+
+    sides = [bits.select(F.col("rep").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("n", "k", "bits")]) for c in ("a", "b")]
+    return pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(run, "a long, b long")
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that link, by the intersection of their sets."""
     one = sets.select(F.col("rep").alias("a"), F.col("tokens").alias("tokens_a"), F.col("n").alias("n_a"))
@@ -219,17 +253,22 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def connected(links: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """rep, label: the smallest id reachable over ``links`` and the labels found before."""
+    """rep, label: the smallest id reachable over ``links`` and the labels found before.
+
+    The tables of the loop are written and read again: a checkpointed table keeps the estimated size of
+    its plan, and estimates that are multiplied from round to round grow without bound.
+    """
     edges = links.select("a", "b")
     if labels is not None:
         edges = edges.unionByName(labels.select(F.col("rep").alias("a"), F.col("label").alias("b")))
-    edges = checkpointed(edges.filter("a <> b").unionByName(edges.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = checkpointed(edges.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("rep"), F.least("a", "b").alias("label")))
+    edges = edges.filter("a <> b")
+    edges = written(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = written(edges.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("rep"), F.least("a", "b").alias("label")))
     while True:
         offered = edges.join(labels, edges["b"] == labels["rep"]).groupBy("a").agg(F.min("label").alias("offer"))
         better = labels.join(offered, labels["rep"] == offered["a"]).select("rep", F.col("label").alias("old"), F.least("label", "offer").alias("near"))
         jump = labels.select(F.col("rep").alias("near"), F.col("label").alias("far"))
-        new = checkpointed(better.join(jump, "near", "left").select("rep", "old", F.least("near", "far").alias("label")))
+        new = written(better.join(jump, "near", "left").select("rep", "old", F.least("near", "far").alias("label")))
         labels = new.select("rep", "label")
         if not new.filter("label <> old").limit(1).count():
             return labels
@@ -251,8 +290,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def _labels(sets: DataFrame, rare_df: int, stars: int) -> DataFrame:
     """rep, label for every class that links with another."""
-    active = checkpointed(signatures(sets, rare_df))
-    rows, labels = active.count(), None
+    active, bits = checkpointed(signatures(sets, rare_df)), checkpointed(bitmaps(sets))
+    rows, labels, before = active.count(), None, None
     for star in range(stars + 1):
         if labels is None:
             named = active.withColumn("label", F.col("rep"))
@@ -267,14 +306,15 @@ def _labels(sets: DataFrame, rare_df: int, stars: int) -> DataFrame:
         left = sizes.agg(F.sum("pairs")).first()[0] or 0
         if not left:
             break
-        last = star == stars or star > 0 and left <= STAR_FACTOR * rows
+        last = star == stars or star > 0 and (left <= STAR_FACTOR * rows or 2 * left > before)
+        before = left
         if last:
             mine = apart.select("sig", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"))
             other = apart.select("sig", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
             pairs = mine.join(other, "sig").filter((F.col("label_a") < F.col("label_b")) & _may_link("n_a", "n_b")).select("a", "b").distinct()
         else:
             pairs = apart.filter((F.col("label") != F.col("p_label")) & _may_link("n", "p_n")).select(F.least("rep", "p_rep").alias("a"), F.greatest("rep", "p_rep").alias("b")).distinct()
-        labels = connected(verified(pairs, sets), labels)
+        labels = connected(verified(possible(pairs, bits), sets), labels)
         if last:
             break
     return labels if labels is not None else sets.select("rep", F.col("rep").alias("label")).limit(0)

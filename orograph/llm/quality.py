@@ -124,15 +124,31 @@ def _tree(g: np.ndarray, h: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def _pair_tree(g: np.ndarray, h: np.ndarray, c: np.ndarray) -> tuple[float, np.ndarray]:
-    """Gain and values of a tree over two features' bins: one cut of the first, and one of the second on either side."""
+    """Gain and values of a tree over two features' bins: one cut of the first, and one of the second on either side.
+
+    The cut of the first is the one that leaves the best two cuts of the second.
+    """
+    below = [np.cumsum(x, 0)[:-1] for x in (g, h, c)]
+    above = [x.sum(0) - y for x, y in zip((g, h, c), below)]
+
+    def best(side: list[np.ndarray]) -> np.ndarray:
+        """For every row: the best score with one cut along the row, or without."""
+        total = [x.sum(1, keepdims=True) for x in side]
+        left = [np.cumsum(x, 1)[:, :-1] for x in side]
+        score = left[0] ** 2 / (left[1] + RIDGE) + (total[0] - left[0]) ** 2 / (total[1] - left[1] + RIDGE)
+        score[(left[2] < LEAST_ROWS) | (total[2] - left[2] < LEAST_ROWS)] = 0
+        return np.maximum(score.max(1, initial=0), (total[0] ** 2 / (total[1] + RIDGE))[:, 0])
+
+    whole = g.sum() ** 2 / (h.sum() + RIDGE)
+    gains = best(below) + best(above) - whole
+    gains[(below[2].sum(1) < LEAST_ROWS) | (above[2].sum(1) < LEAST_ROWS)] = 0
+    cut = int(np.argmax(gains)) + 1 if len(gains) and gains.max() > 0 else 0
     out = np.zeros(g.shape)
-    gain, cut = _best_cut(g.sum(1), h.sum(1), c.sum(1))
     for a, b in ((0, cut), (cut, len(g))) if cut else ((0, len(g)),):
-        more, inner = _best_cut(g[a:b].sum(0), h[a:b].sum(0), c[a:b].sum(0))
-        gain += more
+        _, inner = _best_cut(g[a:b].sum(0), h[a:b].sum(0), c[a:b].sum(0))
         for x, y in ((0, inner), (inner, g.shape[1])) if inner else ((0, g.shape[1]),):
             out[a:b, x:y] = _leaf(g[a:b, x:y], h[a:b, x:y])
-    return gain, out
+    return (float(gains.max()) if cut else 0.0), out
 
 
 @dataclass
