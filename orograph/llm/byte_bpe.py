@@ -31,7 +31,8 @@ from .arrow import id_and_text, list_array, slices
 from .merging import merge
 
 CACHED_BYTES = 64
-CACHED_SLICES = 500_000
+#: Slices remembered by a worker: so many new ones, and as many from before.
+CACHED_SLICES = 200_000
 
 # Classes of code points; the last one separates texts.
 LETTER, SUFFIX, PAIR, NUMBER, QUOTE, OTHER, BLANK, SPACE, RESET = range(9)
@@ -142,10 +143,13 @@ class ByteCoder(dict):
         self.lengths = np.zeros(max(self.bytes_of) + 1, np.int64)
         for i, b in self.bytes_of.items():
             self.lengths[i] = len(b)
+        self.before: dict[str, list[int]] = {}
 
     def __missing__(self, piece: str) -> list[int]:
         data = piece.encode()
-        if data in self.ranks:
+        if piece in self.before:
+            ids = self.before[piece]
+        elif data in self.ranks:
             ids = [self.ranks[data]]
         else:
             symbols = [data[i:i + 1] for i in range(len(data))]
@@ -153,10 +157,16 @@ class ByteCoder(dict):
             ids = [self.ranks[s] for s in symbols if s is not None]
         if len(data) <= CACHED_BYTES:
             if len(self) >= CACHED_SLICES:
+                self.before = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
 
+    def forget(self) -> None:
+        """Give the memory of the remembered slices back."""
+        self.clear()
+        self.before = {}
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and how many each has."""
         joined = np.frombuffer("\0".join(texts).encode("utf-32-le"), np.uint32)
@@ -203,6 +213,7 @@ def encode(docs: DataFrame, rank_path: str, id_col: str = "doc_id", text_col: st
                 first = np.concatenate([[0], np.cumsum(counts)])[:-1]
                 columns.append(list_array((ends[:-1] - np.repeat(ends[first], counts)).astype(np.int32), counts, pa.int32()))
             yield pa.RecordBatch.from_arrays(columns, names=[id_col, "ids", "offsets"][:len(columns)])
+        coder.forget()
 
     rows = id_and_text(docs, id_col, text_col)
     more = ", offsets array<int>" if offsets else ""
