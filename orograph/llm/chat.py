@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import checkpointed
 from .token_counts import piece_counter
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
@@ -201,5 +202,8 @@ def read_back(formatted: DataFrame, conv_col: str = "conv_id") -> DataFrame:
 
 
 def format_conversations(conversations: DataFrame, model_path: str, budget: Budget = Budget(), **columns: str) -> DataFrame:
-    """Windows of all conversations; ``columns`` name the columns (conv_col, turn_col, role_col, text_col)."""
-    return windows(with_places(with_tokens(formatted_turns(conversations, **columns), model_path)), budget)
+    """Windows of all conversations; ``columns`` name the columns (conv_col, turn_col, role_col, text_col).
+
+    The turns with their places are checkpointed, as every part of a window is taken from them.
+    """
+    return windows(checkpointed(with_places(with_tokens(formatted_turns(conversations, **columns), model_path))), budget)
