@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NUMBER_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
-HEX_PATTERN = r"^\s*0[xX][0-9a-fA-F]{1,12}\s*$"
+HEX_PATTERN = r"^\s*0[xX][0-9a-fA-F]+\s*$"
 
 
 def col(value) -> Column:
@@ -49,6 +49,12 @@ def is_finite(z) -> Column:
     return z.isNotNull() & ~F.isnan(z) & (F.abs(z) < F.lit(float("inf")))
 
 
+def _hex_value(text: Column) -> Column:
+    """Value of a hexadecimal text with its two-character prefix, of any length."""
+    digits = F.filter(F.split(F.substring(text, 3, 1 << 30), ""), lambda c: c != "")
+    return F.aggregate(digits, F.lit(0.0), lambda acc, c: acc * 16.0 + F.instr(F.lit("0123456789ABCDEF"), c) - 1)
+
+
 def parse_number(text) -> Column:
     """The number written in a text, or NULL.
 
@@ -58,7 +64,7 @@ def parse_number(text) -> Column:
     text = col(text)
     value = (
         F.when(text.rlike(NUMBER_PATTERN), F.trim(text).try_cast("double"))
-        .when(text.rlike(HEX_PATTERN), F.conv(F.substring(F.trim(text), 3, 12), 16, 10).cast("double"))
+        .when(text.rlike(HEX_PATTERN), _hex_value(F.upper(F.trim(text))))
         .when((text != "") & (F.trim(text) == ""), F.lit(0.0))
     )
     return F.when(F.abs(value) < F.lit(float("inf")), value)

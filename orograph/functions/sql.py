@@ -14,8 +14,11 @@ NUMBER = r"^\\s*[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?\\s*$"
 FUNCTIONS: dict[str, tuple[str, str, str]] = {
     "round_half_up": ("v DOUBLE", "BIGINT", "floor(v + 0.5D)"),
     "is_nodata": ("z DOUBLE", "BOOLEAN", "z IS NULL OR isnan(z) OR z = double('-Infinity')"),
-    "parse_number": ("t STRING", "DOUBLE", f"CASE WHEN t RLIKE '{NUMBER}' THEN nullif(try_cast(trim(t) AS DOUBLE), double('Infinity')) "
-                     "WHEN t <> '' AND trim(t) = '' THEN 0D END"),
+    "parse_number": ("t STRING", "DOUBLE", "nullif(nullif("
+                     f"CASE WHEN t RLIKE '{NUMBER}' THEN try_cast(trim(t) AS DOUBLE) "
+                     r"WHEN t RLIKE '^\\s*0[xX][0-9a-fA-F]+\\s*$' THEN aggregate(filter(split(substring(upper(trim(t)), 3), ''), c -> c <> ''), 0D, "
+                     "(a, c) -> a * 16D + instr('0123456789ABCDEF', c) - 1) "
+                     "WHEN t <> '' AND trim(t) = '' THEN 0D END, double('Infinity')), double('-Infinity'))"),
     "leading_integer": ("t STRING", "BIGINT", r"coalesce(try_cast(regexp_extract(coalesce(t, ''), '^\\s*([+-]?\\d+)', 1) AS BIGINT), 0L)"),
     "lng_to_pixel_x": ("lng DOUBLE, z INT", "DOUBLE", "(lng + 180D) / 360D * pow(2D, z) * 256D"),
     "lat_to_pixel_y": ("lat DOUBLE, z INT", "DOUBLE", "(1D - ln(tan(radians(lat)) + 1D / cos(radians(lat))) / pi()) / 2D * pow(2D, z) * 256D"),

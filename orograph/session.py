@@ -24,18 +24,22 @@ def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def use_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | None:
-    """Shared checkpoint folder named by the cluster; ``fallback`` only where none is named."""
-    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or fallback
-    if folder and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+def shared_folder(spark: SparkSession) -> str:
+    """Folder for intermediate tables that driver and executors share: the one of ``spark.checkpoint.dir``.
+
+    Where none is set, as in tests, a folder in the warehouse is set for this session.
+    """
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+        context.setCheckpointDir(named)
+    return context.getCheckpointDir()
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Compute a table that several later steps read, once.
+    """Compute a table that several later steps read, once, and keep it in the shared folder.
 
-    It is written to the checkpoint folder, so a lost executor does not lose it. Without a
-    folder the table stays a plan and every reader computes it; the results are the same.
+    This runs a job at once. A lost executor loses nothing, and the plan after it starts at the table.
     """
-    return df.checkpoint() if use_checkpoint_dir(df.sparkSession) else df
+    shared_folder(df.sparkSession)
+    return df.checkpoint()

@@ -9,38 +9,45 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import floor_div
 
+#: Rows of one band of a packed tile.
 BAND_ROWS = 256
-MAX_SIDE = 8192
 BATCH_PIXELS = 1 << 18
 
 
-def pack_r16(pixels: DataFrame, keys: list[str], value: str = "q") -> DataFrame:
-    """One little-endian, row-major u16 blob per tile: n_pixels and content.
+def pack_r16(pixels: DataFrame, keys: list[str], width: int, height: int, value: str = "q", band_rows: int = BAND_ROWS) -> DataFrame:
+    """Little-endian, row-major u16 heights of every tile in bands: keys, band, start, n_pixels, content.
 
-    Bands of rows are packed in separate tasks and joined afterwards. A tile is at most
-    ``MAX_SIDE`` pixels wide and high; a larger one is an error, so a blob is bounded.
+    The contents of a tile's bands, in order, are its file; ``start`` is the pixel a band begins with.
+    Absent pixels are 0, so every height is at its place. Bands are packed by separate tasks, whatever
+    the size of a tile.
     """
-    base = pixels.select(*keys, "y", "x", value)
-    limit = F.when((F.col("x") >= MAX_SIDE) | (F.col("y") >= MAX_SIDE), F.raise_error(F.lit("the tile is too large for one blob")))
-    base = base.withColumn("_band", F.coalesce(limit, floor_div("y", BAND_ROWS)))
+    base = pixels.select(*keys, floor_div("y", band_rows).cast("bigint").alias("band"), F.col("x").cast("bigint").alias("x"), F.col("y").cast("bigint").alias("y"), F.col(value).cast("int").alias("v"))
+    bands = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit((height - 1) // band_rows).cast("bigint")))
+    none = F.lit(None).cast("bigint")
+    empty = pixels.select(*keys).distinct().select(*keys, bands.alias("band"), none.alias("x"), none.alias("y"), F.lit(None).cast("int").alias("v"))
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in base.select(*keys).schema)
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        ordered = pdf.sort_values(["y", "x"])
+        band = int(pdf["band"].iloc[0])
+        rows = min(band_rows, height - band * band_rows)
+        heights = np.zeros(rows * width, "<u2")
+        there = pdf[pdf["x"].notna()]
+        heights[((there["y"] - band * band_rows) * width + there["x"]).to_numpy("int64")] = there["v"].to_numpy("int64")
         first = {k: [pdf[k].iloc[0]] for k in keys}
-        return pd.DataFrame({**first, "_band": [pdf["_band"].iloc[0]], "_n": [len(pdf)],
-                             "_blob": [ordered[value].to_numpy().astype("<u2").tobytes()]})
+        return pd.DataFrame({**first, "band": [band], "start": [band * band_rows * width], "n_pixels": [len(heights)], "content": [heights.tobytes()]})
 
-    bands = base.groupBy(*keys, "_band").applyInPandas(pack, f"{fields}, _band bigint, _n bigint, _blob binary")
-    joined = bands.groupBy(*keys).agg(
-        F.sum("_n").alias("n_pixels"), F.array_sort(F.collect_list(F.struct("_band", "_blob"))).alias("_b")
-    )
-    content = F.aggregate("_b", F.lit(b"").cast("binary"), lambda acc, b: F.concat(acc, b["_blob"]))
-    return joined.select(*keys, "n_pixels", content.alias("content"))
+    return base.unionByName(empty).groupBy(*keys, "band").applyInPandas(pack, f"{fields}, band bigint, start bigint, n_pixels bigint, content binary")
 
 
-def unpack_r16(blobs: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
-    """Pixels (x, y, q) of blobs; a blob is a square with side round(sqrt(n))."""
+def unpack_bands(bands: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """Pixels (x, y, q) of packed bands; ``width`` is that of the tiles."""
+    pixels = unpack_r16(bands.select(*keys, "start", "content"), [*keys, "start"], width=1)
+    at = F.col("start") + F.col("y")
+    return pixels.select(*keys, F.pmod(at, F.lit(width)).alias("x"), floor_div(at, width).alias("y"), "q")
+
+
+def unpack_r16(blobs: DataFrame, keys: list[str], content: str = "content", width: int | None = None) -> DataFrame:
+    """Pixels (x, y, q) of blobs; without a width, a blob is a square with side round(sqrt(n))."""
     base = blobs.select(*keys, content)
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in base.select(*keys).schema)
 
@@ -48,7 +55,7 @@ def unpack_r16(blobs: DataFrame, keys: list[str], content: str = "content") -> D
         for pdf in batches:
             for row in pdf.itertuples(index=False):
                 heights = np.frombuffer(row[-1], dtype="<u2")
-                side = max(1, int(np.floor(np.sqrt(len(heights)) + 0.5)))
+                side = width or max(1, int(np.floor(np.sqrt(len(heights)) + 0.5)))
                 for start in range(0, len(heights), BATCH_PIXELS):
                     part = heights[start:start + BATCH_PIXELS]
                     at = np.arange(start, start + len(part))
@@ -63,23 +70,3 @@ def unpack_r16(blobs: DataFrame, keys: list[str], content: str = "content") -> D
 def read_r16(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.r16").load(path)
     return unpack_r16(files.select("path", "content"), ["path"])
-
-
-def decode_tiles(files: DataFrame, decode, schema: str, content: str = "content") -> DataFrame:
-    """Run a user's decoder on each file: ``decode(bytes) -> pandas.DataFrame`` of ``schema``.
-
-    A decoder that fails gives one row with the error text instead of stopping the job; the
-    outcome fill then treats the tile as missing.
-    """
-    names = [part.split()[0] for part in schema.split(",")]
-
-    def run(batches):
-        for pdf in batches:
-            for path, blob in zip(pdf["path"], pdf[content]):
-                try:
-                    out = decode(blob)[names].assign(path=path, error=None)
-                except Exception as err:  # noqa: BLE001 - the error is data here
-                    out = pd.DataFrame([{**dict.fromkeys(names), "path": path, "error": str(err)}])
-                yield out[["path", *names, "error"]]
-
-    return files.select("path", content).mapInPandas(run, f"path string, {schema}, error string")

@@ -1,34 +1,33 @@
-"""Shape overlays: vertex tables to features with ring arrays."""
+"""Shape overlays: vertex tables to features, stored in pieces of fixed length."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Shape types and the largest shape that is accepted.
-LINE_TYPE, POLYGON_TYPE = 3, 5
-MAX_PARTS, MAX_POINTS = 10000, 1000000
+from ..functions.numbers import floor_div
 
+# Shape types that become features.
+POINT_TYPE, LINE_TYPE, POLYGON_TYPE = 1, 3, 5
+SUPPORTED_TYPES = (POINT_TYPE, LINE_TYPE, POLYGON_TYPE)
+#: Vertices of one piece of a ring.
+PIECE = 1000
 
-def shape_rings_to_features(vertices: DataFrame, keys: list[str]) -> DataFrame:
-    """Features with rings = array of rings = array of [x, y].
 
-    ``vertices`` has keys (a shape), shape_type, ring, ord, x, y. Lines give one feature per
-    part with at least two points, polygons keep all rings. Shapes above the accepted number of
-    parts or points are left out before anything is gathered, so a gathered ring is bounded.
+def shape_rings_to_features(vertices: DataFrame, keys: list[str], piece: int = PIECE) -> DataFrame:
+    """Features as rows (keys, shape_type, part, ring, piece, points): points = array of [x, y].
+
+    ``vertices`` has keys (a shape), shape_type, ring, ord (from 0 within a ring), x, y. Points give
+    one feature per vertex, lines one per part with at least two vertices, polygons one with all rings.
+    A ring of any size is cut into pieces of ``piece`` vertices, so nothing is gathered whole.
     """
-    sizes = vertices.groupBy(*keys, "ring").agg(F.count(F.lit(1)).alias("_n")).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_parts"), F.sum("_n").alias("_points")
-    )
-    fit = sizes.filter((F.col("_parts") <= MAX_PARTS) & (F.col("_points") <= MAX_POINTS)).select(*keys)
-    rings = (
-        vertices.join(fit, keys, "left_semi")
-        .groupBy(*keys, "shape_type", "ring")
-        .agg(F.array_sort(F.collect_list(F.struct("ord", "x", "y"))).alias("_v"))
-        .withColumn("_v", F.transform("_v", lambda p: F.array(p["x"], p["y"])))
-    )
-    is_line = F.col("shape_type") == LINE_TYPE
-    usable = rings.filter((is_line & (F.size("_v") >= 2)) | (F.col("shape_type") == POLYGON_TYPE))
-    parts = usable.withColumn("part", F.when(is_line, F.col("ring").cast("bigint")).otherwise(F.lit(0).cast("bigint")))
-    grouped = parts.groupBy(*keys, "shape_type", "part").agg(F.array_sort(F.collect_list(F.struct("ring", "_v"))).alias("_r"))
-    return grouped.select(*keys, "shape_type", "part", F.transform("_r", lambda r: r["_v"]).alias("rings"))
+    kind = F.col("shape_type")
+    single = kind == POINT_TYPE
+    sizes = vertices.groupBy(*keys, "ring").agg(F.count(F.lit(1)).alias("_n"))
+    usable = vertices.filter(kind.isin(*SUPPORTED_TYPES)).join(sizes, [*keys, "ring"]).filter((kind != LINE_TYPE) | (F.col("_n") >= 2))
+    part = F.when(kind == POLYGON_TYPE, F.lit(0)).when(single, F.col("ord")).otherwise(F.col("ring")).cast("bigint")
+    ring = F.when(kind == LINE_TYPE, F.lit(0)).otherwise(F.col("ring")).cast("bigint")
+    cut = F.when(single, F.lit(0)).otherwise(floor_div("ord", piece)).cast("bigint")
+    pieces = usable.groupBy(*keys, "shape_type", part.alias("part"), ring.alias("ring"), cut.alias("piece"))
+    points = pieces.agg(F.array_sort(F.collect_list(F.struct("ord", "x", "y"))).alias("points"))
+    return points.withColumn("points", F.transform("points", lambda p: F.array(p["x"], p["y"])))

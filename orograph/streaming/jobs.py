@@ -26,10 +26,11 @@ def job_progress_latest(events: DataFrame) -> DataFrame:
 
 
 def debounced_queries_stream(queries: DataFrame, gap: str, delay: str = "0 seconds") -> DataFrame:
-    """Last query of every burst of a user, once ``gap`` has passed without another one."""
-    events = queries.withColumn("ts", F.col("ts").cast("timestamp"))
-    if events.isStreaming:
-        events = events.withWatermark("ts", delay)
+    """Last query of every burst of a user, once ``gap`` has passed without another one; for streams.
+
+    A finished table goes through ``debounced_queries``, which also splits users with very many events.
+    """
+    events = queries.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
     last = events.groupBy("user_id", F.session_window("ts", gap).alias("_w")).agg(
         F.max_by(F.struct("q", "ts", "event_id"), F.struct("ts", "event_id")).alias("_l"), F.count(F.lit(1)).alias("n_events")
     )
@@ -56,10 +57,23 @@ def debounced_queries(queries: DataFrame, gap_seconds: int, bucket_seconds: int
     return ahead.filter(fires).select("user_id", "ts", "event_id", trimmed("q").alias("q")).filter(search_trigger("q"))
 
 
-def start_job_progress(spark: SparkSession, path: str, schema: str, sink: str, checkpoint: str) -> StreamingQuery:
-    """Follow a folder of progress files; ``sink`` is the name of an in-memory result table."""
+def start_job_progress(spark: SparkSession, path: str, schema: str, out: str, checkpoint: str) -> StreamingQuery:
+    """Follow a folder of progress files; every trigger writes the jobs that changed to ``out``.
+
+    The folder ``out`` gets one part per batch, written again as a whole if the batch is repeated;
+    ``read_job_progress`` gives the latest row of each job.
+    """
     events = spark.readStream.schema(schema).parquet(path)
-    return (
-        job_progress_latest(events).writeStream.outputMode("complete").format("memory").queryName(sink)
-        .option("checkpointLocation", checkpoint).start()
-    )
+
+    def write(changed: DataFrame, batch: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{out}/batch={batch}")
+
+    return job_progress_latest(events).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).start()
+
+
+def read_job_progress(spark: SparkSession, out: str) -> DataFrame:
+    """Latest row of each job among all batches that ``start_job_progress`` has written."""
+    batches = spark.read.parquet(out)
+    columns = [c for c in batches.columns if c != "batch"]
+    newest = batches.groupBy("job_id").agg(F.max_by(F.struct(*[c for c in columns if c != "job_id"]), "batch").alias("_l"))
+    return newest.select("job_id", "_l.*")
