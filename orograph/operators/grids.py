@@ -15,6 +15,8 @@ KM_PER_DEGREE = 111.32
 MAX_REGION_DEG2 = 0.25
 # Pixels one image operation may touch, and the safety share of it.
 CHUNK_PIXEL_LIMIT = 268435456 * 0.9
+# The divisions start within a half of values whose product suffices, and a step adds at least the
+# smaller of them, so two steps are always enough; the check behind them stops a wrong split.
 GROWTH_STEPS = 16
 
 
@@ -26,19 +28,32 @@ def int_range(low, high, step: int = 1) -> Column:
     )
 
 
-def explode_grid(
-    df: DataFrame, xs: Column, ys: Column, x: str = "x", y: str = "y", spread: bool = False
-) -> DataFrame:
+def explode_grid(df: DataFrame, xs: Column, ys: Column, x: str = "x", y: str = "y") -> DataFrame:
     """One row per (x, y); ``xs`` may depend on the column ``y``.
 
-    With ``spread`` the row list (one record per grid line) is shuffled before the lines
-    are expanded, so that a single huge grid is produced by many tasks instead of one.
+    The row list (one record per grid line) is shuffled before the lines are expanded, so that a
+    single huge grid is produced by many tasks.
     """
     lines = unroll(df, ys, y)
-    if spread:
-        hashable = [c for c, t in lines.dtypes if "map<" not in t]
-        lines = lines.repartition(shuffle_partitions(df), F.xxhash64(*hashable))
-    return unroll(lines, xs, x)
+    hashable = [c for c, t in lines.dtypes if "map<" not in t]
+    return unroll(lines.repartition(shuffle_partitions(df), F.xxhash64(*hashable)), xs, x)
+
+
+def fill_holes(pixels: DataFrame, sizes: DataFrame, keys: list[str], fill: dict[str, object]) -> DataFrame:
+    """``pixels`` (keys, x, y and the columns of ``fill``) with every position of each raster in ``sizes`` (keys, width, height).
+
+    Rasters are told to be complete by their number of pixels. Only those that are not are listed and
+    compared by position; the pixels of the others pass through.
+    """
+    columns = [*keys, "x", "y", *fill]
+    counts = pixels.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    short = sizes.select(*keys, "width", "height").distinct().join(counts, keys, "left").filter(
+        F.coalesce("_n", F.lit(0)) < F.col("width") * F.col("height")
+    ).drop("_n")
+    wanted = explode_grid(short, int_range(F.lit(0), F.col("width") - 1), int_range(F.lit(0), F.col("height") - 1))
+    there = pixels.select(*keys, "x", "y").join(short.select(*keys), keys, "left_semi")
+    blank = wanted.select(*keys, "x", "y").join(there, [*keys, "x", "y"], "left_anti")
+    return pixels.select(*columns).unionByName(blank.withColumns({c: F.lit(v) for c, v in fill.items()}).select(*columns), allowMissingColumns=False)
 
 
 def blocked_row_number(df: DataFrame, keys: Sequence[str], order: str, name: str, block: int = 65536) -> DataFrame:
@@ -67,7 +82,7 @@ def _span_parts(west, south, east, north):
     return w, s, e, n, e - w, n - s
 
 
-def tile_grid(boxes: DataFrame, tile_km, spread: bool = False) -> DataFrame:
+def tile_grid(boxes: DataFrame, tile_km) -> DataFrame:
     """Equal split of each box into tiles of about ``tile_km``; row 0 is the southern one."""
     w, s, e, n, width, height = _span_parts("west", "south", "east", "north")
     km_lng = KM_PER_DEGREE * F.cos((n + s) / 2.0 * F.lit(3.141592653589793) / 180.0)
@@ -77,7 +92,7 @@ def tile_grid(boxes: DataFrame, tile_km, spread: bool = False) -> DataFrame:
     )
     grid = explode_grid(
         sized.withColumnsRenamed({"west": "_w", "south": "_s", "east": "_e", "north": "_n"}),
-        int_range(F.lit(0), F.col("cols") - 1), int_range(F.lit(0), F.col("rows") - 1), "col", "row", spread,
+        int_range(F.lit(0), F.col("cols") - 1), int_range(F.lit(0), F.col("rows") - 1), "col", "row",
     )
     return _place_cells(grid, "_w", "_s", "_e", "_n", "row", "col", "rows", "cols").withColumn(
         "center_lng", (F.col("west") + F.col("east")) / 2.0
@@ -118,7 +133,7 @@ def _checked(divisions: Column, first_span: Column, second_span: Column, fits) -
     return F.when(ok, divisions).otherwise(F.raise_error(F.lit("the split did not reach its limit")))
 
 
-def split_bounds(boxes: DataFrame, max_area: float = MAX_REGION_DEG2, spread: bool = False) -> DataFrame:
+def split_bounds(boxes: DataFrame, max_area: float = MAX_REGION_DEG2) -> DataFrame:
     """Split boxes into parts of at most ``max_area`` square degrees that cover them fully.
 
     The divisions start proportional to the sides and grow while a part is too large. The
@@ -141,7 +156,7 @@ def split_bounds(boxes: DataFrame, max_area: float = MAX_REGION_DEG2, spread: bo
     sized = sized.withColumnsRenamed({"west": "_w", "south": "_s", "east": "_e", "north": "_n"})
     grid = explode_grid(
         sized, int_range(F.lit(0), F.col("lon_parts") - 1), int_range(F.lit(0), F.col("lat_parts") - 1),
-        "lon_idx", "lat_idx", spread,
+        "lon_idx", "lat_idx",
     )
     placed = _place_cells(grid, "_w", "_s", "_e", "_n", "lat_idx", "lon_idx", "lat_parts", "lon_parts")
     return placed.withColumn("region_idx", F.col("lat_idx") * F.col("lon_parts") + F.col("lon_idx")).drop(

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..functions.numbers import col, double, floor_div, round_half_up
 from ..functions.unroll import residual
+from ..session import settle
 from ..sources.catalogs import LANDCOVER_DEGREES, fetch_outcome_fill
-from .grids import explode_grid, int_range
+from .grids import explode_grid, fill_holes, int_range
 
 # Small against common windows, so that few pixels meet a window they are not in; a window is
 # cut into one record per 1024 of its pixels.
@@ -27,8 +28,8 @@ def mosaic_tiles(
     """Global pixel grid of each mosaic.
 
     ``catalog`` has one row per tile of a mosaic: keys, tile position and the smallest position
-    of the mosaic. ``pixels`` has keys, tile position and local x, y. Tiles without pixels give
-    the values of ``fill``.
+    of the mosaic. ``pixels`` has keys, tile position and local x, y. Positions without a pixel
+    give the values of ``fill``.
     """
     full = fetch_outcome_fill(catalog, pixels, [*keys, tile_x, tile_y], tile_w, tile_h, fill, carry=[min_x, min_y])
     return full.select(
@@ -111,11 +112,13 @@ def crop_mercator(
     pixels: DataFrame, windows: DataFrame, mosaic_keys: list[str], out_keys: list[str], fill: dict[str, object],
     mosaic_w="mosaic_w", mosaic_h="mosaic_h",
 ) -> DataFrame:
-    """Crop mosaics to windows; whatever lies outside the mosaic reads as the fill values."""
+    """Crop mosaics to windows; what lies outside the mosaic, or in a hole of it, reads as the fill values."""
+    needed = [*mosaic_keys, *out_keys, "left", "top", "width", "height", *[c for c in (mosaic_w, mosaic_h) if isinstance(c, str)]]
+    windows = settle(windows.select(*dict.fromkeys(needed)))  # read by four branches
     kept = crop_windows(pixels.select(*mosaic_keys, "x", "y", *fill), windows, mosaic_keys, out_keys)
     blank = outside_pixels(windows, mosaic_w, mosaic_h, out_keys)
     blank = blank.select(*out_keys, "x", "y", *[F.lit(v).alias(c) for c, v in fill.items()])
-    return kept.select(*out_keys, "x", "y", *fill).unionByName(blank)
+    return fill_holes(kept.select(*out_keys, "x", "y", *fill).unionByName(blank), windows, out_keys, fill)
 
 
 def georef_window(boxes: DataFrame, src_w, src_h, origin_lon, origin_lat, pixel_w, pixel_h) -> DataFrame:
@@ -171,7 +174,7 @@ def reassemble_chunks(
     have = pixels.select(*tile_keys).distinct()
     blank = explode_grid(
         place.join(have, tile_keys, "left_anti"), int_range(F.lit(0), F.col("width") - 1),
-        int_range(F.lit(0), F.col("height") - 1), spread=True,
+        int_range(F.lit(0), F.col("height") - 1),
     ).select(*tile_keys, "x", "y", "out_x", "out_y", *[F.lit(v).alias(c) for c, v in fill.items()])
     placed = pixels.join(place, tile_keys).select(*tile_keys, "x", "y", "out_x", "out_y", *fill)
     moved = placed.unionByName(blank).withColumn("x", F.col("x") + F.col("out_x")).withColumn(

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import col, double, round_half_up
 from ..functions.unroll import unroll
-from .grids import int_range
+from .grids import fill_holes, int_range
 
 
 SLACK = 1e-6
@@ -66,7 +66,8 @@ def resample_bilinear(
     """Resize with the corners of source and target on top of each other.
 
     Sizes are numbers or columns of ``pixels`` that are constant per key. The four neighbours
-    are gathered by a conditional maximum, so the result does not depend on summation order.
+    are gathered by a conditional maximum, so the result does not depend on summation order. An
+    absent pixel counts as 0, and so does a target all of whose neighbours are absent.
     """
     sw, sh, dw, dh, carried = _sizes(src_w, src_h, dst_w, dst_h)
     base = pixels.select(*keys, "x", "y", double(value).alias("_z"), *carried)
@@ -85,9 +86,9 @@ def resample_bilinear(
     fx, fy = sx - F.floor(sx), sy - F.floor(sy)
     top = F.col("_v00") * (1.0 - fx) + F.col("_v01") * fx
     bottom = F.col("_v10") * (1.0 - fx) + F.col("_v11") * fx
-    return got.select(
-        *keys, F.col("tx").alias("x"), F.col("ty").alias("y"), (top * (1.0 - fy) + bottom * fy).alias(value)
-    )
+    out = got.select(*keys, F.col("tx").alias("x"), F.col("ty").alias("y"), (top * (1.0 - fy) + bottom * fy).alias(value))
+    sizes = base.select(*keys, *carried).distinct().withColumns({"width": col(dst_w), "height": col(dst_h)})
+    return fill_holes(out, sizes, keys, {value: 0.0})
 
 
 def _nearest_axis(df: DataFrame, src: str, n_src: Column, n_dst: Column, dst: str) -> DataFrame:

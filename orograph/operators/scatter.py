@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,7 +42,7 @@ def scatter_candidates(tiles: DataFrame, keys: list[str], settings: ScatterSetti
     reach = settings.jitter * spacing / 2.0
     sized = tiles.select(*keys, double("width_m").alias("width_m"), double("height_m").alias("height_m"))
     sized = sized.withColumn("_cols", F.ceil(F.col("width_m") / spacing)).withColumn("_rows", F.ceil(F.col("height_m") / spacing))
-    grid = explode_grid(sized, int_range(F.lit(0), F.col("_cols") - 1), int_range(F.lit(0), F.col("_rows") - 1), "_c", "_r", spread=True)
+    grid = explode_grid(sized, int_range(F.lit(0), F.col("_cols") - 1), int_range(F.lit(0), F.col("_rows") - 1), "_c", "_r")
     grid = grid.withColumn("idx", F.col("_r") * F.col("_cols") + F.col("_c"))
 
     for turn, name in enumerate(("_dx", "_dz")):
@@ -103,7 +102,7 @@ def cap_instances(points: DataFrame, keys: list[str], cap: int, seed: int, salts
     """At most ``cap`` points per tile, chosen by the rank of a seeded number per idx.
 
     Exact size, a subset, the same on every run, everything kept when it fits. It is not the
-    subset of a sequential shuffle; ``cap_instances_shuffled`` gives that one. Every tile is
+    subset of a sequential shuffle. Every tile is
     first cut to ``cap`` in ``salts`` parts, so the final ranking sees salts*cap rows at most.
     """
     ranked = with_draw(points, seed, "idx", "_key").withColumn("_salt", F.pmod(F.xxhash64("idx"), F.lit(salts)))
@@ -113,45 +112,6 @@ def cap_instances(points: DataFrame, keys: list[str], cap: int, seed: int, salts
     return first.withColumn("_rn", F.row_number().over(whole)).filter(F.col("_rn") <= cap).drop("_key", "_salt", "_rn")
 
 
-def shuffle_choice(count: int, cap: int, seed: int) -> list[int]:
-    """Positions picked by the first ``cap`` swaps of a seeded shuffle of ``count`` items."""
-    draws = draw_array(seed, pd.RangeIndex(cap).to_numpy())
-    moved: dict[int, int] = {}
-    chosen = []
-    for i, r in enumerate(draws.tolist()):
-        j = i + int(r * (count - i))
-        chosen.append(moved.get(j, j))
-        moved[j] = moved.pop(i, i)
-    return chosen
-
-
-def cap_instances_shuffled(points: DataFrame, keys: list[str], cap: int, seed: int) -> DataFrame:
-    """At most ``cap`` points per tile: the subset and order of a seeded sequential shuffle.
-
-    The choice depends on the number of points only, so Python sees one row per crowded tile
-    and returns ``cap`` positions; the points themselves stay in Spark. Adds ``slot``.
-    """
-    points = settle(points)
-    numbered = blocked_row_number(points, keys, "idx", "_pos").withColumn("_pos", F.col("_pos") - 1)
-    counts = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    key_fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.select(*keys).schema)
-
-    def choose(batches):
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                picks = shuffle_choice(int(row[-1]), cap, seed)
-                out = pd.DataFrame({"_pos": picks, "slot": range(len(picks))})
-                for i, k in enumerate(keys):
-                    out[k] = row[i]
-                yield out[[*keys, "_pos", "slot"]]
-
-    chosen = counts.filter(F.col("_n") > cap).select(*keys, "_n").mapInPandas(choose, f"{key_fields}, _pos bigint, slot bigint")
-    cut = numbered.join(chosen, [*keys, "_pos"])
-    small = counts.filter(F.col("_n") <= cap).select(*keys)
-    whole = numbered.join(small, keys, "left_semi").withColumn("slot", F.col("_pos"))
-    return cut.drop("_pos").unionByName(whole.drop("_pos"))
-
-
 def height_cells(grid: DataFrame, keys: list[str], subdivisions: int, value: str = "h") -> DataFrame:
     """Corner heights of every cell of an (n+1) x (n+1) height grid (x, y)."""
     last = subdivisions - 1
@@ -191,7 +151,7 @@ def sample_height_at_points(
 def scatter_instances(
     tiles: DataFrame, mask: DataFrame, height_grid: DataFrame, keys: list[str], mask_w: int, mask_h: int,
     subdivisions: int, settings: ScatterSettings = ScatterSettings(), exclusion: DataFrame | None = None,
-    scale_z: float = -1.0, shuffled_cap: bool = False,
+    scale_z: float = -1.0,
 ) -> DataFrame:
     """Instances with world x, height and world z, centred on the tile offset.
 
@@ -201,15 +161,14 @@ def scatter_instances(
     found = scatter_filter(
         scatter_candidates(tiles, keys, settings), mask, keys, mask_w, mask_h, settings.threshold, exclusion
     )
-    choose = cap_instances_shuffled if shuffled_cap else cap_instances
-    kept = choose(found, keys, settings.cap, settings.seed + 1)
+    kept = cap_instances(found, keys, settings.cap, settings.seed + 1)
     tall = sample_height_at_points(
         kept, height_grid, keys, subdivisions, F.col("px") / F.col("width_m"),
         (F.col("height_m") - F.col("pz")) / F.col("height_m"), out="y",
     )
     moved = tall.join(tiles.select(*keys, "offset_x", "offset_z"), keys)
     return moved.select(
-        *keys, "idx", *(["slot"] if shuffled_cap else []),
+        *keys, "idx",
         ((F.col("px") - F.col("width_m") / 2.0) + F.col("offset_x")).alias("world_x"), "y",
         ((F.col("pz") - F.col("height_m") / 2.0) * scale_z + F.col("offset_z")).alias("world_z"),
     )

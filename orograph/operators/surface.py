@@ -34,13 +34,12 @@ def halo_blocks(pixels: DataFrame, block: int = HALO_BLOCK, reach: int = 1) -> D
 
 def slope_grid(
     pixels: DataFrame, keys: list[str], value: str = "z", block: int = HALO_BLOCK, cell_size: float = 1.0,
-    carry: tuple[str, ...] = (), dense: bool = True,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Slope in degrees by central differences, one-sided at the border of the raster.
 
     Distances are pixels unless ``cell_size`` gives the ground size of one. Columns named in
-    ``carry`` stay. A raster with holes needs ``dense=False``: a hole then counts as a border,
-    while a dense raster saves the comparison of positions.
+    ``carry`` stay. A hole counts as a border.
     """
     base = pixels.select(*keys, "x", "y", double(value).alias("_z"), *carry)
     cut = halo_blocks(base, block)
@@ -51,8 +50,7 @@ def slope_grid(
 
     def gradient(axis: str, w) -> Column:
         def side(fn, step):
-            near = fn("_z").over(w)
-            return near if dense else F.when(fn(axis).over(w) == F.col(axis) + step, near)
+            return F.when(fn(axis).over(w) == F.col(axis) + step, fn("_z").over(w))
 
         before, after = side(F.lag, -1), side(F.lead, 1)
         gap = before.isNotNull().cast("double") + after.isNotNull().cast("double")

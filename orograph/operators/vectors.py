@@ -13,8 +13,6 @@ from ..functions.numbers import col, double, floor_div, round_half_up
 from ..functions.unroll import residual, unroll, unroll_indexed
 from .grids import int_range
 
-REGION_CELL = 0.5
-REGION_SALT = 8
 BOUNDS = ("west", "south", "east", "north")
 
 
@@ -54,41 +52,62 @@ def feature_bbox(geometry) -> dict[str, Column]:
     return {"f_west": F.array_min(lon), "f_south": F.array_min(lat), "f_east": F.array_max(lon), "f_north": F.array_max(lat)}
 
 
-def features_to_regions(
-    features: DataFrame, regions: DataFrame, region_keys: list[str], cell: float = REGION_CELL, salt: int = REGION_SALT
-) -> DataFrame:
-    """Pairs of feature and region whose extents meet.
+def _level(west, south, east, north) -> Column:
+    """Power of two that an extent fits in, in degrees."""
+    widest = F.greatest(F.col(east) - F.col(west), F.col(north) - F.col(south), F.lit(2.0 ** -30))
+    return F.ceil(F.log2(widest)).cast("int")
 
-    Both sides are cut into grid cells, so the range condition becomes an equality on the cell.
-    A pair that shares several cells is kept in the first one only (no ``distinct`` needed). The
-    features of a crowded cell are spread over ``salt`` tasks; the regions are repeated for that.
-    """
 
-    def cells(df, w, s, e, n):
-        out = unroll(df, int_range(floor_div(w, cell), floor_div(e, cell)), "_cx")
-        return unroll(out, int_range(floor_div(s, cell), floor_div(n, cell)), "_cy")
+def _cells(df: DataFrame, levels: Column, w: str, s: str, e: str, n: str) -> DataFrame:
+    """Cells of every level that an extent touches (columns _lv, _cx, _cy): four at most on levels it fits in."""
+    size = F.pow(F.lit(2.0), F.col("_lv"))
+    out = unroll(df, levels, "_lv")
+    out = unroll(out, int_range(floor_div(w, size), floor_div(e, size)), "_cx")
+    return unroll(out, int_range(floor_div(s, size), floor_div(n, size)), "_cy")
 
-    f = features.withColumns(feature_bbox("geometry")).withColumn(
-        "_salt", F.pmod(F.xxhash64("type", "id"), F.lit(salt)).cast("int")
-    )
-    f = cells(f, "f_west", "f_south", "f_east", "f_north")
+
+def region_pairs(extents: DataFrame, regions: DataFrame, region_keys: list[str]) -> DataFrame:
+    """Pairs of extents (columns f_west .. f_north) and regions that meet, each once.
+
+    Every extent has the level of the cell size it fits in, and a pair is looked for on the level of
+    its larger member, so a cell holds no more than what is near in its own measure. The levels that
+    occur, a few dozen whole numbers at most, are read first.
+    """
+    f = extents.withColumn("_own", _level("f_west", "f_south", "f_east", "f_north")).filter("_own IS NOT NULL")
     r = regions.select(*region_keys, *[F.col(b).alias(f"r_{b}") for b in BOUNDS])
-    r = cells(r, "r_west", "r_south", "r_east", "r_north").select(
-        "*", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("_salt")
-    )
+    r = r.withColumn("_r_own", _level("r_west", "r_south", "r_east", "r_north")).filter("_r_own IS NOT NULL")
+    f_levels, r_levels = ([x[0] for x in df.select(c).distinct().collect()] for df, c in ((f, "_own"), (r, "_r_own")))
+
+    def levels(own: str, others: list[int]) -> Column:
+        coarser = F.filter(F.array(*map(F.lit, others)).cast("array<int>"), lambda v: v > F.col(own))
+        return F.concat(F.array(own), coarser)
+
+    f = _cells(f, levels("_own", r_levels), "f_west", "f_south", "f_east", "f_north")
+    r = _cells(r, levels("_r_own", f_levels), "r_west", "r_south", "r_east", "r_north")
     meets = (
         (F.col("f_west") <= F.col("r_east")) & (F.col("f_east") >= F.col("r_west"))
         & (F.col("f_south") <= F.col("r_north")) & (F.col("f_north") >= F.col("r_south"))
     )
-    first_x = F.greatest(floor_div("f_west", cell), floor_div("r_west", cell))
-    first_y = F.greatest(floor_div("f_south", cell), floor_div("r_south", cell))
-    home = (F.col("_cx") == first_x) & (F.col("_cy") == first_y)
-    return (
-        f.join(r, ["_cx", "_cy", "_salt"])
-        .filter(residual(meets & home))
-        .drop("_cx", "_cy", "_salt", "f_west", "f_south", "f_east", "f_north")
-        .withColumnsRenamed({f"r_{b}": b for b in BOUNDS})
+    size = F.pow(F.lit(2.0), F.col("_lv"))
+    home = (F.col("_cx") == F.greatest(floor_div("f_west", size), floor_div("r_west", size))) & (
+        F.col("_cy") == F.greatest(floor_div("f_south", size), floor_div("r_south", size))
     )
+    once = (F.col("_lv") == F.greatest("_own", "_r_own")) & home
+    return f.join(r, ["_lv", "_cx", "_cy"]).filter(residual(meets & once)).drop("_lv", "_cx", "_cy", "_own", "_r_own")
+
+
+def features_to_regions(features: DataFrame, regions: DataFrame, region_keys: list[str]) -> DataFrame:
+    """Pairs of feature and region whose extents meet.
+
+    Only types, ids and extents are joined with the regions; geometry and tags follow once per pair.
+    """
+    keyed = features.withColumns(feature_bbox("geometry"))
+    keys = ["type", "id", "f_west", "f_south", "f_east", "f_north"]
+    pairs = region_pairs(keyed.select(*keys).distinct(), regions, region_keys)
+    pairs = pairs.withColumnsRenamed({c: f"_{c}" for c in keys})
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("type", "id")] + [F.col(c) == F.col(f"_{c}") for c in keys[2:]]
+    out = keyed.join(pairs, reduce(Column.__and__, same))
+    return out.drop(*[f"_{c}" for c in keys], *keys[2:]).withColumnsRenamed({f"r_{b}": b for b in BOUNDS})
 
 
 def union_regions(parts: list[DataFrame]) -> DataFrame:
@@ -111,7 +130,7 @@ def feature_extent(features: DataFrame, keys: list[str], geometry: str = "geomet
     )
 
 
-def unsupported_shape_counts(records: DataFrame, keys: list[str], supported: tuple[int, ...] = (3, 5)) -> DataFrame:
+def unsupported_shape_counts(records: DataFrame, keys: list[str], supported: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
     """Records per unsupported geometry type with the total and the list of types per key.
 
     Null shapes (type 0) are not counted. The list holds distinct small codes only.

@@ -49,8 +49,8 @@ class TerrainPackage:
     ``areas`` has the key and a box; ``elevation`` (key, x, y, z) and ``landcover`` (key, x, y, cls)
     are rasters that start at the north-west corner of the area; ``features`` has type, id,
     geometry and tags. All tiles of all areas are processed together. The heights and the
-    features of each tile, which several tables read, are settled if the session has a
-    checkpoint folder; all else runs when a table is written or read.
+    features of each tile, which several tables read, are settled in the shared folder when
+    they are first asked for; all else runs when a table is written or read.
     """
 
     def __init__(
@@ -85,11 +85,9 @@ class TerrainPackage:
     def heights(self) -> DataFrame:
         """Resized elevation; a tile without any elevation reads as 0, like a failed download."""
         size, keys = self.settings.resolution, self.keys
-        found = settle(resample.resample_bilinear(self.elevation, keys, "_cw", "_ch", size, size))
-        missing = self.tiles.select(*keys).join(found.select(*keys).distinct(), keys, "left_anti")
-        side = grids.int_range(F.lit(0), F.lit(size - 1))
-        blank = grids.explode_grid(missing, side, side, spread=True).withColumn("z", F.lit(0.0))
-        return found.unionByName(blank.select(*found.columns))
+        found = resample.resample_bilinear(self.elevation, keys, "_cw", "_ch", size, size)
+        sizes = self.tiles.select(*keys).withColumns({"width": F.lit(size), "height": F.lit(size)})
+        return settle(grids.fill_holes(found, sizes, keys, {"z": 0.0}))
 
     @cached_property
     def stats(self) -> DataFrame:
@@ -149,30 +147,29 @@ def package_report(package: TerrainPackage, area_key: str, settings: PackageSett
 def package_manifests(report: DataFrame, area_key: str, settings: PackageSettings, listing: DataFrame | None = None) -> DataFrame:
     """Manifest JSON of each tile: key, row, col, value.
 
-    Masks are named where they were switched on; with ``listing`` (folder, file_name) only where
-    the file is really there.
+    Masks are named where they were switched on. With ``listing`` (area key, folder, file_name) every
+    file is named only where it is really there, in the area it belongs to.
     """
     keys = [area_key, "row", "col"]
     prefix = F.concat(F.lit("tile_"), F.col("row").cast("string"), F.lit("_"), F.col("col").cast("string"))
     mask_key = {"road": "roadMask", "water": "waterMask", "vegetation": "vegetationMask", "building": "buildingMask", "cliff": "cliffMask"}
     out = report.withColumns({
         mask_key[k]: F.when(F.lit(on), F.concat(prefix, F.lit(f"_{k}_mask.tif"))) for k, on in settings.switches.items()
-    })
+    } | {"buildings3D": F.concat(prefix, F.lit("_buildings3d.json")), "roads3D": F.concat(prefix, F.lit("_roads3d.json"))})
+    named = ["heightmap", "albedo", *mask_key.values(), "buildings3D", "roads3D"]
     if listing is not None:
-        entries = out.select(*keys, prefix.alias("folder"), F.explode(F.array(*[F.struct(F.lit(m).alias("entry"), F.col(m).alias("file_name")) for m in mask_key.values()])).alias("e"))
-        there = manifests.existing_masks(entries.select(*keys, "folder", "e.*"), listing)
+        entries = out.select(*keys, prefix.alias("folder"), F.explode(F.array(*[F.struct(F.lit(m).alias("entry"), F.col(m).alias("file_name")) for m in named])).alias("e"))
+        there = manifests.existing_masks(entries.select(*keys, "folder", "e.*"), listing, area=(area_key,))
         present = there.groupBy(*keys).agg(F.collect_set("entry").alias("_present"))
         out = out.join(present, keys, "left").withColumns({
-            m: F.when(F.coalesce(F.array_contains("_present", m), F.lit(False)), F.col(m)) for m in mask_key.values()
+            m: F.when(F.coalesce(F.array_contains("_present", m), F.lit(False)), F.col(m)) for m in named
         }).drop("_present")
+
     def source(source_id):
         name, attribution = catalogs.source_info(source_id)
         return F.struct(F.lit(source_id).alias("id"), F.lit(name).alias("name"), F.lit(attribution).alias("attribution"))
 
-    files = F.struct(
-        "heightmap", "albedo", *[F.col(m).alias(m) for m in mask_key.values()],
-        F.concat(prefix, F.lit("_buildings3d.json")).alias("buildings3D"), F.concat(prefix, F.lit("_roads3d.json")).alias("roads3D"),
-    )
+    files = F.struct(*named)
     flags = F.struct(
         *[F.lit(settings.switches.get(k, False)).alias(f"generate{k.capitalize()}Masks") for k in mask_key],
         F.lit(settings.cliff_threshold).alias("cliffThresholdDegrees"),
@@ -190,7 +187,10 @@ def package_manifests(report: DataFrame, area_key: str, settings: PackageSetting
 
 
 def write_package(package: TerrainPackage, path: str, area_key: str, settings: PackageSettings) -> None:
-    """Write all artefacts below ``path``; rasters and masks as Parquet, one folder per kind."""
+    """Write all artefacts below ``path``: rasters and masks as Parquet, features as JSON lines by tile, manifests.
+
+    The manifests name no file of the exchange formats, as none of those is written here.
+    """
     keys = [area_key, "row", "col"]
     package.quantized.select(*keys, "x", "y", "q").write.mode("overwrite").parquet(f"{path}/heights")
     package.masks.write.mode("overwrite").partitionBy("kind").parquet(f"{path}/masks")
@@ -198,6 +198,8 @@ def write_package(package: TerrainPackage, path: str, area_key: str, settings: P
         ("buildings", package.buildings, ["footprint", "height", "floors", "min_level", "roof_shape", "tags"]),
         ("roads", package.roads, ["centerline", "width", "surface", "highway", "bridge", "layer", "tags"]),
     ):
-        manifests.features_json(package.tiles, part, keys, fields).write.mode("overwrite").json(f"{path}/{name}")
+        rows = manifests.features_json(part, keys, fields)
+        rows.select(*keys, "value").repartition(*keys).write.mode("overwrite").partitionBy(*keys).text(f"{path}/{name}")
     report = package_report(package, area_key, settings)
-    manifests.write_texts_by_tile(package_manifests(report, area_key, settings), f"{path}/manifests")
+    none = report.select(area_key, F.lit("").alias("folder"), F.lit("").alias("file_name")).limit(0)
+    manifests.write_texts_by_tile(package_manifests(report, area_key, settings, none), f"{path}/manifests", (area_key,))

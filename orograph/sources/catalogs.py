@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..functions.names import hemisphere_name
 from ..functions.numbers import col
-from ..operators.grids import explode_grid, int_range
+from ..operators.grids import explode_grid, fill_holes, int_range
 
 LANDCOVER_DEGREES = 3
 
@@ -52,28 +52,28 @@ def tile_range(zoom) -> dict[str, Column]:
     }
 
 
-def tile_catalog(boxes: DataFrame, zoom, spread: bool = False) -> DataFrame:
+def tile_catalog(boxes: DataFrame, zoom) -> DataFrame:
     """One row per slippy tile of each box: z, tile_x, tile_y and the range they lie in."""
     ranged = boxes.withColumn("z", col(zoom).cast("int")).withColumns(tile_range("z"))
-    return explode_grid(ranged, int_range("min_x", "max_x"), int_range("min_y", "max_y"), "tile_x", "tile_y", spread)
+    return explode_grid(ranged, int_range("min_x", "max_x"), int_range("min_y", "max_y"), "tile_x", "tile_y")
 
 
-def degree_tile_catalog(boxes: DataFrame, spread: bool = False) -> DataFrame:
+def degree_tile_catalog(boxes: DataFrame) -> DataFrame:
     grid = explode_grid(
         boxes, int_range(F.floor("west"), F.floor("east")), int_range(F.floor("south"), F.floor("north")),
-        "tile_lon", "tile_lat", spread,
+        "tile_lon", "tile_lat",
     )
     return grid.withColumn("tile_name", hemisphere_name("tile_lat", "tile_lon"))
 
 
-def landcover_tile_catalog(boxes: DataFrame, spread: bool = False) -> DataFrame:
+def landcover_tile_catalog(boxes: DataFrame) -> DataFrame:
     """Tiles of the 3-degree land-cover grid; the snapped upper ends are exclusive."""
     d = LANDCOVER_DEGREES
 
     def steps(low, high):
         return int_range(F.floor(F.col(low) / d) * d, F.ceil(F.col(high) / d) * d - d, d)
 
-    grid = explode_grid(boxes, steps("west", "east"), steps("south", "north"), "tile_lon", "tile_lat", spread)
+    grid = explode_grid(boxes, steps("west", "east"), steps("south", "north"), "tile_lon", "tile_lat")
     return grid.withColumn("tile_name", hemisphere_name("tile_lat", "tile_lon", ""))
 
 
@@ -147,19 +147,16 @@ def fetch_outcome_fill(
     catalog: DataFrame, fetched: DataFrame, keys: list[str], width: int, height: int, fill: dict[str, object],
     carry: list[str] | None = None,
 ) -> DataFrame:
-    """Pixels of every catalog tile: fetched ones as they are, missing ones filled.
+    """Pixels of every catalog tile: fetched ones as they are, all other positions filled.
 
-    ``fetched`` has keys, x, y and the value columns named in ``fill``. Only the tile lists are
-    compared, so the pixels of fetched tiles pass through without a shuffle by pixel.
+    ``fetched`` has keys, x, y and the value columns named in ``fill``. Tiles are told to be complete
+    by their number of pixels; only incomplete ones are compared by position.
     """
-    carry = carry or []
-    wanted = catalog.select(*keys, *carry).distinct()
-    missing = wanted.join(fetched.select(*keys).distinct(), keys, "left_anti")
-    blank = explode_grid(missing, int_range(F.lit(0), F.lit(width - 1)), int_range(F.lit(0), F.lit(height - 1)), spread=True)
-    blank = blank.withColumns({c: F.lit(v) for c, v in fill.items()} | {"fetched": F.lit(False)})
+    every = [*keys, *(carry or [])]
+    wanted = catalog.select(*every).distinct()
     kept = fetched.select(*keys, "x", "y", *fill).join(wanted, keys).withColumn("fetched", F.lit(True))
-    columns = [*keys, *carry, "x", "y", *fill, "fetched"]
-    return kept.select(*columns).unionByName(blank.select(*columns))
+    sizes = wanted.withColumns({"width": F.lit(width), "height": F.lit(height)})
+    return fill_holes(kept, sizes, every, {**fill, "fetched": False})
 
 
 def fetch_counts(outcomes: DataFrame, keys: list[str], success: str = "success") -> DataFrame:

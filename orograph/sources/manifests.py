@@ -26,7 +26,6 @@ MANIFEST_SCHEMA = (
     "generateBuildingMasks: boolean, generateCliffMasks: boolean, cliffThresholdDegrees: double>"
 )
 MANIFEST_NAME = "manifest.json"
-JSON_PART_ROWS = 10000
 
 
 def packages_from_text(files: DataFrame, path: str = "path", body: str = "body") -> DataFrame:
@@ -59,10 +58,11 @@ def read_packages(spark: SparkSession, path: str) -> DataFrame:
     return packages_from_text(files)
 
 
-def existing_masks(entries: DataFrame, listing: DataFrame, folder: str = "folder", name: str = "file_name") -> DataFrame:
-    """Mask entries that have a name and whose file is in ``listing`` (folder, file_name)."""
+def existing_masks(entries: DataFrame, listing: DataFrame, folder: str = "folder", name: str = "file_name", area: tuple[str, ...] = ()) -> DataFrame:
+    """Entries that have a name and whose file is in ``listing`` (``area``, folder, file_name)."""
     named = entries.filter(F.coalesce(F.length(name), F.lit(0)) > 0)
-    return named.join(listing.select(folder, name).distinct(), [folder, name], "left_semi")
+    on = [*area, folder, name]
+    return named.join(listing.select(*on).distinct(), on, "left_semi")
 
 
 def resolve_heightmap(tiles: DataFrame, listing: DataFrame, folder: str = "folder", name: str = "file_name") -> DataFrame:
@@ -107,32 +107,16 @@ def manifest_json(columns: dict[str, Column]) -> Column:
     ), {"ignoreNullFields": "true"})
 
 
-def write_texts_by_tile(rows: DataFrame, path: str, row: str = "row", tile_col: str = "col", text: str = "value") -> None:
-    """Write one text per row under tile_row=R/tile_col=C folders."""
-    rows.select(F.col(row).alias("tile_row"), F.col(tile_col).alias("tile_col"), F.col(text).alias("value")).write.mode(
+def write_texts_by_tile(rows: DataFrame, path: str, area: tuple[str, ...] = (), row: str = "row", tile_col: str = "col", text: str = "value") -> None:
+    """Write one text per row under AREA=A/tile_row=R/tile_col=C folders."""
+    rows.select(*area, F.col(row).alias("tile_row"), F.col(tile_col).alias("tile_col"), F.col(text).alias("value")).write.mode(
         "overwrite"
-    ).partitionBy("tile_row", "tile_col").text(path)
+    ).partitionBy(*area, "tile_row", "tile_col").text(path)
 
 
-def features_json(tiles: DataFrame, features: DataFrame, keys: list[str], fields: list[str], id_col: str = "id",
-                  part_rows: int = JSON_PART_ROWS) -> DataFrame:
-    """JSON arrays of the features of each tile: keys, part, n, value; an empty tile gives ``[]``.
-
-    A tile with more than about ``part_rows`` features gives several parts, which together hold
-    every feature, so that no tile is gathered whole into one task.
-    """
-    counts = features.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(part_rows)).alias("_parts"))
-    split = features.join(counts, keys).withColumn("part", F.pmod(F.xxhash64(id_col), F.col("_parts")))
-    arrays = split.groupBy(*keys, "part").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.transform(F.array_sort(F.collect_list(F.struct(F.col(id_col).alias("_id"), F.to_json(F.struct(*fields)).alias("_j")))),
-                    lambda s: s["_j"]).alias("_a"),
-    ).select(*keys, "part", "n", F.concat(F.lit("["), F.array_join("_a", ","), F.lit("]")).alias("value"))
-    out = tiles.select(*keys).distinct().join(arrays, keys, "left")
-    return out.select(
-        *keys, F.coalesce("part", F.lit(0).cast("bigint")).alias("part"), F.coalesce("n", F.lit(0).cast("bigint")).alias("n"),
-        F.coalesce("value", F.lit("[]")).alias("value"),
-    )
+def features_json(features: DataFrame, keys: list[str], fields: list[str], id_col: str = "id") -> DataFrame:
+    """One JSON object per feature: keys, the id and ``value``. The form is the same for every tile, and nothing is gathered."""
+    return features.select(*keys, id_col, F.to_json(F.struct(*fields)).alias("value"))
 
 
 def tile_coords_of(path: str = "path") -> dict[str, Column]:
