@@ -1,7 +1,4 @@
-"""Registered queries against their SQL, and the shape of their plans.
-
-ALL_QUERIES=1 runs every query; by default a part of them that touches all modules.
-"""
+"""All registered queries against their SQL, and the shape of their plans."""
 
 import os
 
@@ -11,15 +8,8 @@ from workload import ORACLES, QUERIES
 from workload.compare import compare, connect
 
 SF = "/root/testdata/sf0.01"
-SHORT = [
-    "choose_zoom", "geo_to_pixel", "decode_dem", "building_height_floors", "road_width", "rng", "export_cost_estimate", "tag_filter_water", "mask_task_plan",
-    "lookup_with_default", "tile_catalog", "landcover_tile_catalog", "tile_request_manifest", "fetch_outcome_fill", "mosaic_tiles", "crop_georef", "resample_bilinear",
-    "resample_nearest", "resample_lanczos", "slope_grid", "quantize_u16", "pack_r16", "tile_grid", "split_bounds", "chunk_plan", "scanline_spans", "features_to_regions",
-    "dedupe_features", "road_ribbons", "subtract_masks", "scatter_candidates", "cap_instances", "sample_height_at_points", "tile_order", "world_offsets", "import_summary",
-    "read_packages", "job_progress_latest", "debounced_queries",
-]
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not found")
-NAMES = sorted(QUERIES) if os.environ.get("ALL_QUERIES") else SHORT
+NAMES = sorted(QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -40,8 +30,8 @@ def test_plan_has_no_pairing_of_all_rows(spark, name):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
-def test_every_query_but_one_has_sql():
-    assert set(QUERIES) - set(ORACLES) == {"cap_instances_shuffled"} and set(ORACLES) <= set(QUERIES)
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_nearest_resize_and_ribbons_do_not_shuffle(spark):

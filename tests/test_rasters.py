@@ -51,10 +51,10 @@ def test_slope_does_not_depend_on_the_blocks(spark, block):
 def test_slope_beside_holes(spark):
     a = noise(11, 3, 5)
     df = raster(spark, {1: a}).filter("NOT (x = 2 AND y = 1)")
-    got = as_dict(surface.slope_grid(df, ["tile"], dense=False), "slope")
+    got = as_dict(surface.slope_grid(df, ["tile"]), "slope")
     gx, gy = a[1, 1] - a[1, 0], (a[2, 1] - a[0, 1]) / 2
     assert len(got) == 14 and got[1, 1, 1] == pytest.approx(math.degrees(math.atan(math.hypot(gx, gy))))
-    full = as_dict(surface.slope_grid(raster(spark, {1: a}), ["tile"], dense=False), "slope")
+    full = as_dict(surface.slope_grid(raster(spark, {1: a}), ["tile"]), "slope")
     assert full == as_dict(surface.slope_grid(raster(spark, {1: a}), ["tile"]), "slope")
 
 
@@ -178,12 +178,19 @@ def test_split_parts_cover_the_box(spark):
         assert per[i]["a"] == pytest.approx((e - w) * (n - s)) and per[i]["m"] <= 0.25 + 1e-9 and (per[i]["e"], per[i]["n"]) == (e, n)
 
 
-def test_spread_grids_hold_the_same_cells(spark):
+def test_grids_are_listed_by_many_tasks(spark):
     df = spark.createDataFrame([(1, 300, 200), (2, 0, 5), (3, 2, 1)], "k int, w int, h int")
-    make = lambda spread: sorted(tuple(r) for r in grids.explode_grid(df, grids.int_range(F.lit(0), F.col("w") - 1), grids.int_range(F.lit(0), F.col("h") - 1), spread=spread).collect())
-    assert make(True) == make(False) and len(make(True)) == 300 * 200 + 2
-    tasks = grids.explode_grid(df.filter("k = 1"), grids.int_range(F.lit(0), F.col("w") - 1), grids.int_range(F.lit(0), F.col("h") - 1), spread=True)
-    assert tasks.select(F.spark_partition_id()).distinct().count() > 1
+    out = grids.explode_grid(df, grids.int_range(F.lit(0), F.col("w") - 1), grids.int_range(F.lit(0), F.col("h") - 1))
+    want = [(1, x, y) for x in range(300) for y in range(200)] + [(3, 0, 0), (3, 1, 0)]
+    assert sorted((r["k"], r["x"], r["y"]) for r in out.collect()) == want
+    assert out.filter("k = 1").select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_rasters_with_holes_are_filled(spark):
+    sizes = spark.createDataFrame([(1, 4, 3), (2, 2, 2), (3, 1, 1)], "k int, width int, height int")
+    rows = [(1, x, y, 7) for x in range(4) for y in range(3) if (x, y) not in ((0, 0), (2, 1))] + [(2, x, y, 5) for x in range(2) for y in range(2)]
+    out = grids.fill_holes(spark.createDataFrame(rows, "k int, x bigint, y bigint, v int"), sizes, ["k"], {"v": 0}).collect()
+    assert len(out) == 12 + 4 + 1 and {(r["k"], r["x"], r["y"]) for r in out if r["v"] == 0} == {(1, 0, 0), (1, 2, 1), (3, 0, 0)}
 
 
 def test_landcover_tiles_end_before_the_next(spark):
@@ -197,19 +204,5 @@ def test_r16_files(spark, tmp_path):
     (tmp_path / "a.r16").write_bytes(a.astype("<u2").tobytes())
     df = r16.read_r16(spark, str(tmp_path))
     assert df.count() == 90000 and df.filter((F.col("y") * 300 + F.col("x")) % 60000 != F.col("q")).count() == 0
-    packed = r16.pack_r16(df, ["path"]).collect()[0]
-    assert packed["n_pixels"] == 90000 and bytes(packed["content"]) == a.astype("<u2").tobytes()
-
-
-def test_failing_decoder_becomes_a_row(spark):
-    import pandas as pd
-
-    files = spark.createDataFrame([("good", bytearray(b"\x01\x02")), ("bad", bytearray(b""))], "path string, content binary")
-
-    def decode(blob):
-        if not blob:
-            raise ValueError("empty file")
-        return pd.DataFrame({"x": range(len(blob)), "v": list(blob)})
-
-    got = sorted((r["path"], r["x"], r["v"], r["error"]) for r in r16.decode_tiles(files, decode, "x bigint, v bigint").collect())
-    assert got == [("bad", None, None, "empty file"), ("good", 0, 1, None), ("good", 1, 2, None)]
+    packed = r16.pack_r16(df, ["path"], 300, 300).orderBy("band").collect()
+    assert [r["start"] for r in packed] == [0, 256 * 300] and b"".join(bytes(r["content"]) for r in packed) == a.astype("<u2").tobytes()

@@ -77,17 +77,6 @@ def test_cap_is_exact_and_deterministic(spark):
     assert {t: len(v) for t, v in per.items()} == {1: 100, 2: 20, 3: 100} and set(per[1]) <= {3 * i + 1 for i in range(5000)}
 
 
-def test_shuffled_cap_equals_the_swaps(spark):
-    pts = numbered(spark, 1000).unionByName(numbered(spark, 30, 2))
-    got = scatter.cap_instances_shuffled(pts, ["tile"], 50, 43).orderBy("tile", "slot").collect()
-    arr, draws = list(range(1000)), mulberry(43, 50)
-    for i in range(50):
-        j = i + int(draws[i] * (1000 - i))
-        arr[i], arr[j] = arr[j], arr[i]
-    assert [r["idx"] for r in got if r["tile"] == 1] == [3 * a + 1 for a in arr[:50]]
-    assert [(r["idx"], r["slot"]) for r in got if r["tile"] == 2] == [(3 * i + 1, i) for i in range(30)]
-
-
 @pytest.mark.parametrize("block", [1, 10, 65536])
 def test_numbers_without_one_task_per_key(spark, block):
     rng = random.Random(block)

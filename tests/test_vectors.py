@@ -108,9 +108,23 @@ def test_regions_equal_all_pairs(spark):
     f = spark.createDataFrame([feature(i, p) for i, p in enumerate(lines)], SCHEMA).drop(*vectors.BOUNDS)
     r = spark.createDataFrame(regions, "region int, west double, south double, east double, north double")
     want = {(i, k) for i, ((x1, y1), (x2, y2)) in enumerate(lines) for k, w, s, e, n in regions if x1 <= e and x2 >= w and y1 <= n and y2 >= s}
-    for cell, salt in ((0.5, 8), (2.0, 1)):
-        rows = [(x["id"], x["region"]) for x in vectors.features_to_regions(f, r, ["region"], cell, salt).collect()]
-        assert len(rows) == len(set(rows)) and set(rows) == want
+    rows = [(x["id"], x["region"]) for x in vectors.features_to_regions(f, r, ["region"]).collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
+
+
+def test_region_candidates_stay_near_the_pairs(spark):
+    """1 km tiles in one city: what shares a cell is a small multiple of what meets, and no geometry is joined."""
+    step = 1 / 111.32
+    r = spark.range(2500).select("id", ((F.col("id") % 50) * step).alias("west"), (F.floor(F.col("id") / 50) * step).alias("south"))
+    r = r.select(F.col("id").alias("region"), "west", "south", (F.col("west") + step).alias("east"), (F.col("south") + step).alias("north"))
+    x, y = F.pmod(F.col("id") * 7919, F.lit(50000)) / 1000 * step, F.pmod(F.col("id") * 104729, F.lit(50000)) / 1000 * step
+    f = spark.range(3000).select(F.lit("way").alias("type"), "id", x.alias("f_west"), y.alias("f_south")).select("*", (F.col("f_west") + step / 20).alias("f_east"), (F.col("f_south") + step / 20).alias("f_north"))
+    own = vectors._level("west", "south", "east", "north")
+    level = r.select(own).distinct().collect()[0][0]
+    a = vectors._cells(f, F.array(F.lit(level)), "f_west", "f_south", "f_east", "f_north")
+    b = vectors._cells(r, F.array(F.lit(level)), "west", "south", "east", "north")
+    candidates = a.join(b, ["_lv", "_cx", "_cy"]).count()
+    assert candidates <= 12 * vectors.region_pairs(f, r, ["region"]).count()
 
 
 def test_first_copy_wins(spark):
@@ -188,6 +202,10 @@ def test_masks_are_cleared_only_beside_water(spark):
 
 def test_shapes(spark):
     rows = [(1, 3, 0, 1, 1.0, 1.0), (1, 3, 0, 0, 0.0, 0.0), (1, 3, 1, 0, 5.0, 5.0), (2, 5, 1, 0, 2.0, 2.0), (2, 5, 0, 0, 1.0, 1.0), (2, 5, 0, 1, 1.5, 1.0), (3, 0, 0, 0, 0.0, 0.0)]
+    rows += [(4, 1, 0, 0, 7.0, 8.0), (4, 1, 0, 1, 9.0, 8.0)] + [(5, 3, 0, i, float(i), 0.0) for i in range(7)]
     df = spark.createDataFrame(rows, "shape int, shape_type int, ring bigint, ord int, x double, y double")
-    got = {(r["shape"], r["part"]): r["rings"] for r in shapes.shape_rings_to_features(df, ["shape"]).collect()}
-    assert got == {(1, 0): [[[0, 0], [1, 1]]], (2, 0): [[[1, 1], [1.5, 1]], [[2, 2]]]}
+    got = {(r["shape"], r["part"], r["ring"], r["piece"]): r["points"] for r in shapes.shape_rings_to_features(df, ["shape"], piece=3).collect()}
+    assert got == {
+        (1, 0, 0, 0): [[0, 0], [1, 1]], (2, 0, 0, 0): [[1, 1], [1.5, 1]], (2, 0, 1, 0): [[2, 2]], (4, 0, 0, 0): [[7, 8]], (4, 1, 0, 0): [[9, 8]],
+        **{(5, 0, 0, k): [[float(i), 0.0] for i in range(3 * k, min(7, 3 * k + 3))] for k in range(3)},
+    }

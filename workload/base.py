@@ -129,14 +129,9 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def deal(df: DataFrame) -> DataFrame:
-    """Rows dealt to all cores.
-
-    The given tables are single small files that one task reads; operators that multiply rows
-    before their first shuffle would run in that task. Tables with a split per core stay as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+def deal(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt out by key, for operators that multiply rows before their first shuffle."""
+    return df.repartition(*keys)
 
 
 def fx(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -146,7 +141,7 @@ def fx(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def boxes(spark, sf) -> DataFrame:
     """Boxes with valid bounds."""
-    return deal(fx(spark, sf, "boxes").filter("west < east"))
+    return deal(fx(spark, sf, "boxes").filter("west < east"), "box_id")
 
 
 def features(spark, sf) -> DataFrame:
@@ -165,7 +160,7 @@ def features(spark, sf) -> DataFrame:
 
     r, rv = k % 7 + 2, k % 5 + 2
     zero = F.lit(0)
-    shaped = deal(table(spark, sf, "orders").select("o_orderkey")).select(
+    shaped = deal(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey").select(
         F.floor(k / SHEET_FEATURES).alias("sheet"), F.when(k % 10 == 0, F.lit("relation")).otherwise(F.lit("way")).alias("type"),
         k.alias("id"), F.array(spot(-r, zero), spot(zero, -rv), spot(r, zero), spot(zero, rv)).alias("geometry"),
         (k % total).alias("part_id"),

@@ -91,9 +91,9 @@ def _(spark, sf):
 
 
 @query("combine_manifests", with_ctes(*G, **NAMED) + """SELECT box_id, greatest(1, max("row") - min("row") + 1) AS rows, greatest(1, max(col) - min(col) + 1) AS cols, min("row") AS min_row, min(col) AS min_col,
-  count(*) AS n_tiles, arg_min(heightmap, "row" * 1000 + col) AS heightmap FROM named WHERE ("row" + col) % 2 = 0 GROUP BY box_id""")
+  count(*) AS n_tiles, arg_min(heightmap, "row" * 1000 + col) AS heightmap FROM named GROUP BY box_id""")
 def _(spark, sf):
-    return packages.combine_manifests(named(spark, sf).filter("(row + col) % 2 = 0"), BOX, ["heightmap"])
+    return packages.combine_manifests(named(spark, sf), BOX, ["heightmap"])
 
 
 @query("relocate_tile_files", with_ctes(*G, **NAMED) + """SELECT box_id, "row", col, 'tile_' || "row" || '_' || col || '/' || heightmap AS heightmap,
@@ -159,12 +159,12 @@ def _(spark, sf):
 
 
 @query("heightmap_fallback", with_ctes(*G, **ENTRIES) + """SELECT box_id, "row", col, CASE WHEN ("row" + col) % 3 = 0 THEN folder || '/' || file_name
-  WHEN ("row" + col) % 3 = 1 THEN folder || '/heightmap/' || file_name END AS heightmap_path FROM en WHERE kind = 'road'""")
+  WHEN ("row" + col) % 3 = 1 THEN folder || '/heightmap/' || file_name END AS heightmap_path, kind FROM en WHERE file_name <> ''""")
 def _(spark, sf):
-    e = entries(spark, sf).filter("kind = 'road'")
+    e = entries(spark, sf).filter("file_name <> ''")
     direct = e.filter("(row + col) % 3 = 0").select("folder", "file_name")
     nested = e.filter("(row + col) % 3 = 1").select(F.concat("folder", F.lit("/heightmap")).alias("folder"), "file_name")
-    return manifests.resolve_heightmap(e, direct.unionByName(nested)).select("box_id", "row", "col", "heightmap_path")
+    return manifests.resolve_heightmap(e, direct.unionByName(nested)).select("box_id", "row", "col", "kind", "heightmap_path")
 
 
 # Packages: root manifest with tiles, root manifest without tiles, tile folders only. Some cannot be read.
@@ -188,14 +188,11 @@ def _(spark, sf):
     return out.select("package", "folder", F.col("tile.row").alias("row"), F.col("tile.col").alias("col"), r6("tile.bounds.west").alias("west"))
 
 
-@query("write_features_json", with_ctes("tags", "feat") + f"""SELECT sheet, 0 AS part, count(b.fid) AS n, md5('[' || coalesce(string_agg('{{"id":' || b.fid || ',"floors":' || {FLOORS_SQL}
-  || CASE WHEN {ROOF_SQL} IS NULL THEN '' ELSE ',"roof_shape":"' || {ROOF_SQL} || '"' END || '}}', ',' ORDER BY b.fid), '') || ']') AS digest
-  FROM (SELECT DISTINCT sheet FROM feat UNION SELECT -1) s LEFT JOIN (SELECT * FROM feat WHERE {KIND_SQL['buildings']}) b USING (sheet) GROUP BY sheet""".replace("0 AS part", "CAST(0 AS BIGINT) AS part").replace("SELECT -1", "SELECT CAST(-1 AS BIGINT)"))
+@query("write_features_json", with_ctes("tags", "feat") + f"""SELECT sheet, fid AS id, '{{"id":' || fid || ',"floors":' || {FLOORS_SQL}
+  || CASE WHEN {ROOF_SQL} IS NULL THEN '' ELSE ',"roof_shape":"' || {ROOF_SQL} || '"' END || '}}' AS value FROM feat WHERE {KIND_SQL['buildings']}""")
 def _(spark, sf):
-    f = features(spark, sf)
-    b = placement.extract_buildings(f.filter(vectors.tag_filter("buildings")), F.lit(10.0))
-    sheets = f.select("sheet").unionByName(table(spark, sf, "region").select(F.lit(-1).cast("bigint").alias("sheet")))
-    return manifests.features_json(sheets, b, ["sheet"], ["id", "floors", "roof_shape"]).select("sheet", "part", "n", F.md5("value").alias("digest"))
+    b = placement.extract_buildings(features(spark, sf).filter(vectors.tag_filter("buildings")), F.lit(10.0))
+    return manifests.features_json(b, ["sheet"], ["id", "floors", "roof_shape"])
 
 
 # --- masks of all kinds ---------------------------------------------------------------------
@@ -256,13 +253,6 @@ def _(spark, sf):
     return jobs.debounced_queries(fx(spark, sf, "typed"), GAP).select("user_id", "event_id", "q")
 
 
-@query("debounced_sessions", with_ctes("typed") + f"""SELECT user_id, event_id, trim(q) AS q FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nx FROM typed)
-  WHERE (nx IS NULL OR nx > ts + INTERVAL {GAP} SECOND) AND length(trim(q)) >= 3""")
-def _(spark, sf):
-    out = jobs.debounced_queries_stream(fx(spark, sf, "typed"), f"{GAP} seconds")
-    return out.select("user_id", "event_id", "q")
-
-
 # --- the whole export -----------------------------------------------------------------------
 
 SETTINGS = terrain.PackageSettings(tile_km=55.66, resolution=32, height_format="r16", cliff_threshold=80.0)
@@ -349,15 +339,15 @@ def _(spark, sf):
 @query("write_manifests", with_ctes("dem", "landcover", *FEAT, **{k: v for k, v in PACKAGE.items() if k in ("el", "ar", "tg", "th", "ti", "ts", "tw", "win", "cut", "tt", "tn", "hz", "sta")})
        + f"""SELECT area_id, r AS "row", c AS col, 'Terrain_' || area_id AS name, 'EPSG:4326' AS crs, {q6('(east - west) * (111320e0 * cos(radians((north + south) * 0.5e0)))')} AS width_m,
   {q6('c * ((east - west) * (111320e0 * cos(radians((north + south) * 0.5e0))))')} AS offset_x, {q6('floor(z_max * 100 + 0.5e0) / 100e0')} AS shown_max, 'tile_' || r || '_' || c || '_water_mask.tif' AS water,
-  CASE WHEN (r + c) % 2 = 0 THEN 'tile_' || r || '_' || c || '_road_mask.tif' END AS road, 'Mapzen / AWS' AS dem_by, 'Esri' AS image_by FROM ts JOIN sta USING (sheet)""")
+  CASE WHEN (r + c + area_id) % 2 = 0 THEN 'tile_' || r || '_' || c || '_road_mask.tif' END AS road, 'Mapzen / AWS' AS dem_by, 'Esri' AS image_by FROM ts JOIN sta USING (sheet)""")
 def _(spark, sf):
     p = package(spark, sf)
     stats = p.tiles.join(p.stats, ["area_id", "row", "col"])
     files = terrain.names.tile_file_names("row", "col", F.lit("r16"), F.lit("png"))
     report = stats.withColumns(geo.tile_size_meters(*SIDES)).withColumns(files)
     tile = F.concat(F.lit("tile_"), F.col("row").cast("string"), F.lit("_"), F.col("col").cast("string"))
-    there = F.when((F.col("row") + F.col("col")) % 2 == 0, F.array(F.lit("road"), F.lit("water"))).otherwise(F.array(F.lit("water")))
-    listing = p.tiles.select(tile.alias("folder"), F.explode(there).alias("k")).select("folder", F.concat("folder", F.lit("_"), "k", F.lit("_mask.tif")).alias("file_name")).distinct()
+    there = F.when((F.col("row") + F.col("col") + F.col("area_id")) % 2 == 0, F.array(F.lit("road"), F.lit("water"))).otherwise(F.array(F.lit("water")))
+    listing = p.tiles.select("area_id", tile.alias("folder"), F.explode(there).alias("k")).select("area_id", "folder", F.concat("folder", F.lit("_"), "k", F.lit("_mask.tif")).alias("file_name"))
     out = terrain.package_manifests(report, "area_id", SETTINGS, listing)
 
     def at(path, kind="string"):

@@ -103,11 +103,6 @@ def _(spark, sf):
     return scatter.cap_instances(kept(spark, sf), TK, SETTINGS.cap, SETTINGS.seed + 1).select(*TK, "idx")
 
 
-@query("cap_instances_shuffled")
-def _(spark, sf):
-    return scatter.cap_instances_shuffled(kept(spark, sf), TK, SETTINGS.cap, SETTINGS.seed + 1).select(*TK, "idx", "slot")
-
-
 @query("scatter_instances", with_ctes("dem", "landcover", **CAND, **FILTERED, **CAPPED, **INSTANCES, **WORLD)
        + f"SELECT tile_row, tile_col, idx, {q6('world_x')} AS world_x, {q6('y')} AS y, {q6('world_z')} AS world_z FROM inst")
 def _(spark, sf):

@@ -61,7 +61,7 @@ def _(spark, sf):
 RECORDS = ["user_id AS file_id", "event_id", "CAST(CASE event_id % 8 WHEN 0 THEN 0 WHEN 1 THEN 3 WHEN 2 THEN 5 WHEN 3 THEN 1 WHEN 4 THEN 8 WHEN 5 THEN 31 ELSE 5 END AS INT) AS shape_type"]
 
 
-@query("unsupported_shape_counts", f"WITH r AS (SELECT {', '.join(RECORDS)} FROM events), " + """c AS (SELECT file_id, shape_type, count(*) AS n FROM r WHERE shape_type NOT IN (0, 3, 5) GROUP BY ALL)
+@query("unsupported_shape_counts", f"WITH r AS (SELECT {', '.join(RECORDS)} FROM events), " + """c AS (SELECT file_id, shape_type, count(*) AS n FROM r WHERE shape_type NOT IN (0, 1, 3, 5) GROUP BY ALL)
   SELECT *, CAST(sum(n) OVER w AS BIGINT) AS total_skipped, (SELECT string_agg(CAST(d.shape_type AS VARCHAR), ', ' ORDER BY d.shape_type) FROM c d WHERE d.file_id = c.file_id) AS types FROM c
   WINDOW w AS (PARTITION BY file_id)""")
 def _(spark, sf):
@@ -113,23 +113,27 @@ def _(spark, sf):
 
 # Shapes: lines of 1 to 4 points per ring, polygons, and a null shape.
 
-RING_TYPE = "CASE {k} % 3 WHEN 0 THEN 3 WHEN 1 THEN 5 ELSE 0 END"
+RING_TYPE = "CASE {k} % 4 WHEN 0 THEN 3 WHEN 1 THEN 5 WHEN 2 THEN 1 ELSE 0 END"
+SHAPE_PIECE = 2
 
 
-@query("shape_rings_to_features", with_ctes("ring", v=f"""SELECT fid, {RING_TYPE.format(k='fid')} AS shape_type, CAST(ord - ord % 2 AS BIGINT) // 2 AS part, ord, lon, lat FROM ring
-    UNION ALL SELECT DISTINCT fid, {RING_TYPE.format(k='fid')}, 2, 0, lon, lat FROM ring WHERE ord = 0""",
-    r="SELECT fid, shape_type, part, count(*) AS n, string_agg(CAST(CAST(round(lon * 255) AS BIGINT) AS VARCHAR), ',' ORDER BY ord) AS xs FROM v GROUP BY ALL")
-       + """SELECT fid AS id, shape_type, part, CAST(1 AS INTEGER) AS n_rings, xs FROM r WHERE shape_type = 3 AND n >= 2
-  UNION ALL SELECT fid, shape_type, 0, CAST(count(*) AS INTEGER), string_agg(xs, ';' ORDER BY part) FROM r WHERE shape_type = 5 GROUP BY ALL""")
+@query("shape_rings_to_features", with_ctes("ring", v=f"""SELECT fid, {RING_TYPE.format(k='fid')} AS shape_type, CASE WHEN ord = 3 THEN 1 ELSE 0 END AS ring,
+    CASE WHEN ord = 3 THEN 0 ELSE ord END AS o, CAST(round(lon * 255) AS BIGINT) AS x FROM ring""",
+    s="SELECT *, count(*) OVER (PARTITION BY fid, ring) AS n FROM v",
+    f=f"""SELECT fid, shape_type, CASE shape_type WHEN 5 THEN 0 WHEN 1 THEN o ELSE ring END AS part, CASE WHEN shape_type = 3 THEN 0 ELSE ring END AS rg,
+      CASE WHEN shape_type = 1 THEN 0 ELSE (o - o % {SHAPE_PIECE}) // {SHAPE_PIECE} END AS piece, o, x FROM s WHERE shape_type IN (1, 5) OR (shape_type = 3 AND n >= 2)""")
+       + """SELECT fid AS id, shape_type, CAST(part AS BIGINT) AS part, CAST(rg AS BIGINT) AS ring, CAST(piece AS BIGINT) AS piece, string_agg(CAST(x AS VARCHAR), ',' ORDER BY o) AS xs
+  FROM f GROUP BY ALL""")
 def _(spark, sf):
-    kind = F.when(F.col("id") % 3 == 0, F.lit(3)).when(F.col("id") % 3 == 1, F.lit(5)).otherwise(F.lit(0)).alias("shape_type")
-    listed = features(spark, sf).select("id", kind, F.posexplode("geometry").alias("ord", "p"))
-    ring = F.floor(F.col("ord") / 2)
-    rings = F.explode(F.when(F.col("ord") == 0, F.array(ring, F.lit(2).cast("bigint"))).otherwise(F.array(ring))).alias("ring")
-    v = listed.select("id", "shape_type", rings, "ord", F.col("p.lon").alias("x"), F.col("p.lat").alias("y"))
-    out = shapes.shape_rings_to_features(v, ["id"])
-    xs = F.transform("rings", lambda r: F.array_join(F.transform(r, lambda p: F.round(p[0] * 255).cast("bigint").cast("string")), ","))
-    return out.select("id", "shape_type", "part", F.size("rings").alias("n_rings"), F.array_join(xs, ";").alias("xs"))
+    kind = F.when(F.col("id") % 4 == 0, F.lit(3)).when(F.col("id") % 4 == 1, F.lit(5)).when(F.col("id") % 4 == 2, F.lit(1)).otherwise(F.lit(0)).alias("shape_type")
+    listed = features(spark, sf).select("id", kind, F.posexplode("geometry").alias("at", "p"))
+    last = F.col("at") == 3
+    v = listed.select(
+        "id", "shape_type", F.when(last, 1).otherwise(0).alias("ring"), F.when(last, 0).otherwise(F.col("at")).alias("ord"), F.col("p.lon").alias("x"), F.col("p.lat").alias("y"),
+    )
+    out = shapes.shape_rings_to_features(v, ["id"], SHAPE_PIECE)
+    xs = F.array_join(F.transform("points", lambda p: F.round(p[0] * 255).cast("bigint").cast("string")), ",")
+    return out.select("id", "shape_type", "part", "ring", "piece", xs.alias("xs"))
 
 
 # Short lines all over the world, and the boxes they may meet.
@@ -137,7 +141,7 @@ WORLD = {"wf": "SELECT point_id AS id, lon, lat, lon + (point_id % 13) / 20e0 AS
 
 
 def world(spark, sf):
-    p = deal(fx(spark, sf, "points"))
+    p = deal(fx(spark, sf, "points"), "point_id")
     far = F.struct((F.col("lat") + F.col("point_id") % 7 / 10).alias("lat"), (F.col("lon") + F.col("point_id") % 13 / 20).alias("lon"))
     return p.select(F.lit("way").alias("type"), F.col("point_id").alias("id"), F.array(F.struct("lat", "lon"), far).alias("geometry"), F.col("zoom").alias("tag"))
 
