@@ -16,9 +16,11 @@ their sets' Jaccard similarity is at least 3/4. The steps:
 4. Verification on the sets. Each signature first compares its members with one pivot (a star); what
    links becomes one component. Only members of different components are compared further: by
    stars with other pivots while many pairs are left and stars still help, then all that remain.
-   So no pair of different components that share a signature is left out, and groups of copies
-   cost no square. Bitmaps of the sets bound the overlap of a pair from above first, exactly, so
-   that whole sets are only brought together for pairs that may link.
+   So no pair of different components that share a signature is left out. Bitmaps of the sets bound
+   the overlap of a pair from above first, exactly, so that whole sets are only brought together
+   for pairs that may link. Members of crowded signatures are not joined to pairs at all: their
+   bitmaps meet in blocks within the families that the crowded signatures connect, and only the
+   pairs that may link leave a block.
 
 Components are found by label propagation with pointer jumping, on the cluster.
 
@@ -48,6 +50,8 @@ TOKEN_BYTES = 5
 #: Stars go on while the pairs left are more than this many times the signatures and each star halves them, at most so often.
 STAR_FACTOR, STARS = 4, 6
 BITMAP_BYTES = 512
+#: Members from which a signature is crowded, and members of one block of a family.
+CROWDED, BLOCK = 24, 256
 COUNT_SLICE = 4 << 20
 
 
@@ -228,21 +232,62 @@ def bitmaps(sets: DataFrame) -> DataFrame:
     return sets.select("rep", "n", "tokens").mapInArrow(run, "rep long, n long, k long, bits binary")
 
 
+def _most_common(x: np.ndarray, y: np.ndarray, k_x: np.ndarray, k_y: np.ndarray) -> np.ndarray:
+    """Upper bound of the common tokens: a bit that only one has stands for a token that the other lacks."""
+    only_x, only_y = (np.bitwise_count(d).sum(-1, dtype=np.int64) for d in (x & ~y, y & ~x))
+    return np.minimum(k_x - only_x, k_y - only_y)
+
+
+def _words(bits: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(bits.to_pylist()), np.uint64).reshape(len(bits), -1)
+
+
 def possible(pairs: DataFrame, bits: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose bitmaps allow a link: a bit that only one has stands for a token that the other lacks."""
+    """The pairs (a, b) whose bitmaps allow a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("bits_a", "bits_b"))
                 n_a, n_b, k_a, k_b = (batch.column(c).to_numpy() for c in ("n_a", "n_b", "k_a", "k_b"))
-                most = np.minimum(k_a - np.bitwise_count(x & ~y).sum(1, dtype=np.int64), k_b - np.bitwise_count(y & ~x).sum(1, dtype=np.int64))
+                most = _most_common(_words(batch.column("bits_a")), _words(batch.column("bits_b")), k_a, k_b)
                 yield batch.filter(pa.array(most * 100 >= (n_a + n_b - most) * 75)).select(["a", "b"])
 
     sides = [bits.select(F.col("rep").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("n", "k", "bits")]) for c in ("a", "b")]
     return pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(run, "a long, b long")
 
 
+def family_pairs(crowded: DataFrame, bits: DataFrame, block: int) -> DataFrame:
+    """Pairs (a, b) with different labels that may link, among all members of a family.
+
+    ``crowded`` has rep, label and p_rep, a member of the same signature. Members that are connected
+    so form a family; a family is cut into blocks, and every two blocks are compared by one task.
+    """
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        rep, label, n, k, part = (table.column(c).to_numpy() for c in ("rep", "label", "n", "k", "part"))
+        words, found = _words(table.column("bits").combine_chunks()), []
+        low, high = int(table.column("low")[0].as_py()), int(table.column("high")[0].as_py())
+        left, right = np.flatnonzero(part == low), np.flatnonzero(part == high)
+        for at in range(0, len(left), 16):
+            i = left[at:at + 16]
+            most = _most_common(words[i][:, None], words[right][None], k[i][:, None], k[right][None])
+            union = n[i][:, None] + n[right][None] - most
+            x, y = np.nonzero((most * 100 >= union * 75) & (label[i][:, None] != label[right][None]))
+            found.append(np.stack([rep[i[x]], rep[right[y]]]))
+        pairs = np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
+        return pa.table({"a": np.minimum(*pairs), "b": np.maximum(*pairs)})
+
+    links = crowded.select(F.least("rep", "p_rep").alias("a"), F.greatest("rep", "p_rep").alias("b")).distinct()
+    families = connected(links, None).withColumnRenamed("label", "family")
+    sizes = families.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).alias("parts"))
+    members = families.join(sizes, "family").join(crowded.select("rep", "label").distinct(), "rep").join(bits, "rep")
+    members = members.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")))
+    met = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    met = met.select("rep", "label", "n", "k", "bits", "part", "family", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
+    return met.groupBy("family", "low", "high").applyInArrow(compare, "a long, b long")
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that link, by the intersection of their sets."""
     one = sets.select(F.col("rep").alias("a"), F.col("tokens").alias("tokens_a"), F.col("n").alias("n_a"))
@@ -274,7 +319,7 @@ def connected(links: DataFrame, labels: DataFrame | None) -> DataFrame:
             return labels
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, rare_df: int = RARE, stars: int = STARS) -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, rare_df: int = RARE, stars: int = STARS, crowded: int = CROWDED, block: int = BLOCK) -> DataFrame:
     """``id_col``, ``n_shingles`` and ``component_id`` of every row of ``docs``; ids are integers."""
     members = checkpointed(memberships(docs, id_col, text_col, words))
     total = members.agg(F.sum("n")).first()[0] or 0
@@ -282,13 +327,13 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared = shared_tokens(docs, id_col, text_col, words, total).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("found"))
     sets = shared.join(classes.filter("rep IS NOT NULL").select("key", "n", "rep"), "key").filter(F.size("found") * 4 >= F.col("n") * 3)
     sets = checkpointed(sets.select("rep", "n", F.col("found.token").alias("tokens"), F.col("found.df").alias("df")))
-    labels = _labels(sets, rare_df, stars)
+    labels = _labels(sets, rare_df, stars, crowded, block)
     out = members.join(classes.withColumnRenamed("n", "size"), ["key", "key2"], "left").join(labels, "rep", "left")
     component = F.when(F.col("n") == 0, F.col("id")).when(F.col("id").isNotNull(), F.coalesce("label", "rep"))
     return out.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
-def _labels(sets: DataFrame, rare_df: int, stars: int) -> DataFrame:
+def _labels(sets: DataFrame, rare_df: int, stars: int, crowded: int, block: int) -> DataFrame:
     """rep, label for every class that links with another."""
     active, bits = checkpointed(signatures(sets, rare_df)), checkpointed(bitmaps(sets))
     rows, labels, before = active.count(), None, None
@@ -309,12 +354,18 @@ def _labels(sets: DataFrame, rare_df: int, stars: int) -> DataFrame:
         last = star == stars or star > 0 and (left <= STAR_FACTOR * rows or 2 * left > before)
         before = left
         if last:
-            mine = apart.select("sig", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"))
-            other = apart.select("sig", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
+            crowds = apart.groupBy("sig").agg(F.count(F.lit(1)).alias("k"))
+            apart = apart.join(crowds, "sig")
+            few = apart.filter(F.col("k") < crowded)
+            mine = few.select("sig", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"))
+            other = few.select("sig", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
             pairs = mine.join(other, "sig").filter((F.col("label_a") < F.col("label_b")) & _may_link("n_a", "n_b")).select("a", "b").distinct()
+            many = apart.filter(F.col("k") >= crowded).select("rep", "label", "p_rep")
+            found = possible(pairs, bits).unionByName(family_pairs(many, bits, block)).distinct()
         else:
             pairs = apart.filter((F.col("label") != F.col("p_label")) & _may_link("n", "p_n")).select(F.least("rep", "p_rep").alias("a"), F.greatest("rep", "p_rep").alias("b")).distinct()
-        labels = connected(verified(possible(pairs, bits), sets), labels)
+            found = possible(pairs, bits)
+        labels = connected(verified(found, sets), labels)
         if last:
             break
     return labels if labels is not None else sets.select("rep", F.col("rep").alias("label")).limit(0)
