@@ -23,8 +23,8 @@ from .shared import checkpointed
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 MIN_SHARE = 0.5
-#: Diagonals this far apart, at most, are one span (words put in or left out).
-SHIFT = 3
+#: Diagonals this far apart, at most, are one span (words put in or left out), if so many words lie between them at most.
+SHIFT, GAP = 3, 8
 
 # Base phrases with their labels.
 PHRASES = {
@@ -97,7 +97,7 @@ def spans(found: DataFrame) -> DataFrame:
     texts = diagonals.filter("NOT base").select(
         "*", F.lag("diagonal").over(by_text).alias("diagonal_before"), F.max("last").over(by_text.rowsBetween(Window.unboundedPreceding, -1)).alias("last_before"),
     )
-    apart = (F.abs(F.col("diagonal") - F.col("diagonal_before")) > SHIFT) | (F.col("first") > F.col("last_before") + SHIFT)
+    apart = (F.abs(F.col("diagonal") - F.col("diagonal_before")) > SHIFT) | (F.col("first") > F.col("last_before") + GAP)
     texts = texts.withColumn("span", F.sum(F.coalesce(apart, F.lit(True)).cast("int")).over(by_text))
     whole = texts.groupBy(*keys, "span").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"))
     whole = whole.withColumn("share", F.least(F.lit(1.0), F.col("n") / F.col("pairs"))).filter(F.col("share") >= MIN_SHARE)
