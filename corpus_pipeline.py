@@ -47,8 +47,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document, with digests of the ids and of what they decode to."""
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    decoded = byte_bpe.decode(byte_bpe.encode(docs, ranks, offsets=False), ranks)
-    return byte_bpe.digests(decoded, keep=("ids",))
+    return byte_bpe.digests(byte_bpe.encode_and_decode(docs, ranks), keep=("ids",))
 
 
 STAGES = [

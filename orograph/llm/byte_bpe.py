@@ -32,7 +32,7 @@ from .merging import merge
 
 CACHED_BYTES = 64
 #: Slices remembered by a worker: so many new ones, and as many from before.
-CACHED_SLICES = 200_000
+CACHED_SLICES = 150_000
 
 # Classes of code points; the last one separates texts.
 LETTER, SUFFIX, PAIR, NUMBER, QUOTE, OTHER, BLANK, SPACE, RESET = range(9)
@@ -235,6 +235,22 @@ def decode(encoded: DataFrame, rank_path: str, id_col: str = "doc_id", ids_col:
     return rows.mapInArrow(run, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, `{ids_col}` array<int>, decoded binary")
 
 
+def encode_and_decode(docs: DataFrame, rank_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``encode`` and ``decode`` in one pass: ``id_col``, ``ids`` and what the ids decode to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = byte_coder(rank_path)
+        for part in slices(batches):
+            ids, counts = coder.encode(part.column("text").to_pylist())
+            column = list_array(ids, counts, pa.int32())
+            decoded = pa.array(map(coder.decode, column.to_pylist()), pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("id"), column, decoded], names=[id_col, "ids", "decoded"])
+        coder.forget()
+
+    rows = id_and_text(docs, id_col, text_col)
+    return rows.mapInArrow(run, f"`{id_col}` {rows.schema['id'].dataType.simpleString()}, ids array<int>, decoded binary")
+
+
 def digests(decoded: DataFrame, id_col: str = "doc_id", keep: Sequence[str] = ()) -> DataFrame:
     """Number of ids and digests of the ids (decimal, joined by commas) and of the decoded bytes; ``keep`` names columns that stay."""
     return decoded.select(

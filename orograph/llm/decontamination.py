@@ -121,9 +121,11 @@ def hit_column(text: Column, benchmark: DataFrame, words: int = WINDOW, item_col
     blocks = sent_blocks(benchmark, words, item_col, item_text_col)
 
     @F.arrow_udf("boolean")
-    def run(texts: pa.Array) -> pa.Array:
-        parts = slices(iter([pa.RecordBatch.from_arrays([texts], names=["text"])]), SCAN_BYTES)
-        return pa.array([bool(h) for p in parts for h in scan(p.column("text").to_pylist(), blocks)[1]], pa.bool_())
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            parts = slices(iter([pa.RecordBatch.from_arrays([texts], names=["text"])]), SCAN_BYTES)
+            yield pa.array([bool(h) for p in parts for h in scan(p.column("text").to_pylist(), blocks)[1]], pa.bool_())
+        automaton.cache_clear()
 
     return run(F.coalesce(text, F.lit("")))
 

@@ -25,7 +25,7 @@ def op2_token_counts(spark, sf):
 @query("op8_byte_bpe")
 def op8_byte_bpe(spark, sf):
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return byte_bpe.digests(byte_bpe.decode(byte_bpe.encode(table(spark, sf, "documents"), ranks, offsets=False), ranks))
+    return byte_bpe.digests(byte_bpe.encode_and_decode(table(spark, sf, "documents"), ranks))
 
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"

@@ -81,7 +81,7 @@ def test_coding_of_odd_rows(spark, odd, nothing, coder):
             assert r.ids == library.encode_ordinary(text.decode())
             ends = [*r.offsets[1:], len(text)]
             assert all(library.decode_bytes([i]) == text[a:b] for i, a, b in zip(r.ids, r.offsets, ends))
-    for r in byte_bpe.digests(byte_bpe.decode(encoded, RANKS)).collect():
+    for r in byte_bpe.digests(byte_bpe.decode(encoded, RANKS)).collect() + byte_bpe.digests(byte_bpe.encode_and_decode(odd, RANKS)).collect():
         if r.doc_id is not None:
             text = ODD[r.doc_id] or ""
             ids = library.encode_ordinary(text)
