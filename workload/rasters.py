@@ -140,10 +140,10 @@ def _(spark, sf):
     return catalogs.fetch_outcome_fill(img.select(*TILE_KEYS), img.filter(f"NOT ({MISSING})"), TILE_KEYS, TILE, TILE, {"r": 0, "g": 0, "b": 0, "a": 255})
 
 
-@query("fetch_outcome_counts", with_ctes("dem") + f"""SELECT tile_row, count(*) FILTER (WHERE NOT {MISSING}) AS n_success, count(*) FILTER (WHERE {MISSING}) AS n_failed
+@query("fetch_outcome_counts", with_ctes("dem") + f"""SELECT tile_row, count(*) FILTER (WHERE NOT {FAILED}) AS n_success, count(*) FILTER (WHERE {FAILED}) AS n_failed
   FROM (SELECT DISTINCT tile_row, tile_col FROM dem) GROUP BY tile_row""")
 def _(spark, sf):
-    tiles = fx(spark, sf, "dem").select(*TILE_KEYS).distinct().withColumn("success", F.expr(f"NOT ({MISSING})"))
+    tiles = fx(spark, sf, "dem").select(*TILE_KEYS).distinct().withColumn("success", F.expr(f"NOT ({FAILED})"))
     return catalogs.fetch_counts(tiles, ["tile_row"])
 
 
