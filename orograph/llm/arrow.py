@@ -20,7 +20,10 @@ def id_and_text(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> D
 
 
 def slices(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches, cut so that the column ``text`` of each holds at most ``most`` bytes or one row."""
+    """The batches, cut so that the column ``text`` of each holds at most ``most`` bytes or one row.
+
+    At the end, what Arrow has put by is given back, as workers wait idle for their next task.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -30,6 +33,7 @@ def slices(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES) -> Iterat
             end = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
             yield batch.slice(start, end - start)
             start, before = end, int(ends[end - 1])
+    pa.default_memory_pool().release_unused()
 
 
 def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

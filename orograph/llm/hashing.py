@@ -17,16 +17,19 @@ _UPPER = np.arange(256)
 LOWERED = np.where((_UPPER >= 0x41) & (_UPPER <= 0x5A), _UPPER + 32, _UPPER).astype(np.uint8)
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(9, 14)]] = True
+KEPT_POWERS = 1 << 21
 _powers: dict[int, np.ndarray] = {}
 
 
 def _power(base: int, n: int) -> np.ndarray:
-    """base^0 .. base^(n-1); kept, as every slice needs them."""
+    """base^0 .. base^(n-1); kept for usual slices, as each of them needs it."""
     have = _powers.get(base)
     if have is None or len(have) < n:
         steps = np.full(max(n, 1 << 16), base, np.uint64)
         steps[0] = 1
-        have = _powers[base] = np.cumprod(steps)
+        have = np.cumprod(steps)
+        if n <= KEPT_POWERS:
+            _powers[base] = have
     return have[:n]
 
 

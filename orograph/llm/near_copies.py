@@ -52,7 +52,7 @@ STAR_FACTOR, STARS = 4, 6
 BITMAP_BYTES = 512
 #: Members from which a signature is crowded, and members of one block of a family.
 CROWDED, BLOCK = 24, 256
-COUNT_SLICE = 4 << 20
+COUNT_SLICE = 1 << 20
 
 
 def token_sets(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
