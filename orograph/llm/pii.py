@@ -42,13 +42,34 @@ def _behind(chars: str) -> str:
     return rf"(?:(?<![{chars}])|\G)"
 
 
+#: Characters of an account number by country, as the IBAN registry has them.
+ACCOUNT_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _account() -> str:
+    """Blocks of four with blanks between: as many characters as the country has, or else as many as stand there."""
+
+    def known(n: int, countries: str) -> str:
+        rest = rf"\x20?[A-Z0-9]{{{n % 4}}}" if n % 4 else ""
+        return rf"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{{n // 4 - 1}}}{rest}"
+
+    each = "|".join(known(n, c) for n, c in ACCOUNT_LENGTHS.items())
+    other = r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3}+)?+"
+    return rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:(?:{each})(?![A-Za-z0-9])|{other}(?![A-Za-z0-9]))"
+
+
 LOCAL = "A-Za-z0-9._%+-"
 KINDS = (
     Kind("email", rf"{_behind(LOCAL)}[{LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", "mail|contact|write|address", 0.9),
     Kind("ip", rf"{_behind('0-9')}[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", ".", "ip|host|server|address|login", 0.6, "ip"),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", "", "card|visa|credit|pay|account", 0.7, "card"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", "phone|call|tel|mobile|fax", 0.7, "phone"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3}+)?+(?![A-Za-z0-9])", "", "iban|account|bank|transfer", 0.8, "iban"),
+    Kind("iban", _account(), "", "iban|account|bank|transfer", 0.8, "iban"),
 )
 BASE = ("email", "ip", "card", "phone")
 
