@@ -14,12 +14,16 @@ than ``K`` units has its whole sequence as its one anchor; extra columns are ign
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import shuffle_partitions
 
 UNIT, K, S, SIZE = 8, 4, 2, 64
+#: Characters of a window and of its inner windows, and windows of one piece of text.
+CHAR_K, CHAR_S, PIECE = 12, 4, 4096
 #: Buckets of consecutive ids per shuffle partition, so that partitions come out even.
 BUCKETS = 8
 _LOW = -(2 ** 63)
@@ -85,18 +89,20 @@ def _bucket(key: Column, firsts: list[int]) -> Column:
     )
 
 
-def with_next(rows: DataFrame, id_col: str, tie_col: str, columns: list[str]) -> DataFrame:
+def with_next(rows: DataFrame, id_col: str, tie_col: str, columns: list[str], between: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Columns ``next_...`` of the row that follows by an integer id (then ``tie_col``); the first row follows the last.
 
     The ids are cut into buckets of consecutive ids, of which a few hundred limits reach the driver. The
     first rows of a bucket are also sent to the bucket before it (those of the first one to the last), so
     each row meets its successor in its bucket, after one shuffle. A null id comes before all others.
+    ``between`` adds columns to the rows behind the shuffle.
     """
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(_LOW))
     ids = rows.select(key.alias("key"))
     n = BUCKETS * shuffle_partitions(rows)
     cuts = ids.agg(F.min("key").alias("least"), F.percentile_approx("key", [i / n for i in range(1, n)], 20 * n).alias("cuts")).first()
     if cuts["least"] is None:
+        rows = between(rows) if between else rows
         return rows.select("*", *[F.col(c).alias(f"next_{c}") for c in columns])
     limits = sorted({cuts["least"], *(c for c in cuts["cuts"] if c > cuts["least"])})
     firsts = sorted(r.first_key for r in ids.groupBy(_bucket(F.col("key"), limits).alias("b")).agg(F.min("key").alias("first_key")).collect())
@@ -106,8 +112,11 @@ def with_next(rows: DataFrame, id_col: str, tie_col: str, columns: list[str]) ->
     first = F.get(F.array(*map(F.lit, firsts)), F.col("_bucket"))
     rows = rows.withColumn("_to", F.explode(F.when(F.col("_key") == first, F.array(own, before)).otherwise(F.array(own))))
     by = Window.partitionBy("_to.bucket").orderBy("_to.carried", "_key", tie_col)
+    if between:
+        rows = between(rows.withColumn("_at", F.col("_to.bucket")).repartition(shuffle_partitions(rows), "_at"))
+        by = Window.partitionBy("_at").orderBy("_to.carried", "_key", tie_col)
     out = rows.select("*", *[F.lead(c).over(by).alias(f"next_{c}") for c in columns])
-    return out.filter("NOT _to.carried").drop("_key", "_bucket", "_to")
+    return out.filter("NOT _to.carried").drop("_key", "_bucket", "_to", "_at")
 
 
 def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -125,3 +134,74 @@ def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         as_text(F.col("edited_codes")).alias("edited_fingerprint"), likeness(F.col("codes"), F.col("edited_codes")).alias("near_edited"),
         likeness(F.col("codes"), F.col("next_codes")).alias("near_next"),
     )
+
+
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)``, an array, with the value computed once."""
+    return F.flatten(F.transform(F.array(value), then))
+
+
+def character_anchors(points: Column, blank: Column) -> Column:
+    """Codes (32 bits of hash, then the first character's place) of the chosen windows of ``CHAR_K`` characters, by place.
+
+    ``points`` is the text in UTF-32. It is cut into pieces that overlap by a window less one character;
+    as the choice depends on the window alone, the cuts change nothing and only bound the memory.
+    """
+    k, s, n = CHAR_K, CHAR_S, F.length(points)
+    most, high = F.lit(PIECE + k), F.lit(-(1 << 32))
+
+    def of_piece(at: Column, p: Column) -> Column:
+        last = F.greatest(F.length(p).cast("int") - 4 * k + 1, F.lit(1))
+        hashes = F.transform(F.sequence(F.lit(1), last + 4 * (k - s), F.lit(4)), lambda i: F.xxhash64(F.substring(p, i, F.lit(4 * s))))
+
+        def chosen(h: Column) -> Column:
+            twos = F.zip_with(h, F.slice(h, 2, most), lambda a, b: F.least(a, b))
+            fours = F.zip_with(twos, F.slice(twos, 3, most), lambda a, b: F.least(a, b))
+            return _let(fours, lambda f: F.filter(
+                F.sequence(F.lit(0), F.size(h) - (k - s + 1)),
+                lambda i: F.least(F.get(h, i), F.get(h, i + (k - s))) <= F.least(F.get(f, i + 1), F.get(f, i + (k - s - 4))),
+            ))
+
+        return F.transform(_let(hashes, chosen), lambda i: F.xxhash64(F.substring(p, i * 4 + 1, F.lit(4 * k))).bitwiseAND(high).bitwiseOR((at + i).cast("long")))
+
+    starts = F.sequence(F.lit(0), F.greatest((n / 4).cast("int") - k, F.lit(0)), F.lit(PIECE))
+    pieces = F.transform(starts, lambda at: _let(F.substring(points, at * 4 + 1, F.lit(4 * (PIECE + k - 1))), lambda p: of_piece(at, p)))
+    whole = F.array(F.xxhash64(points).bitwiseAND(high))
+    return F.when(blank, F.array().cast("array<bigint>")).when(n < 4 * k, whole).otherwise(F.flatten(pieces))
+
+
+def with_character_anchors(rows: DataFrame, text_col: str, out: str) -> DataFrame:
+    """Column ``out``: ``character_anchors`` of a text; a null one has none."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = rows.select("*", F.encode(text, "UTF-32").alias("_points"), (~text.rlike(r"\S")).alias("_blank"))
+    return rows.select("*", character_anchors(F.col("_points"), F.col("_blank")).alias(out)).drop("_points", "_blank")
+
+
+def codes_of(anchors: Column) -> Column:
+    """The smallest distinct hashes of character anchors."""
+    return F.slice(F.sort_array(F.array_distinct(F.transform(anchors, lambda c: F.shiftrightunsigned(c, 32)))), 1, SIZE)
+
+
+def digest(codes: Column) -> Column:
+    """The smallest distinct hashes of anchors, a text of fixed size at most."""
+    return as_text(codes_of(codes))
+
+
+def passage_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As ``edit_report``, by characters: likeness of the smallest anchors.
+
+    Anchors are computed behind the shuffle, so only texts are sent.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    rows = with_next(rows, "id", "tie", ["text", "codes"], lambda r: with_character_anchors(r, "text", "codes"))
+    n = F.length("text")
+    half = F.floor(n / 2).cast("int")
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
+    rows = rows.select("id", n.cast("long").alias("n_chars"), "codes", "next_codes", edited.alias("edited"))
+    rows = with_character_anchors(rows, "edited", "edited_codes")
+    rows = rows.select("*", *[codes_of(F.col(c)).alias(f"small_{c}") for c in ("codes", "edited_codes", "next_codes")])
+    return rows.select(
+        F.col("id").alias(id_col), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digest(F.col("codes")).alias("fingerprint"),
+        digest(F.col("edited_codes")).alias("edited_fingerprint"), likeness(F.col("small_codes"), F.col("small_edited_codes")).alias("near_edited"),
+        likeness(F.col("small_codes"), F.col("small_next_codes")).alias("near_next"), F.size("codes").cast("long").alias("n_anchors"),
+    )

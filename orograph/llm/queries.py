@@ -68,7 +68,7 @@ def op5_license_scan(spark, sf):
 
 @query("op7_fingerprints")
 def op7_fingerprints(spark, sf):
-    return fingerprints.edit_report(table(spark, sf, "documents"))
+    return fingerprints.passage_report(table(spark, sf, "documents"))
 
 
 QUALITY_LIMIT = 0.7
