@@ -177,20 +177,110 @@ def with_character_anchors(rows: DataFrame, text_col: str, out: str) -> DataFram
     return rows.select("*", character_anchors(F.col("_points"), F.col("_blank")).alias(out)).drop("_points", "_blank")
 
 
-def codes_of(anchors: Column) -> Column:
-    """The smallest distinct hashes of character anchors."""
-    return F.slice(F.sort_array(F.array_distinct(F.transform(anchors, lambda c: F.shiftrightunsigned(c, 32)))), 1, SIZE)
-
-
 def digest(codes: Column) -> Column:
     """The smallest distinct hashes of anchors, a text of fixed size at most."""
-    return as_text(codes_of(codes))
+    return as_text(F.slice(F.sort_array(F.array_distinct(F.transform(codes, lambda c: F.shiftrightunsigned(c, 32)))), 1, SIZE))
+
+
+def with_matches(rows: DataFrame, a: str, b: str, out: str) -> DataFrame:
+    """Columns ``out`` (most anchors of both in one order) and ``out``_passage (anchors in a row: number, place in both).
+
+    Anchors with one hash are paired by number, counted from the front, and where the texts have
+    different numbers of them also from the back; the better of both counts. In the order of ``b``, the
+    pairs' places in the order of ``a`` are cut into runs of consecutive ones, which always go together;
+    the heaviest increasing chain of runs is found with a frontier of (last place, weight).
+    """
+    side, low = 1 << 31, F.lit((1 << 32) - 1)
+    none = F.array().cast("array<bigint>")
+
+    def step(*more: Column) -> None:
+        nonlocal rows
+        rows = rows.select("*", *more)
+
+    kept = rows.columns
+    step(F.sort_array(F.concat(a, F.transform(b, lambda c: c.bitwiseOR(F.lit(side))))).alias("_all"))
+    whole = F.col("_all")
+
+    def hash_at(i: Column) -> Column:
+        return F.shiftright(F.get(whole, i), 32)
+
+    def place(i: Column) -> Column:
+        return F.get(whole, i).bitwiseAND(F.lit(side - 1))
+
+    def is_b(i: Column) -> Column:
+        return F.get(whole, i).bitwiseAND(F.lit(side)) != 0
+
+    # First entries of both sides: a hash of both texts has exactly one place where ``a`` turns into ``b``.
+    turns = F.filter(F.sequence(F.lit(1), F.size(whole) - 1), lambda i: (hash_at(i) == hash_at(i - 1)) & is_b(i) & ~is_b(i - 1))
+    bounds = F.filter(F.sequence(F.lit(0), F.size(whole)), lambda i: (i == 0) | (i == F.size(whole)) | (hash_at(i) != hash_at(i - 1)))
+    step(F.when(F.size(whole) > 1, turns).otherwise(F.array().cast("array<int>")).alias("_turns"))
+    repeated = F.exists("_turns", lambda i: ((i > 1) & (hash_at(i - 2) == hash_at(i))) | ((i + 1 < F.size(whole)) & (hash_at(i + 1) == hash_at(i))))
+    step(F.when(repeated, bounds).alias("_bounds"))
+    # (turn, entries of a, entries of b); the bounds round a turn by the sorted union of both.
+    step(F.when(F.col("_bounds").isNotNull(), F.sort_array(F.concat(F.transform("_bounds", lambda i: i * 2), F.transform("_turns", lambda i: i * 2 + 1)))).alias("_marks"))
+    marks = F.col("_marks")
+    around = F.filter(F.sequence(F.lit(1), F.size(marks) - 2), lambda j: F.get(marks, j) % 2 == 1)
+    groups = F.transform(around, lambda j: F.struct(
+        F.floor(F.get(marks, j) / 2).cast("int").alias("turn"),
+        ((F.get(marks, j) - 1 - F.get(marks, j - 1)) / 2).cast("int").alias("n_a"),
+        ((F.get(marks, j + 1) - F.get(marks, j) + 1) / 2).cast("int").alias("n_b"),
+    ))
+    step(F.when(marks.isNotNull(), groups).alias("_groups"))
+
+    def pair(i: Column, j: Column) -> Column:
+        return F.shiftleft(place(i), 32).bitwiseOR(place(j))
+
+    def numbered(back: bool) -> Column:
+        def of_group(g: Column) -> Column:
+            turn, n_a, n_b = g["turn"], g["n_a"], g["n_b"]
+            m = F.least(n_a, n_b)
+            first_a, first_b = (turn - m, turn + n_b - m) if back else (turn - n_a, turn)
+            return F.transform(F.sequence(F.lit(0), m - 1), lambda r: pair(first_a + r, first_b + r))
+
+        return F.flatten(F.transform("_groups", of_group))
+
+    uneven = F.exists("_groups", lambda g: g["n_a"] != g["n_b"])
+    step(
+        F.sort_array(F.coalesce(numbered(False), F.transform("_turns", lambda i: pair(i - 1, i)))).alias("_p1"),
+        F.sort_array(F.when(uneven, numbered(True))).alias("_p2"),
+    )
+    for x in "12":
+        pairs, order, cuts, runs, chain = (F.col(f"_{c}{x}") for c in "pocrf")
+        step(F.sort_array(F.transform(pairs, lambda p, i: F.shiftleft(p, 32).bitwiseOR(i.cast("long")))).alias(f"_s{x}"))
+        step(F.transform(f"_s{x}", lambda v: v.bitwiseAND(low).cast("int")).alias(f"_o{x}"))
+        cut = F.filter(F.sequence(F.lit(0), F.size(order)), lambda j: (j == 0) | (j == F.size(order)) | (F.get(order, j) != F.get(order, j - 1) + 1))
+        step(F.when(F.size(order) > 0, cut).alias(f"_c{x}"))
+        run = F.zip_with(F.slice(cuts, 1, F.size(cuts) - 1), F.slice(cuts, 2, F.size(cuts)), lambda j, k: F.struct((k - j).alias("n"), F.get(order, j).alias("v")))
+        step(run.alias(f"_r{x}"))
+
+        def taken(front: Column, r: Column) -> Column:
+            at = F.shiftleft(r["v"].cast("long"), 32)
+
+            def put(before: Column) -> Column:
+                weight = F.coalesce(F.get(before, F.size(before) - 1).bitwiseAND(low), F.lit(0).cast("long")) + r["n"]
+                after = F.filter(front, lambda e: (e > at) & (e.bitwiseAND(low) > weight))
+                return F.concat(before, F.array(at.bitwiseOR(weight)), F.when(F.get(front, F.size(front) - 1) > at, after).otherwise(none))
+
+            return _let(F.when(F.get(front, F.size(front) - 1) > at, F.filter(front, lambda e: e < at)).otherwise(front), put)
+
+        step(F.aggregate(runs, none, taken).alias(f"_f{x}"))
+        longest = F.array_max(F.transform(runs, lambda r: F.struct(
+            r["n"].alias("anchors"), F.shiftright(F.get(pairs, r["v"]), 32).alias("at"), F.get(pairs, r["v"]).bitwiseAND(low).alias("other_at"),
+        )))
+        step(F.get(chain, F.size(chain) - 1).bitwiseAND(low).alias(f"_n{x}"), longest.alias(f"_l{x}"))
+    return rows.select(*kept, F.coalesce(F.greatest("_n1", "_n2"), F.lit(0).cast("long")).alias(out), F.greatest("_l1", "_l2").alias(f"{out}_passage"))
+
+
+def dice(matched: Column, a: Column, b: Column) -> Column:
+    """Share of the anchors of two texts that are matched; 1 where neither has any."""
+    both = F.size(a) + F.size(b)
+    return F.when(both == 0, F.lit(1.0)).otherwise(2 * matched / F.greatest(both, F.lit(1)))
 
 
 def passage_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """As ``edit_report``, by characters: likeness of the smallest anchors.
+    """As ``edit_report``, by characters: likeness by all anchors in consistent order, their numbers, and the longest passage in common.
 
-    Anchors are computed behind the shuffle, so only texts are sent.
+    A passage is a struct (anchors, at, other_at), places in characters. Anchors are computed behind the shuffle, so only texts are sent.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
     rows = with_next(rows, "id", "tie", ["text", "codes"], lambda r: with_character_anchors(r, "text", "codes"))
@@ -199,9 +289,10 @@ def passage_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
     rows = rows.select("id", n.cast("long").alias("n_chars"), "codes", "next_codes", edited.alias("edited"))
     rows = with_character_anchors(rows, "edited", "edited_codes")
-    rows = rows.select("*", *[codes_of(F.col(c)).alias(f"small_{c}") for c in ("codes", "edited_codes", "next_codes")])
+    rows = with_matches(with_matches(rows, "codes", "edited_codes", "matched_edited"), "codes", "next_codes", "matched_next")
     return rows.select(
         F.col("id").alias(id_col), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digest(F.col("codes")).alias("fingerprint"),
-        digest(F.col("edited_codes")).alias("edited_fingerprint"), likeness(F.col("small_codes"), F.col("small_edited_codes")).alias("near_edited"),
-        likeness(F.col("small_codes"), F.col("small_next_codes")).alias("near_next"), F.size("codes").cast("long").alias("n_anchors"),
+        digest(F.col("edited_codes")).alias("edited_fingerprint"), dice(F.col("matched_edited"), F.col("codes"), F.col("edited_codes")).alias("near_edited"),
+        dice(F.col("matched_next"), F.col("codes"), F.col("next_codes")).alias("near_next"), F.size("codes").cast("long").alias("n_anchors"),
+        "matched_edited", "matched_next", "matched_edited_passage", "matched_next_passage",
     )

@@ -1,5 +1,8 @@
 """Plain-loop counterpart of the character anchors and their matching."""
 
+import bisect
+import collections
+
 import xxhash
 
 from orograph.llm.fingerprints import CHAR_K, CHAR_S
@@ -23,3 +26,28 @@ def anchors(text: str | None) -> list[tuple[int, int]]:
         if min(inner) in (inner[0], inner[-1]):
             out.append((h(text[i:i + CHAR_K]) >> 32, i))
     return out
+
+
+def matched(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> int:
+    by_a, by_b = collections.defaultdict(list), collections.defaultdict(list)
+    for by, side in ((by_a, a), (by_b, b)):
+        for code, at in side:
+            by[code].append(at)
+    best = 0
+    for back in (False, True):
+        pairs = []
+        for code in by_a.keys() & by_b.keys():
+            x, y = by_a[code], by_b[code]
+            m = min(len(x), len(y))
+            pairs += zip(x[-m:], y[-m:]) if back else zip(x[:m], y[:m])
+        ends = []
+        for _, y in sorted(pairs):
+            at = bisect.bisect_left(ends, y)
+            ends[at:at + 1] = [y]
+        best = max(best, len(ends))
+    return best
+
+
+def like(a: str | None, b: str | None) -> float:
+    x, y = anchors(a), anchors(b)
+    return 2 * matched(x, y) / (len(x) + len(y)) if x or y else 1.0

@@ -1,9 +1,11 @@
 """Fingerprints by characters: anchors in plain loops, edits in unspaced runs and short texts, passages of long texts."""
 
+import hashlib
 import random
 import string
 
 from orograph.llm import fingerprints
+from orograph.llm.queries import QUERIES
 from tests.llm import brute_passages
 from tests.llm.conftest import ODD
 
@@ -11,7 +13,7 @@ from tests.llm.conftest import ODD
 def likenesses(spark, pairs):
     rows = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(pairs)], "k long, a string, b string").repartition(2)
     rows = fingerprints.with_character_anchors(fingerprints.with_character_anchors(rows, "a", "x"), "b", "y")
-    rows = rows.withColumn("near", fingerprints.likeness(*[fingerprints.codes_of(fingerprints.F.col(c)) for c in "xy"]))
+    rows = fingerprints.with_matches(rows, "x", "y", "n").withColumn("near", fingerprints.dice(fingerprints.F.col("n"), fingerprints.F.col("x"), fingerprints.F.col("y")))
     return sorted(rows.collect(), key=lambda r: r.k)
 
 
@@ -41,3 +43,50 @@ def test_one_changed_character_in_five_words_leaves_likeness(spark):
         pairs.append((text, text[:at] + "#" + text[at + 1:]))
     near = [r.near for r in likenesses(spark, pairs)]
     assert sum(x == 0 for x in near) < 40 and sum(near) / len(near) > 0.3
+
+
+def test_a_passage_of_very_long_texts_is_found_with_its_place(spark):
+    rng = random.Random(4)
+    shared = words(rng, 300)
+    pairs, places = [], []
+    for _ in range(6):
+        a, b = words(rng, 5000), words(rng, 2500)
+        pairs.append((f"{a} {shared} {words(rng, 5000)}", f"{b} {shared} {words(rng, 2500)}"))
+        places.append((len(a) + 1, len(b) + 1))
+    for r, (at, other) in zip(likenesses(spark, pairs), places):
+        assert r.near > 0.03 and r.n_passage.anchors > 300
+        assert abs(r.n_passage.at - at) < 40 and r.n_passage.at - at == r.n_passage.other_at - other
+
+
+def test_anchors_out_of_order_do_not_match(spark):
+    rng = random.Random(5)
+    a, b = words(rng, 200), words(rng, 200)
+    row = likenesses(spark, [(a + b, b + a)])[0]
+    assert 0.4 < row.near < 0.6
+
+
+def test_matches_equal_plain_loops(spark):
+    rng = random.Random(6)
+    lines, pairs = [words(rng, 6) + "\n" for _ in range(8)], []
+    for _ in range(60):
+        mixed = [[rng.choice(lines) for _ in range(rng.choice([0, 1, 3, 12, 40]))] for _ in range(2)]
+        if rng.random() < 0.5:
+            mixed[1] = [x for x in mixed[0] if rng.random() < 0.8]
+        pairs.append(tuple("".join(m) for m in mixed))
+    pairs += [("x" * 500, "x" * 300), (None, "abc"), ("abc", "abc"), (None, " ")]
+    for r, (a, b) in zip(likenesses(spark, pairs), pairs):
+        assert r.n == brute_passages.matched(brute_passages.anchors(a), brute_passages.anchors(b)) and r.near == brute_passages.like(a, b)
+
+
+def test_the_query_gives_these_likenesses(spark, odd, nothing):
+    sf = "/root/testdata/sf0.001"
+    docs = sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
+    got = {r.doc_id: r for r in QUERIES["op7_fingerprints"](spark, sf).collect()}
+    for k, (i, text) in enumerate(docs):
+        if k % 10 == 0 and len(text) < 5000:
+            follows, half = docs[(k + 1) % len(docs)][1], len(text) // 2
+            edited = text[:len(text) - half] + follows[:half]
+            assert got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and got[i].near_edited == brute_passages.like(text, edited)
+            if len(follows) < 5000:
+                assert got[i].near_next == brute_passages.like(text, follows)
+    assert fingerprints.passage_report(odd).count() == len(ODD) + 2 and fingerprints.passage_report(nothing).count() == 0
