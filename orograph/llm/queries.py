@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, decontamination, fingerprints, language, licenses, near_copies, pii, quality
+from . import byte_bpe, chat, decontamination, fingerprints, language, licenses, near_copies, periodic, pii, quality
 from . import token_counts as tokens
 from .registry import ORACLES, QUERIES, query, table  # noqa: F401
 
@@ -121,3 +121,8 @@ def op1_chat_formatting(spark, sf):
     given = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
     added = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     return chat.read_back(chat.format_conversations(given.unionByName(added), public_tokenizers.path("piece_bpe_32k.model")))
+
+
+@query("op11_periodic_runs")
+def op11_periodic_runs(spark, sf):
+    return periodic.summary(periodic.find_runs(periodic.with_periodic_tails(table(spark, sf, "documents"))))
