@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, decontamination, fingerprints, language, licenses, near_copies, periodic, pii, quality
+from . import byte_bpe, chat, decontamination, fingerprints, inner_products, language, licenses, near_copies, periodic, pii, quality
 from . import token_counts as tokens
 from .registry import ORACLES, QUERIES, query, table  # noqa: F401
 
@@ -126,3 +126,21 @@ def op1_chat_formatting(spark, sf):
 @query("op11_periodic_runs")
 def op11_periodic_runs(spark, sf):
     return periodic.summary(periodic.find_runs(periodic.with_periodic_tails(table(spark, sf, "documents"))))
+
+
+OP12_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+s AS (
+  SELECT q.vec_id AS query_id, v.vec_id, CAST(list_sum(list_transform(range(1, len(v.e) + 1), lambda i: q.e[i] * v.e[i])) AS BIGINT) AS score
+  FROM v AS q JOIN v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id
+)
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM s
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY rank <= 5"""
+
+
+@query("op12_exact_top_k", OP12_SQL)
+def op12_exact_top_k(spark, sf):
+    return inner_products.top_products(table(spark, sf, "embeddings"), F.col("id") % 50 == 0)
