@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, decontamination, fingerprints, inner_products, language, licenses, near_copies, periodic, pii, quality
+from . import byte_bpe, chat, decontamination, fingerprints, inner_products, language, lexical, licenses, near_copies, periodic, pii, quality
 from . import token_counts as tokens
 from .registry import ORACLES, QUERIES, query, table  # noqa: F401
 
@@ -144,3 +144,29 @@ WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY rank <=
 @query("op12_exact_top_k", OP12_SQL)
 def op12_exact_top_k(spark, sf):
     return inner_products.top_products(table(spark, sf, "embeddings"), F.col("id") % 50 == 0)
+
+
+OP13_SQL = r"""
+WITH doc AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w
+  FROM documents
+),
+total AS (SELECT CAST(count(*) AS BIGINT) AS nd, CAST(sum(len(w)) AS BIGINT) AS nl FROM doc WHERE len(w) > 0),
+tf AS MATERIALIZED (SELECT doc_id, len(w) AS n, t, count(*) AS tf FROM doc, unnest(w) u(t) GROUP BY ALL),
+df AS (SELECT t, CAST(floor(1000 * ln((2 * nd + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM tf, total GROUP BY t, nd),
+asked AS (
+  SELECT item_id, t, count(*) AS times
+  FROM benchmark, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) u(t)
+  WHERE t <> '' GROUP BY ALL
+),
+scored AS (
+  SELECT item_id, doc_id, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nd) // nl)))) AS BIGINT) AS score
+  FROM asked JOIN tf USING (t) JOIN df USING (t), total GROUP BY item_id, doc_id
+)
+SELECT item_id, CAST(row_number() OVER w AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0
+WINDOW w AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY rank <= 20"""
+
+
+@query("op13_ranked_search", OP13_SQL)
+def op13_ranked_search(spark, sf):
+    return lexical.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
