@@ -18,6 +18,8 @@ from .grids import fill_holes, int_range
 
 
 SLACK = 1e-6
+#: A target whose taps weigh less in sum, as it lies in a hole, has no value.
+LEAST_WEIGHT = 1e-9
 
 
 def _last(n: Column) -> Column:
@@ -129,9 +131,11 @@ def _lanczos_axis(df, keys, axis, other, n_src, n_dst, a, value, aggregated_size
     spread = unroll(df, _candidates(low, high, n_dst), "_t")
     spread = spread.withColumn("_d", ((F.col("_t") + 0.5) * scale - 0.5 - F.col(axis)) / stretch)
     spread = spread.filter(F.abs("_d") < float(a)).withColumn("_w", lanczos_weight(F.col("_d"), a))
-    return spread.groupBy(*keys, F.col("_t").alias(axis), other, *aggregated_sizes).agg(
-        (F.sum(F.col("_w") * F.col(value)) / F.sum("_w")).alias(value)
+    sums = spread.groupBy(*keys, F.col("_t").alias(axis), other, *aggregated_sizes).agg(
+        F.sum(F.col("_w") * F.col(value)).alias("_v"), F.sum("_w").alias("_w")
     )
+    reached = sums.filter(F.abs("_w") > LEAST_WEIGHT)
+    return reached.withColumn(value, F.col("_v") / F.nullif("_w", F.lit(0.0))).drop("_v", "_w")
 
 
 def resample_lanczos(
