@@ -81,6 +81,14 @@ def pixels_of(blocks: DataFrame, keys: list[str], values: tuple[str, ...] = ("z"
     return rows.select(*keys, (F.col("x0") + F.col("_at") % F.col("w")).alias("x"), (F.col("y0") + floor_div("_at", F.col("w"))).alias("y"), *bands)
 
 
+def blank(rasters: DataFrame, keys: list[str], width: int, height: int, value: float = 0.0, block: int = BLOCK) -> DataFrame:
+    """Rasters of one value."""
+    rows = unroll(unroll(rasters.select(*keys), int_range(F.lit(0), F.lit((height - 1) // block)), "_by"), int_range(F.lit(0), F.lit((width - 1) // block)), "_bx")
+    sides = {"w": F.least(F.lit(block), width - F.col("_bx") * block), "h": F.least(F.lit(block), height - F.col("_by") * block)}
+    rows = rows.withColumns({"x0": F.col("_bx") * block, "y0": F.col("_by") * block, **{n: c.cast("int") for n, c in sides.items()}})
+    return rows.select(*keys, *PLACE, F.array_repeat(F.lit(value), F.col("w") * F.col("h")).alias("v"))
+
+
 def _cut(x: Column, y: Column, w: Column, h: Column, bands: int, own_w: str = "w", own_h: str = "h") -> Column:
     """The values of a rectangle (in pixels of the block) of all bands."""
     def line(i: Column) -> Column:
@@ -274,16 +282,11 @@ def _reads(how: str, n_src: Column, n_dst: Column, first: Column, last: Column)
     return low, high
 
 
-def resampled(
-    blocks: DataFrame, frames: DataFrame, source_keys: list[str], keys: list[str], how: str, bands: int = 1, fill: float | None = None,
-    block: int = BLOCK, cell: int = BLOCK,
-) -> DataFrame:
-    """One raster per frame, cut from the source and brought to its size in one step.
+FACTS = ("w", "h", "first_x", "first_y", "src_w", "src_h", "dst_w", "dst_h")
 
-    ``frames`` has both keys, left, top, src_w, src_h (the window in pixels of the source), dst_w and dst_h (for "copy" and
-    "slope" the size of the window) and, if wanted, the sides of ``gather``'s clip. ``how`` is one of ``WAYS``. All bands
-    share weights. The size of a block of the result, or of the source, changes no value.
-    """
+
+def _targets(frames: DataFrame, how: str, block: int) -> DataFrame:
+    """Blocks of the rasters that frames ask for, with the rectangle of the source that each reads."""
     if how == "bilinear":
         tall = (F.col("dst_w") < 2) | (F.col("dst_h") < 2)
         frames = frames.withColumn("dst_w", F.when(tall, F.raise_error(F.lit("the target needs at least 2x2 pixels"))).otherwise(F.col("dst_w")))
@@ -306,8 +309,42 @@ def resampled(
         "left": F.col("left") + F.col("first_x"), "top": F.col("top") + F.col("first_y"),
         "width": (F.col("_last_x") - F.col("first_x") + 1).cast("int"), "height": (F.col("_last_y") - F.col("first_y") + 1).cast("int"),
     })
-    facts = ("w", "h", "first_x", "first_y", "src_w", "src_h", "dst_w", "dst_h")
-    return gather(blocks, rows, source_keys, keys, WAYS[how], facts, bands, fill, cell)
+    return rows
+
+
+def resampled(
+    blocks: DataFrame, frames: DataFrame, source_keys: list[str], keys: list[str], how: str, bands: int = 1, fill: float | None = None,
+    block: int = BLOCK, cell: int = BLOCK,
+) -> DataFrame:
+    """One raster per frame, cut from the source and brought to its size in one step.
+
+    ``frames`` has both keys, left, top, src_w, src_h (the window in pixels of the source), dst_w and dst_h (for "copy" and
+    "slope" the size of the window) and, if wanted, the sides of ``gather``'s clip. ``how`` is one of ``WAYS``. All bands
+    share weights. The size of a block of the result, or of the source, changes no value.
+    """
+    return gather(blocks, _targets(frames, how, block), source_keys, keys, WAYS[how], FACTS, bands, fill, cell)
+
+
+def cliffs(
+    blocks: DataFrame, frames: DataFrame, source_keys: list[str], keys: list[str], threshold: float, fill: float | None = None, block: int = BLOCK,
+    cell: int = BLOCK,
+) -> DataFrame:
+    """255 where the slope inside a frame reaches the threshold, else 0, resized to dst_w x dst_h by nearest pixel; absent pixels are 0."""
+    sized = frames.withColumnsRenamed({"dst_w": "out_w", "dst_h": "out_h"})
+
+    def kernel(values: np.ndarray, absent: np.ndarray, row: dict):
+        for x0, y0, steep, gone in _slope_kernel(values, absent, row):
+            places = []
+            for start, size, n_src, n_dst in ((x0, row["w"], row["src_w"], row["out_w"]), (y0, row["h"], row["src_h"], row["out_h"])):
+                hits = _nearest_places(0, n_dst, n_src, n_dst)
+                places.append(np.flatnonzero((hits >= start) & (hits < start + size)))
+                places.append(hits[places[-1]] - start)
+            tx, sx, ty, sy = places
+            if len(tx) and len(ty):
+                mask = np.where(~gone[0] & (steep[0] >= threshold), 255.0, 0.0)
+                yield int(tx[0]), int(ty[0]), mask[np.ix_(sy, sx)][None], None
+
+    return gather(blocks, _targets(sized, "slope", block), source_keys, keys, kernel, (*FACTS, "out_w", "out_h"), 1, fill, cell)
 
 
 def slopes(blocks: DataFrame, keys: list[str], block: int = BLOCK, cell_size: float = 1.0) -> DataFrame:

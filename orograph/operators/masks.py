@@ -5,6 +5,8 @@ A mask is a sparse pixel table (keys, kind, x, y, v) that stores v > 0 only.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -137,35 +139,58 @@ def mask_clear_counts(
     return tiles.join(counted, keys, "left").fillna(0, ["water_cleared", "road_cleared"])
 
 
-def generate_masks(
-    plan: DataFrame, features: DataFrame, elevation: DataFrame, vegetation: DataFrame, keys: list[str],
-    feature_keys: list[str], resolution: int, elevation_size: tuple[int, int], cliff_threshold: float = 45.0,
+def combine_masks(
+    plan: DataFrame, features: DataFrame, cliffs: DataFrame, vegetation: DataFrame, keys: list[str], feature_keys: list[str],
+    resolution: int, waterway_as: str = "polygon", drawn_vegetation: DataFrame | None = None,
+    keep: Callable[[DataFrame], DataFrame] = lambda spans: spans,
 ) -> DataFrame:
     """All enabled masks of a plan (keys, kind, line_px), water and roads taken off vegetation.
 
-    ``features`` has keys and the box columns; ``vegetation`` is a finished vegetation mask.
-    A kind without features has no pixels. Drawn masks are needed twice, as a result and to clear
-    vegetation; their merged spans, much fewer than their pixels, are settled in between.
+    ``features`` has keys and the box columns; ``cliffs`` and ``vegetation`` are finished masks (keys, x, y, v).
+    In the tiles of ``drawn_vegetation`` vegetation is drawn from features. A kind without features has no pixels.
+    Drawn masks are needed twice, as a result and to clear vegetation; ``keep`` may store their merged spans of
+    all kinds, one table with much fewer rows than pixels, in between.
     """
-    names = [*keys, "kind", "x", "y", "v"]
-    kinds = {"water": tag_filter("water"), "building": tag_filter("buildings")}
+    names, by_kind = [*keys, "kind", "x", "y", "v"], [*keys, "kind"]
+    kinds = {"water": tag_filter("water"), "building": tag_filter("buildings"), "vegetation": tag_filter("vegetation")}
+    wanted = plan.select(*by_kind).distinct()
+    filling = wanted.filter("kind IN ('water', 'building')")
+    if drawn_vegetation is not None:
+        filling = filling.unionByName(wanted.filter("kind = 'vegetation'").join(drawn_vegetation.select(*keys).distinct(), keys, "left_semi"))
     listed = F.filter(F.array(*[F.when(cond, F.lit(k)) for k, cond in kinds.items()]), lambda k: k.isNotNull())
-    filled = unroll(features, listed, "kind").join(plan.select(*keys, "kind").distinct(), [*keys, "kind"], "left_semi")
-    drawn = polygon_spans(filled, [*keys, "kind"], feature_keys, resolution, resolution)
-    areas = fill_spans(settle(merge_spans(drawn, [*keys, "kind"])), [*keys, "kind"])
+    filled = unroll(features, listed, "kind").join(filling, by_kind, "left_semi")
+    is_line = (F.col("kind") == "water") & F.try_element_at(F.col("tags"), F.lit("waterway")).isNotNull()
     px = plan.filter("kind = 'road'").groupBy(*keys).agg(F.max("line_px").alias("_px"))
-    lines = line_spans(features.filter(tag_filter("roads")).join(px, keys), keys, resolution, resolution, "_px")
-    roads = fill_spans(settle(merge_spans(lines, keys)), keys)
-    wanted = plan.filter("kind = 'cliff'").select(*keys).distinct()
-    cliffs = cliff_mask(
-        elevation.join(wanted, keys, "left_semi"), keys, *elevation_size, cliff_threshold, resolution, sparse=True
-    )
+    drawn = [
+        polygon_spans(filled.filter(~is_line) if waterway_as == "line" else filled, by_kind, feature_keys, resolution, resolution),
+        line_spans(features.filter(tag_filter("roads")).join(px, keys).withColumn("kind", F.lit("road")), by_kind, resolution, resolution, "_px"),
+    ]
+    if waterway_as == "line":
+        drawn.append(line_spans(filled.filter(is_line), by_kind, resolution, resolution, DEFAULT_ROAD_PX))
+    spans = keep(merge_spans(union_regions(drawn), by_kind))
+
+    def painted(kind):
+        return fill_spans(spans.filter(F.col("kind") == kind), by_kind)
+
     def tiles(kind):
         return plan.filter(F.col("kind") == kind).select(*keys).distinct()
 
-    plants = subtract_masks(
-        vegetation.filter("v > 0").join(tiles("vegetation"), keys, "left_semi"), areas.filter("kind = 'water'"), roads, keys,
-        tiles("water"), tiles("road"),
+    grown = vegetation.filter("v > 0").join(tiles("vegetation"), keys, "left_semi").select(*keys, "x", "y", "v")
+    if drawn_vegetation is not None:
+        grown = grown.unionByName(painted("vegetation").select(*keys, "x", "y", "v"))
+    plants = subtract_masks(grown, painted("water"), painted("road"), keys, tiles("water"), tiles("road"))
+    others = fill_spans(spans.filter("kind <> 'vegetation'"), by_kind)
+    parts = [("cliff", cliffs.join(tiles("cliff"), keys, "left_semi")), ("vegetation", plants)]
+    return union_regions([others.select(*names), *[d.withColumn("kind", F.lit(k)).select(*names) for k, d in parts]])
+
+
+def generate_masks(
+    plan: DataFrame, features: DataFrame, elevation: DataFrame, vegetation: DataFrame, keys: list[str],
+    feature_keys: list[str], resolution: int, elevation_size: tuple[int, int], cliff_threshold: float = 45.0, waterway_as: str = "polygon",
+) -> DataFrame:
+    """``combine_masks`` with cliffs from elevation pixels; the merged spans are settled in the shared folder."""
+    wanted = plan.filter("kind = 'cliff'").select(*keys).distinct()
+    cliffs = cliff_mask(
+        elevation.join(wanted, keys, "left_semi"), keys, *elevation_size, cliff_threshold, resolution, sparse=True
     )
-    parts = [("road", roads), ("cliff", cliffs), ("vegetation", plants)]
-    return union_regions([areas.select(*names), *[d.withColumn("kind", F.lit(k)).select(*names) for k, d in parts]])
+    return combine_masks(plan, features, cliffs, vegetation, keys, feature_keys, resolution, waterway_as, keep=settle)

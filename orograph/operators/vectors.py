@@ -71,19 +71,21 @@ def region_pairs(extents: DataFrame, regions: DataFrame, region_keys: list[str])
 
     Every extent has the level of the cell size it fits in, and a pair is looked for on the level of
     its larger member, so a cell holds no more than what is near in its own measure. The levels that
-    occur, a few dozen whole numbers at most, are read first.
+    occur, a few dozen whole numbers at most, are a scalar sub-query of the same job.
     """
     f = extents.withColumn("_own", _level("f_west", "f_south", "f_east", "f_north")).filter("_own IS NOT NULL")
     r = regions.select(*region_keys, *[F.col(b).alias(f"r_{b}") for b in BOUNDS])
     r = r.withColumn("_r_own", _level("r_west", "r_south", "r_east", "r_north")).filter("_r_own IS NOT NULL")
-    f_levels, r_levels = ([x[0] for x in df.select(c).distinct().collect()] for df, c in ((f, "_own"), (r, "_r_own")))
 
-    def levels(own: str, others: list[int]) -> Column:
-        coarser = F.filter(F.array(*map(F.lit, others)).cast("array<int>"), lambda v: v > F.col(own))
-        return F.concat(F.array(own), coarser)
+    def on_levels(df: DataFrame, own: str, others: DataFrame, other: str, sides: tuple[str, ...]) -> DataFrame:
+        rows = df.withColumn("_others", others.agg(F.collect_set(other)).scalar())
+        coarser = F.filter("_others", lambda v: v > F.col(own))
+        return _cells(rows, F.concat(F.array(own), coarser), *sides).drop("_others")
 
-    f = _cells(f, levels("_own", r_levels), "f_west", "f_south", "f_east", "f_north")
-    r = _cells(r, levels("_r_own", f_levels), "r_west", "r_south", "r_east", "r_north")
+    f, r = (
+        on_levels(f, "_own", r, "_r_own", ("f_west", "f_south", "f_east", "f_north")),
+        on_levels(r, "_r_own", f, "_own", ("r_west", "r_south", "r_east", "r_north")),
+    )
     meets = (
         (F.col("f_west") <= F.col("r_east")) & (F.col("f_east") >= F.col("r_west"))
         & (F.col("f_south") <= F.col("r_north")) & (F.col("f_north") >= F.col("r_south"))

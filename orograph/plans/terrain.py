@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo, names
-from ..operators import checks, grids, masks, mosaic, placement, resample, surface, vectors
-from ..session import settle
+from ..functions.heights import vegetation_intensity
+from ..functions.numbers import clamp
+from ..operators import blocks, checks, grids, masks, placement, surface, vectors
 from ..sources import catalogs, manifests
+from .rasters import SIDES, Georeference, RasterSource, area_raster
+from .stages import StageStore
 
-SIDES = ("west", "south", "east", "north")
+ALBEDO_BANDS = ("r", "g", "b")
 
 
 @dataclass(frozen=True)
@@ -22,6 +25,7 @@ class PackageSettings:
 
     tile_km: float = 4.0
     resolution: int = 1024
+    albedo_resolution: int | None = None
     height_format: str = "png"
     image_format: str = "png"
     dem_source: str = "aws-terrarium"
@@ -29,88 +33,123 @@ class PackageSettings:
     preset: str = "generic"
     cliff_threshold: float = 45.0
     road_px: int = 3
+    waterway_as: str = "polygon"
     building_height: float = 10.0
     created_by: str = "orograph"
     switches: dict[str, bool] = field(default_factory=lambda: {k: True for k, *_ in masks.MASK_KINDS})
 
-
-@dataclass(frozen=True)
-class Georeference:
-    """Size of the elevation and land-cover rasters of an area and ground size of a pixel."""
-
-    width: int
-    height: int
-    pixel_deg: float
+    @property
+    def albedo_size(self) -> int:
+        return self.albedo_resolution or self.resolution
 
 
 class TerrainPackage:
-    """The tables of an export, each declared when it is asked for.
+    """The tables of an export, each declared when it is asked for; declaring one starts no job.
 
-    ``areas`` has the key and a box; ``elevation`` (key, x, y, z) and ``landcover`` (key, x, y, cls)
-    are rasters that start at the north-west corner of the area; ``features`` has type, id,
-    geometry and tags. All tiles of all areas are processed together. The heights and the
-    features of each tile, which several tables read, are settled in the shared folder when
-    they are first asked for; all else runs when a table is written or read.
+    ``areas`` has the key and a box; ``elevation``, ``landcover`` and ``imagery`` say where their pixels come from and what
+    window of them a tile reads (``rasters``), each with its own geometry and pixel size; ``features`` has type, id, geometry
+    and tags. All tiles of all areas are processed together. Without land cover for a tile, its vegetation is drawn from the
+    features. With a ``store`` the steps that several tables read (heights, albedo, features of tiles, drawn spans) are written once
+    when they are first asked for, and read from there; without one Spark computes them within each result.
     """
 
     def __init__(
-        self, areas: DataFrame, area_key: str, elevation: DataFrame, landcover: DataFrame, features: DataFrame,
-        georef: Georeference, settings: PackageSettings = PackageSettings(),
+        self, areas: DataFrame, area_key: str, elevation: RasterSource, landcover: RasterSource | None, features: DataFrame,
+        settings: PackageSettings = PackageSettings(), imagery: RasterSource | None = None, store: StageStore | None = None,
     ):
         self.area_key, self.keys, self.settings = area_key, [area_key, "row", "col"], settings
-        self._areas, self._elevation, self._landcover, self._features = areas, elevation, landcover, features
-        self._georef = georef
+        self._areas, self._features, self._store = areas, features, store
+        self._elevation, self._landcover, self._imagery = elevation, landcover, imagery
+
+    @classmethod
+    def from_rasters(
+        cls, areas: DataFrame, area_key: str, elevation: DataFrame, landcover: DataFrame, features: DataFrame, georef: Georeference | DataFrame,
+        settings: PackageSettings = PackageSettings(), store: StageStore | None = None, landcover_georef: Georeference | DataFrame | None = None,
+    ) -> "TerrainPackage":
+        """A package of finished rasters: ``elevation`` (key, x, y, z) and ``landcover`` (key, x, y, cls)."""
+        cover = area_raster(landcover, area_key, landcover_georef if landcover_georef is not None else georef, ("cls",))
+        return cls(areas, area_key, area_raster(elevation, area_key, georef), cover, features, settings, store=store)
+
+    def _kept(self, name: str, df: DataFrame) -> DataFrame:
+        return self._store.keep(name, df) if self._store else df
 
     @cached_property
     def tiles(self) -> DataFrame:
         usable = checks.validate_bounds(self._areas).filter("valid").select(self.area_key, *SIDES)
         corners = usable.withColumns({"area_north": F.col("north"), "area_west": F.col("west")})
-        return grids.tile_grid(corners, F.lit(self.settings.tile_km))
-
-    @cached_property
-    def windows(self) -> DataFrame:
-        """Pixel window of each tile in the rasters of its area."""
-        g = self._georef
-        found = mosaic.georef_window(
-            self.tiles, F.lit(g.width), F.lit(g.height), "area_west", "area_north", F.lit(g.pixel_deg), F.lit(g.pixel_deg)
-        )
-        return found.withColumns({"_cw": F.col("width"), "_ch": F.col("height")})
+        return self._kept("tiles", grids.tile_grid(corners, F.lit(self.settings.tile_km)))
 
     @cached_property
-    def elevation(self) -> DataFrame:
-        """Elevation pixels of each tile before any resize; slopes are taken from these."""
-        return mosaic.crop_windows(self._elevation, self.windows, [self.area_key], self.keys, carry=["_cw", "_ch"])
+    def height_blocks(self) -> DataFrame:
+        """Elevation of every tile, cut from the source and resized in one step; what is missing reads as 0."""
+        size, source = self.settings.resolution, self._elevation
+        frames = source.frames(self.tiles, size, size)
+        found = blocks.resampled(source.blocks, frames, source.keys, self.keys, "bilinear", fill=0.0)
+        if source.fill is None:  # windows of areas without a georeference are unknown
+            blank = blocks.blank(self.tiles.select(*self.keys).join(frames.select(*self.keys), self.keys, "left_anti"), self.keys, size, size)
+            found = found.unionByName(blank)
+        return self._kept("heights", found)
 
     @cached_property
     def heights(self) -> DataFrame:
-        """Resized elevation; a tile without any elevation reads as 0, like a failed download."""
-        size, keys = self.settings.resolution, self.keys
-        found = resample.resample_bilinear(self.elevation, keys, "_cw", "_ch", size, size)
-        sizes = self.tiles.select(*keys).withColumns({"width": F.lit(size), "height": F.lit(size)})
-        return settle(grids.fill_holes(found, sizes, keys, {"z": 0.0}))
+        return blocks.pixels_of(self.height_blocks, self.keys)
 
     @cached_property
     def stats(self) -> DataFrame:
-        return surface.elevation_stats(self.heights, self.keys)
+        return blocks.stats(self.height_blocks, self.keys)
 
     @cached_property
     def quantized(self) -> DataFrame:
-        return surface.quantize_heights(self.heights, self.keys)
+        """Blocks with ``q``, 16-bit heights."""
+        return blocks.quantized(self.height_blocks, self.keys, self.stats)
+
+    @cached_property
+    def albedo(self) -> DataFrame | None:
+        """Blocks of red, green and blue, 0 to 255, of every tile; None without imagery."""
+        if self._imagery is None:
+            return None
+        size, source = self.settings.albedo_size, self._imagery
+        found = blocks.resampled(source.blocks, source.frames(self.tiles, size, size), source.keys, self.keys, "imagery", len(ALBEDO_BANDS), 0.0)
+        rounded = F.transform("v", lambda v: F.floor(clamp(v, F.lit(0.0), F.lit(255.0)) + 0.5).cast("double"))
+        return self._kept("albedo", found.withColumn("v", rounded))
 
     @cached_property
     def features(self) -> DataFrame:
-        return settle(vectors.features_to_regions(self._features, self.tiles.select(*self.keys, *SIDES), self.keys))
+        return self._kept("features", vectors.features_to_regions(self._features, self.tiles.select(*self.keys, *SIDES), self.keys))
+
+    @cached_property
+    def cliffs(self) -> DataFrame:
+        """Cliff pixels, from the slopes of the elevation before any resize."""
+        size, source = self.settings.resolution, self._elevation
+        found = blocks.cliffs(source.blocks, source.frames(self.tiles, size, size), source.keys, self.keys, self.settings.cliff_threshold, source.fill)
+        return blocks.pixels_of(found, self.keys, ("v",)).filter("v > 0").withColumn("v", F.col("v").cast("int"))
+
+    @cached_property
+    def covered(self) -> DataFrame:
+        """Keys of the tiles that have land cover; the others have their vegetation drawn from features."""
+        tiles = self.tiles.select(*self.keys, *SIDES)
+        return (tiles.limit(0) if self._landcover is None else self._landcover.covered(tiles)).select(*self.keys)
+
+    @cached_property
+    def vegetation(self) -> DataFrame | None:
+        """Vegetation pixels from land cover, of the covered tiles."""
+        size, source = self.settings.resolution, self._landcover
+        if source is None:
+            return self.tiles.select(*self.keys, F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("v")).limit(0)
+        graded = source.blocks.withColumn("v", F.transform("v", lambda c: vegetation_intensity(c).cast("double")))
+        found = blocks.resampled(graded, source.frames(self.tiles, size, size), source.keys, self.keys, "lanczos2", fill=source.fill)
+        level = F.floor(clamp("v", F.lit(0.0), F.lit(255.0)) + 0.5).cast("int")
+        return blocks.pixels_of(found, self.keys, ("v",)).withColumn("v", level).filter("v > 0")
 
     @cached_property
     def masks(self) -> DataFrame:
+        """Pixels of all masks; vegetation from land cover where a tile has any, else drawn from features."""
         size, on = self.settings.resolution, [k for k, yes in self.settings.switches.items() if yes]
         plan = self.tiles.select(*self.keys, F.explode(F.array(*[F.lit(k) for k in on])).alias("kind"))
         plan = plan.withColumn("line_px", F.lit(self.settings.road_px))
-        plants = masks.vegetation_mask(
-            self._landcover, self.windows.drop("_cw", "_ch"), [self.area_key], self.keys, size, size
-        ).select(*self.keys, "x", "y", "v")
-        return masks.generate_masks(
-            plan, self.features, self.elevation, plants, self.keys, ["type", "id"], size, ("_cw", "_ch"), self.settings.cliff_threshold
+        bare = self.tiles.select(*self.keys).join(self.covered, self.keys, "left_anti")
+        return masks.combine_masks(
+            plan, self.features, self.cliffs, self.vegetation, self.keys, ["type", "id"], size, self.settings.waterway_as, bare, lambda spans: self._kept("spans", spans)
         )
 
     @cached_property
@@ -133,8 +172,13 @@ def package_report(package: TerrainPackage, area_key: str, settings: PackageSett
     painted = package.masks.groupBy(*keys).agg(
         *[F.count_if((F.col("kind") == k) & (F.col("v") >= masks.VEGETATED)).alias(f"{k}_px") for k in kinds]
     )
-    levels = package.quantized.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_pixels"), F.sum("q").alias("level_sum"))
+    total = F.aggregate("q", F.lit(0).cast("bigint"), lambda a, q: a + q)
+    levels = package.quantized.groupBy(*keys).agg(F.sum(F.size("q")).alias("n_pixels"), F.sum(total).alias("level_sum"))
     out = base.join(package.stats, keys, "left").join(levels, keys, "left").join(painted, keys, "left")
+    if package.albedo is not None:
+        size = (F.col("w") * F.col("h")).cast("int")
+        bands = {f"{name}_sum": F.aggregate(F.slice("v", k * size + 1, size), F.lit(0.0), lambda a, v: a + v).cast("bigint") for k, name in enumerate(ALBEDO_BANDS)}
+        out = out.join(package.albedo.groupBy(*keys).agg(*[F.sum(c).alias(n) for n, c in bands.items()]), keys, "left")
     found = package.features.groupBy(*keys).agg(*[
         F.count_if(vectors.tag_filter(kind) & vectors.min_vertices("geometry", use)).alias(name)
         for name, kind, use in (("n_buildings", "buildings", "building"), ("n_roads", "roads", "road"))
@@ -179,7 +223,7 @@ def package_manifests(report: DataFrame, area_key: str, settings: PackageSetting
         "z_min": F.col("z_min"), "z_max": F.col("z_max"), "has_nodata": F.col("has_nodata"),
         "display_min": surface.display_elevation("z_min"), "display_max": surface.display_elevation("z_max"), "files": files,
         "dem": source(settings.dem_source), "imagery": source(settings.imagery_source), "preset": F.lit(settings.preset),
-        "flags": flags, "resolution": F.lit(settings.resolution), "albedo_resolution": F.lit(settings.resolution),
+        "flags": flags, "resolution": F.lit(settings.resolution), "albedo_resolution": F.lit(settings.albedo_size),
         "name": F.concat(F.lit("Terrain_"), F.col(area_key).cast("string")), "created_by": F.lit(settings.created_by),
         "created_at": F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"),
     })
@@ -192,7 +236,7 @@ def write_package(package: TerrainPackage, path: str, area_key: str, settings: P
     The manifests name no file of the exchange formats, as none of those is written here.
     """
     keys = [area_key, "row", "col"]
-    package.quantized.select(*keys, "x", "y", "q").write.mode("overwrite").parquet(f"{path}/heights")
+    package.quantized.select(*keys, *blocks.PLACE, "q").write.mode("overwrite").parquet(f"{path}/heights")
     package.masks.write.mode("overwrite").partitionBy("kind").parquet(f"{path}/masks")
     for name, part, fields in (
         ("buildings", package.buildings, ["footprint", "height", "floors", "min_level", "roof_shape", "tags"]),

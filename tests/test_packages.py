@@ -140,7 +140,7 @@ def test_written_package(spark, tmp_path):
         "type string, id bigint, geometry array<struct<lat: double, lon: double>>, tags map<string,string>")
     settings = terrain.PackageSettings(tile_km=55.66, resolution=16, height_format="r16")
     areas = areas.unionByName(spark.createDataFrame([(3, 2.0, 1.0, 2.4, 1.4)], areas.schema))
-    p = terrain.TerrainPackage(areas, "area_id", px.withColumn("z", (F.col("x") + F.col("y")) / 4), px.withColumn("cls", F.lit(10)), feats, terrain.Georeference(100, 100, 0.01), settings)
+    p = terrain.TerrainPackage.from_rasters(areas, "area_id", px.withColumn("z", (F.col("x") + F.col("y")) / 4), px.withColumn("cls", F.lit(10)), feats, terrain.Georeference(100, 100, 0.01), settings)
     terrain.write_package(p, str(tmp_path), "area_id", settings)
     heights = spark.read.parquet(str(tmp_path / "heights"))
     assert heights.count() == 5 * 256 and heights.filter("area_id = 3").agg(F.count("q"), F.max("q")).collect()[0] == (256, 0)

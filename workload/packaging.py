@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from orograph.functions import geo
 from orograph.operators import masks, packages, placement, vectors
 from orograph.plans import terrain
+from orograph.plans.stages import StageStore
+from orograph.session import shared_folder
 from orograph.sources import manifests
 from orograph.streaming import jobs
 
@@ -258,6 +262,10 @@ def _(spark, sf):
 SETTINGS = terrain.PackageSettings(tile_km=55.66, resolution=32, height_format="r16", cliff_threshold=80.0)
 
 
+def stages(spark) -> StageStore:
+    return StageStore(f"{shared_folder(spark)}/stages/{uuid.uuid4().hex}")
+
+
 def package(spark, sf):
     """One area of one degree per hundred pixel rows, from 10 degrees north to the south."""
     elevation = hundred(spark, sf).withColumnRenamed("mosaic", "area_id")
@@ -269,7 +277,9 @@ def package(spark, sf):
     shift = F.lit(9.0) - F.col("sheet") % count
     moved = features(spark, sf).withColumn("_up", shift)
     moved = moved.withColumn("geometry", F.transform("geometry", lambda p: F.struct((p["lat"] + F.col("_up")).alias("lat"), p["lon"].alias("lon"))))
-    return terrain.TerrainPackage(areas, "area_id", elevation, cover, moved.select("type", "id", "geometry", "tags"), terrain.Georeference(100, 100, 0.01), SETTINGS)
+    store = stages(spark)
+    moved = store.keep("given_features", moved.select("type", "id", "geometry", "tags"))
+    return terrain.TerrainPackage.from_rasters(areas, "area_id", elevation, cover, moved, terrain.Georeference(100, 100, 0.01), SETTINGS, store)
 
 
 R = SETTINGS.resolution
