@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,9 +16,11 @@ KM_PER_DEGREE = 111.32
 MAX_REGION_DEG2 = 0.25
 # Pixels one image operation may touch, and the safety share of it.
 CHUNK_PIXEL_LIMIT = 268435456 * 0.9
+#: Positions of one bitmap, as Spark's bitmap functions have it.
+BITS = 32768
 # The divisions start within a half of values whose product suffices, and a step adds at least the
 # smaller of them, so two steps are always enough; the check behind them stops a wrong split.
-GROWTH_STEPS = 16
+GROWTH_STEPS = 2
 
 
 def int_range(low, high, step: int = 1) -> Column:
@@ -42,18 +45,34 @@ def explode_grid(df: DataFrame, xs: Column, ys: Column, x: str = "x", y: str = "
 def fill_holes(pixels: DataFrame, sizes: DataFrame, keys: list[str], fill: dict[str, object]) -> DataFrame:
     """``pixels`` (keys, x, y and the columns of ``fill``) with every position of each raster in ``sizes`` (keys, width, height).
 
-    Rasters are told to be complete by their number of pixels. Only those that are not are listed and
-    compared by position; the pixels of the others pass through.
+    The positions that are there, each once and only inside of the raster, are marked in bitmaps of ``BITS`` positions,
+    combined before the shuffle; what is not marked is filled. Null keys are keys like others. Pixels pass through as they are.
     """
     columns = [*keys, "x", "y", *fill]
-    counts = pixels.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    short = sizes.select(*keys, "width", "height").distinct().join(counts, keys, "left").filter(
-        F.coalesce("_n", F.lit(0)) < F.col("width") * F.col("height")
-    ).drop("_n")
-    wanted = explode_grid(short, int_range(F.lit(0), F.col("width") - 1), int_range(F.lit(0), F.col("height") - 1))
-    there = pixels.select(*keys, "x", "y").join(short.select(*keys), keys, "left_semi")
-    blank = wanted.select(*keys, "x", "y").join(there, [*keys, "x", "y"], "left_anti")
-    return pixels.select(*columns).unionByName(blank.withColumns({c: F.lit(v) for c, v in fill.items()}).select(*columns), allowMissingColumns=False)
+    named = {k: f"_k_{k}" for k in keys}
+    rasters = sizes.select(*[F.col(k).alias(n) for k, n in named.items()], F.col("width").cast("bigint").alias("_w"), F.col("height").cast("bigint").alias("_h")).distinct()
+
+    def same(names: dict[str, str]) -> Column:
+        return reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()])
+
+    x, y = F.col("x").cast("bigint"), F.col("y").cast("bigint")
+    inside = pixels.select(*keys, x.alias("_x"), y.alias("_y")).join(rasters, same(named)).filter("_x >= 0 AND _x < _w AND _y >= 0 AND _y < _h")
+    at = F.col("_y") * F.col("_w") + F.col("_x")
+    marked = inside.groupBy(*keys, floor_div(at, BITS).alias("_part")).agg(F.bitmap_construct_agg(F.pmod(at, F.lit(BITS))).alias("_marks"))
+    marked = marked.withColumnsRenamed({k: f"_m_{k}" for k in keys}).withColumnRenamed("_part", "_m_part")
+    parts = unroll(rasters, int_range(F.lit(0), floor_div(F.col("_w") * F.col("_h") - 1, BITS)), "_part")
+    parts = parts.withColumn("_bits", F.least(F.lit(BITS).cast("bigint"), F.col("_w") * F.col("_h") - F.col("_part") * BITS))
+    found = parts.join(marked, same({n: f"_m_{k}" for k, n in named.items()}) & (F.col("_part") == F.col("_m_part")), "left")
+    short = found.filter(F.coalesce(F.bitmap_count("_marks"), F.lit(0)) < F.col("_bits"))
+
+    def is_marked(i: Column) -> Column:
+        byte = F.conv(F.hex(F.substring(F.col("_marks"), (floor_div(i, 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        return F.coalesce(F.getbit(byte, F.pmod(i, F.lit(8)).cast("int")) > 0, F.lit(False))
+
+    gone = F.filter(F.sequence(F.lit(0).cast("bigint"), F.col("_bits") - 1), lambda i: ~is_marked(i))
+    blank = unroll(short, gone, "_i").withColumn("_at", F.col("_part") * BITS + F.col("_i"))
+    blank = blank.select(*[F.col(n).alias(k) for k, n in named.items()], F.pmod("_at", F.col("_w")).alias("x"), floor_div("_at", F.col("_w")).alias("y"), *[F.lit(v).alias(c) for c, v in fill.items()])
+    return pixels.select(*columns).unionByName(blank.select(*columns))
 
 
 def blocked_row_number(df: DataFrame, keys: Sequence[str], order: str, name: str, block: int = 65536) -> DataFrame:

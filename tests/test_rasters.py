@@ -206,3 +206,18 @@ def test_r16_files(spark, tmp_path):
     assert df.count() == 90000 and df.filter((F.col("y") * 300 + F.col("x")) % 60000 != F.col("q")).count() == 0
     packed = r16.pack_r16(df, ["path"], 300, 300).orderBy("band").collect()
     assert [r["start"] for r in packed] == [0, 256 * 300] and b"".join(bytes(r["content"]) for r in packed) == a.astype("<u2").tobytes()
+
+
+def test_holes_beside_repeats_and_pixels_outside_are_filled(spark):
+    """Surplus rows do not hide a hole, a null key is a key, and large rasters are looked at part by part."""
+    from orograph.operators import grids
+
+    rows = [(None if k else "a", x, y, 1.0) for k in (0, 1) for x in range(4) for y in range(4) if (x, y) != (1, 1)]
+    rows += [("a", 0, 0, 1.0), (None, 9, 9, 1.0), (None, -1, 0, 1.0), ("unknown", 0, 0, 1.0)]
+    pixels = spark.createDataFrame(rows, "k string, x long, y long, z double").repartition(3)
+    sizes = spark.createDataFrame([("a", 4, 4), (None, 4, 4), (None, 4, 4), ("empty", 2, 1)], "k string, width int, height int")
+    got = sorted(map(tuple, grids.fill_holes(pixels, sizes, ["k"], {"z": 0.0}).collect()), key=repr)
+    assert got == sorted(rows + [("a", 1, 1, 0.0), (None, 1, 1, 0.0), ("empty", 0, 0, 0.0), ("empty", 1, 0, 0.0)], key=repr)
+    wide = spark.range(300 * 300).filter("id NOT IN (0, 7, 32767, 32768, 89999)").selectExpr("'w' AS k", "id % 300 AS x", "id div 300 AS y", "1.0D AS z")
+    full = grids.fill_holes(wide, spark.createDataFrame([("w", 300, 300)], "k string, width int, height int"), ["k"], {"z": 0.0})
+    assert sorted(r.y * 300 + r.x for r in full.filter("z = 0").collect()) == [0, 7, 32767, 32768, 89999] and full.count() == 90000
