@@ -3,9 +3,9 @@
 A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
 again as the next one's ``docs``. All but the last return the columns of ``documents``.
 
-Edge cases: extra columns of ``documents`` go through; null ids stay (they have no label, and the
-near-copy stage cannot tell their copies, so it keeps them); of several rows with one id the
-near-copy stage keeps one; null texts stay null until they are encoded to no tokens.
+Edge cases: extra columns of ``documents`` go through; null ids stay like others (they have no label);
+several rows with one id are documents of their own unless their texts are near copies; null texts stay
+null until they are encoded to no tokens.
 """
 
 from __future__ import annotations
@@ -27,11 +27,18 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group of near copies."""
-    groups = near_copies.near_copies(docs)
-    keep = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id IS NULL"))
+    """The document with the smallest id of every group of near copies; null ids come last.
+
+    Rows are told apart by a hash of id and text, so different texts under one id are judged each by itself
+    and null ids like all others. Of rows with equal id and text one stays.
+    """
+    row = F.xxhash64("doc_id", F.coalesce(F.col("text"), F.lit("")), F.col("text").isNull())
+    named = docs.withColumn("_row", row)
+    groups = near_copies.near_copies(named.select("_row", "text"), "_row").select("_row", "component_id").distinct()
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
+    first = named.select("_row", "doc_id").join(groups, "_row").groupBy("component_id").agg(F.min(order).alias("first"))
+    keep = first.select(F.col("first._row").alias("_row"))
+    return named.join(keep, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
