@@ -159,7 +159,11 @@ def fit(samples: list[tuple[np.ndarray, np.ndarray, int]], languages: list[str],
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", bound: int = SAMPLE_ROWS) -> LanguageModel:
-    """Fit on documents with a language; pass only those that may be learned."""
+    """Fit on documents with a language; pass only those that may be learned.
+
+    Rows are drawn by a hash of id and text, about ``bound`` of them, and at most 2 * ``bound`` reach the driver, however
+    often a row is repeated.
+    """
     rows = id_and_text(docs, id_col, text_col, F.col(lang_col).alias("lang")).filter("lang IS NOT NULL")
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = sorted(sizes)
@@ -169,7 +173,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     idf = np.log((1 + frequencies[SIZE]) / (1 + frequencies[:SIZE])) + 1
     share = bound / len(languages)
     most = F.create_map(*[F.lit(x) for lang in languages for x in (lang, int((1 << 30) * min(1.0, share / sizes[lang])))])
-    draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
+    draw = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -177,8 +181,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             columns = [part.column("key"), part.column("lang"), *[pa.array([f[k].tobytes() for f in found], pa.binary()) for k in (0, 1)]]
             yield pa.RecordBatch.from_arrays(columns, names=["key", "lang", "at", "n"])
 
-    drawn = rows.filter(draw < most[F.col("lang")]).select(F.xxhash64("id", F.lit(1)).alias("key"), "text", "lang")
-    got = drawn.mapInArrow(run, "key long, lang string, at binary, n binary").toArrow().to_pylist()
+    drawn = rows.filter(draw < most[F.col("lang")]).select(F.xxhash64("id", "text", F.lit(1)).alias("key"), "text", "lang")
+    got = drawn.mapInArrow(run, "key long, lang string, at binary, n binary").orderBy("key", "lang").limit(2 * bound).toArrow().to_pylist()
     got.sort(key=lambda r: (r["key"], r["lang"], r["at"], r["n"]))  # an order that does not depend on the tasks
     samples = [(np.frombuffer(r["at"], np.int32), np.frombuffer(r["n"], np.int32), languages.index(r["lang"])) for r in got]
     return fit([s for s in samples if len(s[0])], languages, idf)

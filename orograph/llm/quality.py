@@ -211,23 +211,30 @@ def fit(x: np.ndarray, y: np.ndarray) -> AdditiveModel:
 
 
 def labelled_sample(labels: DataFrame, label_col: str, id_col: str, bound: int) -> DataFrame:
-    """One label (share of 1) per id, of about ``bound`` ids drawn by a hash if there are more."""
+    """One label (share of 1) per id, of about ``bound`` ids drawn by a hash if there are more.
+
+    An id may stand on many rows, so ``train`` bounds the rows as well.
+    """
     one = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("label")).dropna().groupBy("id").agg(F.avg("label").alias("label"))
     n = one.count()
     return one if n <= bound else one.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * bound / n))
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", bound: int = SAMPLE_ROWS) -> AdditiveModel:
-    """Fit the model on labelled documents; pass only the labels that may be learned."""
+    """Fit the model on labelled documents; pass only the labels that may be learned.
+
+    At most 2 * ``bound`` rows reach the driver, as features: of the rows of the drawn ids those with the smallest hashes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             x = features(part.column("text"))
-            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("label"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))], names=["id", "label", "x"])
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("id", "label", "draw")], pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))], names=["id", "label", "draw", "x"])
 
     sample = F.broadcast(labelled_sample(labels, label_col, id_col, bound))  # at most about ``bound`` rows
     rows = id_and_text(docs, id_col, text_col).join(sample, "id")
-    got = rows.select("id", "text", "label").mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, label double, x array<double>").orderBy("id", "label").toArrow()
+    read = rows.select("id", "text", "label", F.xxhash64("id", "text").alias("draw")).mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, label double, draw long, x array<double>")
+    got = read.orderBy("draw", "id", "label").limit(2 * bound).orderBy("id", "label", "draw").toArrow()
     x = np.array(got.column("x").to_pylist(), float).reshape(-1, len(FEATURES))
     return fit(x, (got.column("label").to_numpy() >= 0.5).astype(float))
 

@@ -121,6 +121,14 @@ def test_pipeline_stages_equal_plain_loops(spark):
     assert corpus_pipeline.run(spark, SMALL).count() > 0
 
 
+def test_different_texts_of_one_id_all_stay(spark):
+    one, other = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(7, one), (7, other), (7, other), (3, one), (None, "c d e f g h"), (None, "c d e f g h"), (None, "x y z"), (9, "c d e f g h"), (11, None), (11, None), (12, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = corpus_pipeline.keep_one_copy(spark, df, SMALL)
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted([(3, one), (7, other), (9, "c d e f g h"), (None, "x y z"), (11, None), (12, "")], key=repr)
+
+
 def test_stages_take_odd_tables(spark, odd):
     docs = odd.selectExpr("*", "'en' AS lang", "'s' AS source", "CAST(length(text) AS BIGINT) AS n_chars")
     for name, stage in corpus_pipeline.STAGES:

@@ -105,3 +105,15 @@ def test_scores_are_the_same_however_rows_are_dealt(spark, name, tmp_path):
         spark.read.parquet(f"{SF}/{t}.parquet").repartition(7).write.parquet(str(tmp_path / f"{t}.parquet"))
     a, b = ({r.doc_id: round(r.score, 9) for r in QUERIES[name](spark, p).collect()} for p in (SF, str(tmp_path)))
     assert a == b
+
+
+def test_samples_are_bounded_by_rows(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda x, y: seen.append(len(x)))
+    monkeypatch.setattr(language, "fit", lambda samples, languages, idf: seen.append(len(samples)))
+    docs = spark.range(3000).selectExpr("7L AS doc_id", "concat('some text ', id) AS text", "'en' AS lang")
+    same = spark.range(3000).selectExpr("8L AS doc_id", "'always the same' AS text", "'fr' AS lang")
+    both = docs.union(same)
+    quality.train(both, spark.createDataFrame([(7, 1), (8, 0)], "doc_id long, quality int"), bound=200)
+    language.train(both, bound=200)
+    assert 0 < seen[0] <= 400 and 50 < seen[1] <= 400
