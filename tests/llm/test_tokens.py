@@ -4,6 +4,7 @@ import base64
 import hashlib
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -40,19 +41,34 @@ def test_counts_equal_the_library(pieces, text):
 @given(texts=st.lists(st.one_of(PARTS, st.text(max_size=60)), min_size=1, max_size=4))
 def test_ids_equal_the_library_and_decode_to_the_text(coder, texts):
     library, own = coder
-    ids, counts = own.encode(texts)
+    ids, counts, offsets = own.encode(pa.array(texts, pa.string()))
+    decoded = own.decode(ids, counts, offsets).to_pylist()
     at = 0
-    for text, n in zip(texts, counts):
+    for text, n, back in zip(texts, counts, decoded):
         got = ids[at:at + n].tolist()
+        assert got == library.encode_ordinary(text) and back == text.encode()
+        assert all(library.decode_bytes([i]) == back[a:][:len(library.decode_bytes([i]))] for i, a in zip(got, offsets[at:at + n]))
         at += n
-        assert got == library.encode_ordinary(text)
-        assert own.decode(got) == text.encode()
+
+
+def test_a_clash_of_hashes_changes_nothing(coder, monkeypatch):
+    library, own = coder
+    monkeypatch.setattr(byte_bpe.Texts, "hashes", lambda self, a, b: (b - a).astype("uint64"))
+    ids, _, _ = own.encode(pa.array(["one two six ten", "the cat sat"]))
+    assert ids.tolist() == [i for t in ("one two six ten", "the cat sat") for i in library.encode_ordinary(t)]
+
+
+def test_ids_that_do_not_fit_their_offsets_are_an_error(coder):
+    _, own = coder
+    ids, counts, offsets = own.encode(pa.array(["some text here"]))
+    with pytest.raises(ValueError):
+        own.decode(ids, counts, offsets + 1)
 
 
 def test_long_texts_and_blocks(coder):
     library, own = coder
     texts = ["word's " * 3000, "a" * 5000, "\n " * 2000, "'ll" * 1500, ""]
-    ids, counts = own.encode(texts)
+    ids, counts, _ = own.encode(pa.array(texts))
     assert ids.tolist() == [i for t in texts for i in library.encode_ordinary(t)] and len(counts) == 5
 
 
@@ -81,6 +97,8 @@ def test_coding_of_odd_rows(spark, odd, nothing, coder):
             assert r.ids == library.encode_ordinary(text.decode())
             ends = [*r.offsets[1:], len(text)]
             assert all(library.decode_bytes([i]) == text[a:b] for i, a, b in zip(r.ids, r.offsets, ends))
+    for r in byte_bpe.decode(encoded, RANKS, first=2, last=5).collect():
+        assert r.decoded == library.decode_bytes(r.ids[2:5])
     for r in byte_bpe.digests(byte_bpe.decode(encoded, RANKS)).collect() + byte_bpe.digests(byte_bpe.encode_and_decode(odd, RANKS)).collect():
         if r.doc_id is not None:
             text = ODD[r.doc_id] or ""
