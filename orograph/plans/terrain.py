@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import geo, names
 from ..functions.heights import vegetation_intensity
 from ..functions.numbers import clamp
-from ..operators import blocks, checks, grids, masks, placement, surface, vectors
+from ..operators import blocks, checks, grids, masks, packages, placement, surface, vectors
 from ..sources import catalogs, manifests
 from .rasters import SIDES, Georeference, RasterSource, area_raster
 from .stages import StageStore
@@ -188,62 +188,110 @@ def package_report(package: TerrainPackage, area_key: str, settings: PackageSett
     return out.fillna(0, counts)
 
 
-def package_manifests(report: DataFrame, area_key: str, settings: PackageSettings, listing: DataFrame | None = None) -> DataFrame:
-    """Manifest JSON of each tile: key, row, col, value.
+MASK_ENTRIES = {"road": "roadMask", "water": "waterMask", "vegetation": "vegetationMask", "building": "buildingMask", "cliff": "cliffMask"}
+NAMED = ("heightmap", "albedo", *MASK_ENTRIES.values(), "buildings3D", "roads3D")
 
-    Masks are named where they were switched on. With ``listing`` (area key, folder, file_name) every
-    file is named only where it is really there, in the area it belongs to.
-    """
+
+def _named_files(report: DataFrame, area_key: str, settings: PackageSettings, listing: DataFrame | None, written: DataFrame | None) -> DataFrame:
+    """The report with the name of each file of a tile, null where it is not there."""
     keys = [area_key, "row", "col"]
+    if written is not None:
+        kind = report.schema[area_key].dataType
+        per_tile = written.groupBy(*keys).agg(F.map_from_entries(F.collect_set(F.struct("entry", "file_name"))).alias("_files"))
+        per_tile = per_tile.select(F.col(area_key).cast(kind).alias(area_key), F.col("row").cast("bigint").alias("row"), F.col("col").cast("bigint").alias("col"), "_files")
+        out = report.join(per_tile, keys, "left")
+        return out.withColumns({m: F.try_element_at("_files", F.lit(m)) for m in NAMED}).drop("_files")
     prefix = F.concat(F.lit("tile_"), F.col("row").cast("string"), F.lit("_"), F.col("col").cast("string"))
-    mask_key = {"road": "roadMask", "water": "waterMask", "vegetation": "vegetationMask", "building": "buildingMask", "cliff": "cliffMask"}
     out = report.withColumns({
-        mask_key[k]: F.when(F.lit(on), F.concat(prefix, F.lit(f"_{k}_mask.tif"))) for k, on in settings.switches.items()
+        MASK_ENTRIES[k]: F.when(F.lit(on), F.concat(prefix, F.lit(f"_{k}_mask.tif"))) for k, on in settings.switches.items()
     } | {"buildings3D": F.concat(prefix, F.lit("_buildings3d.json")), "roads3D": F.concat(prefix, F.lit("_roads3d.json"))})
-    named = ["heightmap", "albedo", *mask_key.values(), "buildings3D", "roads3D"]
-    if listing is not None:
-        entries = out.select(*keys, prefix.alias("folder"), F.explode(F.array(*[F.struct(F.lit(m).alias("entry"), F.col(m).alias("file_name")) for m in named])).alias("e"))
-        there = manifests.existing_masks(entries.select(*keys, "folder", "e.*"), listing, area=(area_key,))
-        present = there.groupBy(*keys).agg(F.collect_set("entry").alias("_present"))
-        out = out.join(present, keys, "left").withColumns({
-            m: F.when(F.coalesce(F.array_contains("_present", m), F.lit(False)), F.col(m)) for m in named
-        }).drop("_present")
+    if listing is None:
+        return out
+    entries = out.select(*keys, prefix.alias("folder"), F.explode(F.array(*[F.struct(F.lit(m).alias("entry"), F.col(m).alias("file_name")) for m in NAMED])).alias("e"))
+    there = manifests.existing_masks(entries.select(*keys, "folder", "e.*"), listing, area=(area_key,))
+    present = there.groupBy(*keys).agg(F.collect_set("entry").alias("_present"))
+    return out.join(present, keys, "left").withColumns({
+        m: F.when(F.coalesce(F.array_contains("_present", m), F.lit(False)), F.col(m)) for m in NAMED
+    }).drop("_present")
 
+
+def _manifest_columns(area_key: str, settings: PackageSettings) -> dict:
     def source(source_id):
         name, attribution = catalogs.source_info(source_id)
         return F.struct(F.lit(source_id).alias("id"), F.lit(name).alias("name"), F.lit(attribution).alias("attribution"))
 
-    files = F.struct(*named)
     flags = F.struct(
-        *[F.lit(settings.switches.get(k, False)).alias(f"generate{k.capitalize()}Masks") for k in mask_key],
+        *[F.lit(settings.switches.get(k, False)).alias(f"generate{k.capitalize()}Masks") for k in MASK_ENTRIES],
         F.lit(settings.cliff_threshold).alias("cliffThresholdDegrees"),
     )
-    text = manifests.manifest_json({
+    return {
         "bounds": F.struct(*SIDES), "row": F.col("row"), "col": F.col("col"), "width_m": F.col("width_m"), "height_m": F.col("height_m"),
         "z_min": F.col("z_min"), "z_max": F.col("z_max"), "has_nodata": F.col("has_nodata"),
-        "display_min": surface.display_elevation("z_min"), "display_max": surface.display_elevation("z_max"), "files": files,
+        "display_min": surface.display_elevation("z_min"), "display_max": surface.display_elevation("z_max"), "files": F.struct(*NAMED),
         "dem": source(settings.dem_source), "imagery": source(settings.imagery_source), "preset": F.lit(settings.preset),
         "flags": flags, "resolution": F.lit(settings.resolution), "albedo_resolution": F.lit(settings.albedo_size),
         "name": F.concat(F.lit("Terrain_"), F.col(area_key).cast("string")), "created_by": F.lit(settings.created_by),
         "created_at": F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"),
-    })
-    return out.select(*keys, text.alias("value"))
+    }
+
+
+def package_manifests(
+    report: DataFrame, area_key: str, settings: PackageSettings, listing: DataFrame | None = None, written: DataFrame | None = None,
+) -> DataFrame:
+    """Manifest JSON of each tile: key, row, col, value.
+
+    Masks are named where they were switched on. With ``listing`` (area key, folder, file_name) every
+    file is named only where it is really there, in the area it belongs to. With ``written``, the result of
+    ``manifests.written_files``, what lies there is named by its own place.
+    """
+    out = _named_files(report, area_key, settings, listing, written)
+    return out.select(area_key, "row", "col", manifests.manifest_json(_manifest_columns(area_key, settings)).alias("value"))
+
+
+def package_documents(
+    report: DataFrame, area_key: str, settings: PackageSettings, listing: DataFrame | None = None, written: DataFrame | None = None,
+) -> DataFrame:
+    """One manifest for all tiles of an area, as lines (``manifests.combined_document``).
+
+    Its box is that of all tiles; sizes in metres and names are those of the first tile. The files keep the names
+    that they have below the folder of the package, so with ``listing`` they stand behind the folder of their tile.
+    """
+    named = _named_files(report, area_key, settings, listing, written)
+    if written is None:
+        named = packages.relocate_tile_files(named, list(NAMED))
+    placed = packages.tile_order(named.drop("cols").join(named.groupBy(area_key).agg((F.max("col") + 1).alias("cols")), area_key), [area_key])
+    columns = _manifest_columns(area_key, settings)
+    entries = placed.select(area_key, "ordinal", F.to_json(manifests.tile_entry(columns), {"ignoreNullFields": "true"}).alias("entry"))
+    extent = report.groupBy(area_key).agg(F.min("west").alias("west"), F.min("south").alias("south"), F.max("east").alias("east"), F.max("north").alias("north"))
+    heads = packages.combine_manifests(report, [area_key], ["width_m", "height_m"]).join(extent, area_key)
+    before, behind = manifests.document_fields(columns, F.col("rows"), F.col("cols"))
+    heads = heads.select(area_key, "n_tiles", F.to_json(F.struct(*before)).alias("before"), F.to_json(F.struct(*behind)).alias("behind"))
+    return manifests.combined_document(entries, heads, [area_key])
 
 
 def write_package(package: TerrainPackage, path: str, area_key: str, settings: PackageSettings) -> None:
-    """Write all artefacts below ``path``: rasters and masks as Parquet, features as JSON lines by tile, manifests.
+    """Write all artefacts below ``path``, each tile in folders of its own, then the manifests of what lies there.
 
-    The manifests name no file of the exchange formats, as none of those is written here.
+    Heights, albedo and masks are Parquet, features JSON lines; a tile without features has an empty file, a mask without
+    pixels has none. Every manifest names the folder of each artefact that the file system lists for its tile, and no other.
+    ``documents`` has one manifest for each area.
     """
     keys = [area_key, "row", "col"]
-    package.quantized.select(*keys, *blocks.PLACE, "q").write.mode("overwrite").parquet(f"{path}/heights")
-    package.masks.write.mode("overwrite").partitionBy("kind").parquet(f"{path}/masks")
+    entries = {"heights": "heightmap", "buildings": "buildings3D", "roads": "roads3D"}
+    package.quantized.select(*keys, *blocks.PLACE, "q").write.mode("overwrite").partitionBy(*keys).parquet(f"{path}/heights")
+    if package.albedo is not None:
+        entries["albedo"] = "albedo"
+        package.albedo.write.mode("overwrite").partitionBy(*keys).parquet(f"{path}/albedo")
+    for kind in (k for k, on in settings.switches.items() if on):
+        entries[f"masks/{kind}"] = MASK_ENTRIES[kind]
+        package.masks.filter(F.col("kind") == kind).drop("kind").write.mode("overwrite").partitionBy(*keys).parquet(f"{path}/masks/{kind}")
     for name, part, fields in (
         ("buildings", package.buildings, ["footprint", "height", "floors", "min_level", "roof_shape", "tags"]),
         ("roads", package.roads, ["centerline", "width", "surface", "highway", "bridge", "layer", "tags"]),
     ):
-        rows = manifests.features_json(part, keys, fields)
-        rows.select(*keys, "value").repartition(*keys).write.mode("overwrite").partitionBy(*keys).text(f"{path}/{name}")
+        rows = manifests.features_json(part, keys, fields, tiles=package.tiles)
+        rows.select(*keys, "value").write.mode("overwrite").partitionBy(*keys).text(f"{path}/{name}")
     report = package_report(package, area_key, settings)
-    none = report.select(area_key, F.lit("").alias("folder"), F.lit("").alias("file_name")).limit(0)
-    manifests.write_texts_by_tile(package_manifests(report, area_key, settings, none), f"{path}/manifests", (area_key,))
+    written = manifests.written_files(report.sparkSession, path, entries, keys)
+    manifests.write_texts_by_tile(package_manifests(report, area_key, settings, written=written), f"{path}/manifests", (area_key,))
+    manifests.write_documents(package_documents(report, area_key, settings, written=written), [area_key], f"{path}/documents")

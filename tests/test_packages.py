@@ -143,9 +143,9 @@ def test_written_package(spark, tmp_path):
     p = terrain.TerrainPackage.from_rasters(areas, "area_id", px.withColumn("z", (F.col("x") + F.col("y")) / 4), px.withColumn("cls", F.lit(10)), feats, terrain.Georeference(100, 100, 0.01), settings)
     terrain.write_package(p, str(tmp_path), "area_id", settings)
     heights = spark.read.parquet(str(tmp_path / "heights"))
-    assert heights.count() == 5 * 256 and heights.filter("area_id = 3").agg(F.count("q"), F.max("q")).collect()[0] == (256, 0)
-    kinds = {r["kind"]: r["count"] for r in spark.read.parquet(str(tmp_path / "masks")).groupBy("kind").count().collect()}
-    assert set(kinds) == {"road", "water", "building", "vegetation"} and kinds["vegetation"] < 4 * 256
+    assert heights.agg(F.sum(F.size("q"))).first()[0] == 5 * 256 and heights.filter("area_id = 3").agg(F.array_max(F.flatten(F.collect_list("q")))).first()[0] == 0
+    kinds = {k: spark.read.parquet(str(tmp_path / "masks" / k)).count() for k in ("road", "water", "building", "vegetation")}
+    assert all(kinds.values()) and kinds["vegetation"] < 4 * 256
     texts = spark.read.text(str(tmp_path / "manifests"), wholetext=False)
     docs = [json.loads(r["value"]) for r in texts.collect()]
     assert len(docs) == 5 and {(d["tiles"][0]["row"], d["tiles"][0]["col"]) for d in docs} == {(0, 0), (0, 1), (1, 0), (1, 1)}
@@ -153,6 +153,34 @@ def test_written_package(spark, tmp_path):
     again = manifests.packages_from_text(texts.select(F.concat(F.lit("pk/tile_"), F.col("tile_row").cast("string"), F.lit("_"), F.col("tile_col").cast("string"), F.lit("/manifest.json")).alias("path"), F.col("value").alias("body")))
     assert again.count() == 5
     assert {(r["area_id"], r["tile_row"], r["tile_col"]) for r in texts.collect()} == {(1, 0, 0), (1, 0, 1), (1, 1, 0), (1, 1, 1), (3, 0, 0)}
-    assert all(d["tiles"][0]["files"] == {} for d in docs)
-    buildings = [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "buildings")).collect()]
-    assert len(buildings) == 1 and len(buildings[0]["footprint"]) == 4
+    # every folder of a tile on the disk is named by the manifest of that tile, and none else
+    named = {(d["terrainName"], e, f) for d in docs for e, f in d["tiles"][0]["files"].items()}
+    on_disk = {str(f.parent.relative_to(tmp_path)) for top in ("heights", "buildings", "roads", "masks") for f in (tmp_path / top).rglob("part-*")}
+    assert {f for _, _, f in named} == on_disk and len(named) == len(on_disk)
+    assert all(f"area_id={name.removeprefix('Terrain_')}/" in f for name, _, f in named)
+    assert {e for _, e, _ in named} == {"heightmap", "buildings3D", "roads3D", "roadMask", "waterMask", "buildingMask", "vegetationMask"}
+    lines = [r["value"] for r in spark.read.text(str(tmp_path / "buildings")).collect()]
+    buildings = [json.loads(v) for v in lines if v]
+    assert len(buildings) == 1 and len(buildings[0]["footprint"]) == 4 and len(lines) == 5  # four tiles have an empty file
+    combined = manifests.read_documents(spark, str(tmp_path / "documents"), ["area_id"])
+    assert {(r.area_id, r.tile.row, r.tile.col, tuple(r.tile.bounds), r.tile.files.heightmap) for r in combined.collect()} == {
+        (int(d["terrainName"][8:]), t["row"], t["col"], tuple(t["bounds"].values()), t["files"]["heightmap"]) for d in docs for t in d["tiles"]}
+
+
+def test_a_combined_document_of_many_parts(spark, tmp_path):
+    """Larger than a partition: the files of a package, in order, are one JSON text that holds all its tiles."""
+    keys = ["pkg"]
+    tiles = spark.range(5000).selectExpr("IF(id < 4990, 'big', 'a=b c') AS pkg", "id AS row", "id % 3 AS col", "IF(id < 4990, id, id - 4990) + 1 AS ordinal")
+    entry = F.to_json(F.struct("row", "col", F.struct(F.lit("x").alias("heightmap")).alias("files")))
+    heads = tiles.groupBy("pkg").agg(F.count(F.lit(1)).alias("n_tiles")).withColumns({"before": F.lit('{"version":"1"}'), "behind": F.lit('{"exportPreset":"p"}')})
+    lines = manifests.combined_document(tiles.withColumn("entry", entry), heads, keys)
+    manifests.write_documents(lines, keys, str(tmp_path / "d"))
+    folders = sorted((tmp_path / "d").glob("pkg=*"))
+    assert len(folders) == 2
+    for folder, n, first in zip(folders, (10, 4990), (4990, 0)):
+        files = sorted(folder.glob("part-*"))
+        whole = json.loads("".join(f.read_text() for f in files))
+        assert [t["row"] for t in whole["tiles"]] == list(range(first, first + n)) and (whole["version"], whole["exportPreset"]) == ("1", "p")
+        assert n == 10 or len(files) > 1
+    back = manifests.read_documents(spark, str(tmp_path / "d"), keys)
+    assert back.selectExpr("pkg", "tile.row", "tile.col", "tile.files.heightmap").exceptAll(tiles.selectExpr("pkg", "row", "col", "'x'")).count() == 0 and back.count() == 5000
