@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.unroll import unroll_indexed
@@ -38,12 +38,108 @@ def parse_osm_json(responses: DataFrame, body: str = "body") -> DataFrame:
     return out.filter(F.size("geometry") > 0)
 
 
+def response_errors(responses: DataFrame, body: str = "body") -> DataFrame:
+    """The responses that are no JSON object with a list of elements, with the reason: such a response gives no features.
+
+    A null body is a response that was not received.
+    """
+    rest = [c for c in responses.columns if c != body]
+    parsed = responses.select(*rest, body, F.try_parse_json(body).alias("_json"))
+    elements = F.schema_of_variant(F.try_variant_get("_json", "$.elements", "variant"))
+    reason = (
+        F.when(F.col(body).isNull(), F.lit("no response")).when(F.col("_json").isNull(), F.concat(F.lit("broken JSON of "), F.octet_length(body).cast("string"), F.lit(" bytes")))
+        .when(~F.coalesce(elements.startswith("ARRAY"), F.lit(False)), F.lit("no list of elements"))
+    )
+    return parsed.select(*rest, reason.alias("reason")).filter("reason IS NOT NULL")
+
+
+def _scanned(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Pieces of JSON files up to every closing brace, with what a prefix scan says of each, and one row per file.
+
+    A file is cut at its braces by the splits of the text reader, so many tasks read it. Quotes are counted first: their
+    number before a piece says whether it begins inside of a text. Then braces outside of texts give its depth. Both are
+    sums within a split, and sums over the splits of a file; only the latter, a few numbers a split, meet per file.
+    """
+    meta = F.col("_metadata")
+    pieces = spark.read.option("lineSep", "}").text(path).select(
+        "value", meta["file_path"].alias("file"), meta["file_size"].alias("size"), meta["file_block_start"].alias("split"), F.monotonically_increasing_id().alias("at"))
+    # Without escaped characters, every second part between quotes is outside of texts.
+    parts = F.split(F.regexp_replace("value", r"\\.", ""), '"', -1)
+
+    def braces(parity: int) -> Column:
+        chosen = F.array_join(F.filter(parts, lambda _, i: i % 2 == parity), "")
+        return F.length(chosen) - F.length(F.translate(chosen, "{", ""))
+
+    pieces = pieces.select("*", ((F.size(parts) - 1) % 2).alias("quotes"), braces(0).alias("open_0"), braces(1).alias("open_1"), (F.octet_length("value") + 1).alias("bytes"))
+    inside = Window.partitionBy("file", "split").orderBy("at")
+    before = inside.rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.select("*", F.coalesce(F.sum("quotes").over(before), F.lit(0)).alias("quotes_before"), F.row_number().over(inside).alias("number"))
+
+    def depth(start: int) -> Column:
+        begins, ends = (F.col("quotes_before") + start) % 2, (F.col("quotes_before") + F.col("quotes") + start) % 2
+        return F.when(begins == 0, F.col("open_0")).otherwise(F.col("open_1")) - F.when(ends == 0, 1).otherwise(0)
+
+    pieces = pieces.select("*", depth(0).alias("depth_0"), depth(1).alias("depth_1"))
+    splits = pieces.groupBy("file", "split").agg(*[F.sum(c).alias(c) for c in ("quotes", "depth_0", "depth_1", "bytes")], F.count(F.lit(1)).alias("pieces"), F.first("size").alias("size"))
+    over = Window.partitionBy("file").orderBy("split")
+    earlier = over.rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("*", (F.coalesce(F.sum("quotes").over(earlier), F.lit(0)) % 2).alias("start"))
+    splits = splits.select("*", F.when(F.col("start") == 0, F.col("depth_0")).otherwise(F.col("depth_1")).alias("gain"))
+    splits = splits.select("*", F.coalesce(F.sum("gain").over(earlier), F.lit(0)).alias("depth_start"), F.coalesce(F.sum("pieces").over(earlier), F.lit(0)).alias("pieces_start"))
+    files = splits.groupBy("file").agg(F.sum("gain").alias("gain"), F.sum("quotes").alias("quotes"), F.sum("bytes").alias("bytes"), F.max("size").alias("size"), F.sum("pieces").alias("n_pieces"))
+    # The last piece has no brace behind it unless the bytes add up with one.
+    open_end = F.col("bytes") > F.col("size")
+    files = files.select("file", "n_pieces", open_end.alias("open_end"), (F.col("quotes") % 2).alias("in_text"), (F.col("gain") + F.when(open_end & (F.col("quotes") % 2 == 0), 1).otherwise(0)).alias("depth"))
+    joined = pieces.join(splits.select("file", "split", "start", "depth_start", "pieces_start"), ["file", "split"])
+    joined = joined.select("*", F.when(F.col("start") == 0, F.col("depth_0")).otherwise(F.col("depth_1")).alias("gained"), ((F.col("quotes_before") + F.col("quotes") + F.col("start")) % 2).alias("ends_in_text"))
+    joined = joined.select("file", "value", (F.col("pieces_start") + F.col("number")).alias("number"), "split", "at", "ends_in_text", (F.col("depth_start") + F.sum("gained").over(inside)).alias("depth"), "gained")
+    return joined, files
+
+
+def read_osm_parts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Features (file, pos, type, id, geometry, tags) of JSON files of any size, and one row (file, elements, reason) per file.
+
+    Each file is parsed by many tasks. A file that breaks off, or whose braces or quotes do not fit, has a reason, and
+    gives the features that are whole before that. Positions count the elements of a file from 0. Spark's readers
+    skip files without a byte, so those have no row.
+    """
+    pieces, files = _scanned(spark, path)
+    by_file = Window.partitionBy("file", "split").orderBy("at")
+    pieces = pieces.join(files.select("file", "n_pieces", "open_end"), "file")
+    closed = ~(F.col("open_end") & (F.col("number") == F.col("n_pieces")))
+    # an element ends where a brace leads back to the depth of the whole document
+    ends = closed & (F.col("ends_in_text") == 0) & (F.col("depth") == 1)
+    pieces = pieces.select("*", ends.cast("int").alias("ends"))
+    per_split = pieces.groupBy("file", "split").agg(F.sum("ends").alias("n"))
+    per_split = per_split.select("file", "split", F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
+    local = F.coalesce(F.sum("ends").over(by_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = pieces.select("*", local.alias("_local")).join(per_split, ["file", "split"]).select("file", (F.col("first") + F.col("_local")).alias("pos"), "number", "ends", "value")
+    whole = numbered.groupBy("file", "pos").agg(F.max("ends").alias("done"), F.array_sort(F.collect_list(F.struct("number", "value"))).alias("parts")).filter("done = 1")
+    text = F.concat(F.array_join(F.transform("parts", lambda p: p["value"]), "}"), F.lit("}"))
+    # the first one begins behind the opening of the document, the others behind a comma
+    text = F.when(F.col("pos") == 0, F.regexp_replace(text, r"^[^{]*\{[^{]*", "")).otherwise(F.regexp_replace(text, r"^[^{]*", ""))
+    bodies = whole.select("file", "pos", F.concat(F.lit('{"elements":['), text, F.lit("]}")).alias("body"))
+    objects = bodies.select("file", "pos", "body", F.from_json("body", RESPONSE_SCHEMA)["elements"][0]["type"].alias("_type"))
+    # objects beside the list (facts on the response) come before it and have no type
+    found = parse_osm_json(objects.filter("_type IS NOT NULL").select("file", F.col("pos").alias("_pos"), "body")).drop("pos")
+    ahead = objects.filter("_type IS NULL").groupBy("file").agg(F.count(F.lit(1)).alias("_ahead"))
+    features = found.join(ahead, "file", "left").withColumn("pos", (F.col("_pos") - F.coalesce("_ahead", F.lit(0))).cast("int")).drop("_pos", "_ahead")
+    reason = F.when(F.col("in_text") == 1, F.lit("ends inside of a text")).when(F.col("depth") > 0, F.concat(F.lit("ends at depth "), F.col("depth").cast("string"))).when(F.col("depth") < 0, F.lit("closes more than it opens"))
+    counts = objects.filter("_type IS NOT NULL").groupBy("file").agg(F.count(F.lit(1)).alias("elements"))
+    report = files.join(counts, "file", "left").select("file", F.coalesce("elements", F.lit(0)).alias("elements"), reason.alias("reason"))
+    return features, report
+
+
 def read_osm_features(spark: SparkSession, path: str) -> DataFrame:
-    """Features of all response files under ``path``, one JSON document per file."""
+    """Features of all response files under ``path``, one JSON document per file; a broken one ends the job.
+
+    ``read_osm_parts`` reads large files in parts and names broken ones instead.
+    """
     files = spark.read.text(path, wholetext=True).select(
         F.col("value").alias("body"), F.col("_metadata.file_path").alias("file")
     )
-    return parse_osm_json(files)
+    broken = F.raise_error(F.concat(F.lit("no feature response: "), F.col("file")))
+    return parse_osm_json(files.withColumn("body", F.when(F.try_parse_json("body").isNull(), broken).otherwise(F.col("body"))))
 
 
 def with_hot_tags(features: DataFrame, keys: tuple[str, ...] = ("highway", "building", "natural", "landuse")) -> DataFrame:

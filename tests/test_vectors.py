@@ -209,3 +209,63 @@ def test_shapes(spark):
         (1, 0, 0, 0): [[0, 0], [1, 1]], (2, 0, 0, 0): [[1, 1], [1.5, 1]], (2, 0, 1, 0): [[2, 2]], (4, 0, 0, 0): [[7, 8]], (4, 1, 0, 0): [[9, 8]],
         **{(5, 0, 0, k): [[float(i), 0.0] for i in range(3 * k, min(7, 3 * k + 3))] for k in range(3)},
     }
+
+
+def test_a_document_cut_over_many_tasks_gives_the_same_features(spark, tmp_path):
+    """Braces and quotes inside of texts, facts beside the list, one-line and indented documents, broken ones."""
+    import json
+    import random
+
+    from orograph.sources import osm
+
+    rng = random.Random(12)
+
+    def element(i):
+        points = [{"lat": rng.uniform(-80, 80), "lon": rng.uniform(-170, 170)} for _ in range(rng.choice([0, 1, 5, 30]))]
+        tags = {rng.choice(["highway", "name", "no{te", 'qu"ote']): rng.choice(["path", "a } b", "{", "}}", 'he said "}"', "back\\slash", "\\\"}", "ü😀"]) for _ in range(rng.choice([0, 1, 3]))}
+        if i % 5 == 0:
+            return {"type": "relation", "id": i, "members": [{"type": "way", "geometry": points}, {"type": "node"}], "tags": tags}
+        return {"type": "way", "id": i, "geometry": points, **({"tags": tags} if tags else {})}
+
+    docs = {
+        "a.json": json.dumps({"version": 0.6, "osm3s": {"copyright": "none"}, "elements": [element(i) for i in range(200)]}),
+        "b.json": json.dumps({"elements": [element(i) for i in range(1000, 1050)]}, indent=2, ensure_ascii=False) + "\n",
+        "c.json": '{"elements": []}', "d.json": json.dumps({"elements": [element(7)]}),
+    }
+    whole = json.dumps({"elements": [element(i) for i in range(2000, 2040)]})
+    docs |= {"e.json": whole[:len(whole) * 2 // 3], "f.json": "", "g.json": whole[:whole.rindex('"type"') + 9]}
+    for name, text in docs.items():
+        (tmp_path / name).write_text(text)
+    rows = spark.createDataFrame([(n, t) for n, t in docs.items() if n in "a.json b.json c.json d.json"], "name string, body string")
+    want = sorted((r.name, r.type, r.id, r.geometry, r.tags) for r in osm.parse_osm_json(rows).collect())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700b")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+        assert spark.read.option("lineSep", "}").text(str(tmp_path)).rdd.getNumPartitions() > 60
+        features, files = osm.read_osm_parts(spark, str(tmp_path))
+        got = [(r.file.rsplit("/", 1)[1], r.type, r.id, r.geometry, r.tags, r.pos) for r in features.collect()]
+        report = {r.file.rsplit("/", 1)[1]: (r.elements, r.reason) for r in files.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    assert sorted(r[:5] for r in got if r[0] in "a.json b.json c.json d.json") == want
+    assert all(pos == (i if i < 1000 else i - 1000) for name, _, i, _, _, pos in got if name in "a.json b.json")
+    assert {k: report[k] for k in ("a.json", "b.json", "c.json", "d.json")} == {"a.json": (200, None), "b.json": (50, None), "c.json": (0, None), "d.json": (1, None)}
+    assert "f.json" not in report
+    assert 20 < report["e.json"][0] < 40 and report["e.json"][1].startswith("ends ") and report["g.json"][0] == 39 and report["g.json"][1].startswith("ends ")
+    whole_ids = [e["id"] for e in json.loads(whole)["elements"]]
+    assert [r[2] for r in sorted(got, key=lambda r: r[5]) if r[0] == "g.json"] == [i for i, e in zip(whole_ids[:39], json.loads(whole)["elements"]) if e.get("geometry") or any(m.get("geometry") for m in e.get("members", []))]
+
+
+def test_broken_responses_are_named(spark, tmp_path):
+    import pytest as _pytest
+
+    from orograph.sources import osm
+
+    rows = [("ok", '{"elements": []}'), ("cut", '{"elements": [{"type": "way"'), ("none", None), ("list", "[1]"), ("other", '{"remark": "busy"}'), ("text", "<html>")]
+    got = {r.name: r.reason for r in osm.response_errors(spark.createDataFrame(rows, "name string, body string")).collect()}
+    assert set(got) == {"cut", "none", "list", "other", "text"} and got["none"] == "no response" and got["other"] == "no list of elements" and got["cut"].startswith("broken JSON of 28")
+    (tmp_path / "x.json").write_text(rows[1][1])
+    with _pytest.raises(Exception, match="no feature response"):
+        osm.read_osm_features(spark, str(tmp_path)).collect()

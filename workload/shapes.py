@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from orograph.functions import features as ft
 from orograph.functions.heights import vegetation_intensity
 from orograph.operators import grids, masks, placement, vectors
+from orograph.session import shared_folder
 from orograph.sources import gazetteer, osm, shapes
 
 from .base import K, KIND_SQL, SIDE, boxes, deal, features, fx, line_cte, polygon_cte, q6, query, r6, recursive, table, with_ctes
@@ -69,9 +72,11 @@ def _(spark, sf):
 
 
 # Response documents of 500 features; relations carry their geometry in two members.
-@query("read_osm_features", with_ctes("tags", "feat", "ring") + f"""SELECT f.type, f.fid AS id, CAST(r.ord AS INTEGER) AS ord, {q6('r.lat')} AS lat, {q6('r.lon')} AS lon,
-  coalesce(f.highway, '') AS highway FROM ring r JOIN feat f USING (fid)""")
-def _(spark, sf):
+OSM_SQL = with_ctes("tags", "feat", "ring") + f"""SELECT f.type, f.fid AS id, CAST(r.ord AS INTEGER) AS ord, {q6('r.lat')} AS lat, {q6('r.lon')} AS lon,
+  coalesce(f.highway, '') AS highway FROM ring r JOIN feat f USING (fid)"""
+
+
+def responses(spark, sf):
     g = F.col("geometry")
     empty = F.lit(None).cast(osm._POINTS)
     relation = F.col("type") == "relation"
@@ -83,12 +88,27 @@ def _(spark, sf):
     node = F.struct(F.lit("node").alias("type"), F.lit(1).cast("bigint").alias("id"), empty.alias("geometry"),
                     F.lit(None).cast(f"array<struct<type: string, geometry: {osm._POINTS}>>").alias("members"), F.lit(None).cast("map<string,string>").alias("tags"))
     docs = features(spark, sf).groupBy(F.floor(F.col("id") / 500).alias("doc")).agg(F.collect_list(element).alias("e"))
-    bodies = docs.select("doc", F.to_json(F.struct(F.concat(F.array(node), F.col("e")).alias("elements"))).alias("body"))
-    parsed = osm.parse_osm_json(bodies)
+    return docs.select("doc", F.to_json(F.struct(F.concat(F.array(node), F.col("e")).alias("elements"))).alias("body"))
+
+
+def listed_points(parsed):
     points = parsed.select("type", "id", F.coalesce(ft.tag("tags", "highway"), F.lit("")).alias("highway"), F.posexplode("geometry").alias("ord", "p"))
     return points.select("type", "id", "ord", r6("p.lat").alias("lat"), r6("p.lon").alias("lon"), "highway")
 
 
+@query("read_osm_features", OSM_SQL)
+def _(spark, sf):
+    return listed_points(osm.parse_osm_json(responses(spark, sf)))
+
+
+@query("read_osm_parts", OSM_SQL)
+def _(spark, sf):
+    """The same documents as files, cut at braces and parsed by many tasks."""
+    path = f"{shared_folder(spark)}/responses/{uuid.uuid4().hex}"
+    responses(spark, sf).repartition("doc").write.partitionBy("doc").text(path)
+    return listed_points(osm.read_osm_parts(spark, path)[0])
+
+
 PLACES = [f"{K} AS query_id", f"{K} * 3 AS place_id", "c_name AS display_name", f"CONCAT(CAST(({K} % 170) / 4 AS VARCHAR(20)), CASE WHEN {K} % 5 = 0 THEN ' N' ELSE '' END) AS lat",
           f"CASE WHEN {K} % 7 = 0 THEN 'east' ELSE CAST(({K} % 350) / 8 AS VARCHAR(20)) END AS lon", f"CAST(({K} % 170) / 4 - 1 AS VARCHAR(20)) AS b0",
           f"CAST(({K} % 170) / 4 + 1 AS VARCHAR(20)) AS b1"]
