@@ -57,23 +57,78 @@ def debounced_queries(queries: DataFrame, gap_seconds: int, bucket_seconds: int
     return ahead.filter(fires).select("user_id", "ts", "event_id", trimmed("q").alias("q")).filter(search_trigger("q"))
 
 
-def start_job_progress(spark: SparkSession, path: str, schema: str, out: str, checkpoint: str) -> StreamingQuery:
-    """Follow a folder of progress files; every trigger writes the jobs that changed to ``out``.
-
-    The folder ``out`` gets one part per batch, written again as a whole if the batch is repeated;
-    ``read_job_progress`` gives the latest row of each job.
+#: Batches between two snapshots.
+SNAPSHOT_EVERY = 50
+
+
+def _numbers(spark: SparkSession, folder: str, prefix: str) -> list[int]:
+    """Numbers of the finished tables ``prefix``N in a folder, in order."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(context._jsc.hadoopConfiguration())
+    found = []
+    for status in fs.listStatus(path) if fs.exists(path) else []:
+        name = status.getPath().getName()
+        if name.startswith(prefix) and fs.exists(context._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
+            found.append(int(name.removeprefix(prefix)))
+    return sorted(found)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def _latest_of(spark: SparkSession, out: str, upto: int | None = None, before: int | None = None) -> DataFrame | None:
+    """Latest row of each job in the newest snapshot (older than ``before``) and the batches behind it (to ``upto``)."""
+    snapshots = [n for n in _numbers(spark, f"{out}/snapshots", "upto=") if before is None or n < before]
+    batches = [n for n in _numbers(spark, f"{out}/batches", "batch=") if (not snapshots or n > snapshots[-1]) and (upto is None or n <= upto)]
+    parts = [spark.read.parquet(f"{out}/snapshots/upto={snapshots[-1]}")] if snapshots else []
+    if batches:
+        parts.append(spark.read.option("basePath", f"{out}/batches").parquet(*[f"{out}/batches/batch={n}" for n in batches]))
+    if not parts:
+        return None
+    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1].select(*parts[0].columns))
+    columns = [c for c in rows.columns if c not in ("job_id", "batch")]
+    newest = rows.groupBy("job_id").agg(F.max_by(F.struct("batch", *columns), "batch").alias("_l"))
+    return newest.select("job_id", "_l.batch", *[f"_l.{c}" for c in columns])
+
+
+def write_progress_batch(changed: DataFrame, batch: int, out: str, every: int = SNAPSHOT_EVERY) -> None:
+    """One batch of the kept table: the changed rows, and after every ``every`` batches a snapshot of all jobs.
+
+    A batch that is repeated writes the same tables again. What lies before the last snapshot but one is deleted, so a
+    reader of the last one loses nothing, and the folder holds two snapshots and 2 * ``every`` batches at most.
+    """
+    spark = changed.sparkSession
+    changed.write.mode("overwrite").parquet(f"{out}/batches/batch={batch}")
+    if batch % every != every - 1:
+        return
+    _latest_of(spark, out, upto=batch, before=batch).write.mode("overwrite").parquet(f"{out}/snapshots/upto={batch}")
+    kept = _numbers(spark, f"{out}/snapshots", "upto=")[-2:]
+    if len(kept) == 2:
+        for n in [n for n in _numbers(spark, f"{out}/snapshots", "upto=") if n < kept[0]]:
+            _delete(spark, f"{out}/snapshots/upto={n}")
+        for n in [n for n in _numbers(spark, f"{out}/batches", "batch=") if n <= kept[0]]:
+            _delete(spark, f"{out}/batches/batch={n}")
+
+
+def start_job_progress(spark: SparkSession, path: str, schema: str, out: str, checkpoint: str, every: int = SNAPSHOT_EVERY) -> StreamingQuery:
+    """Follow a folder of progress files; every trigger writes the jobs that changed to the kept table in ``out``.
+
+    ``read_job_progress`` gives the latest row of each job, from the last snapshot and the batches behind it.
     """
     events = spark.readStream.schema(schema).parquet(path)
 
     def write(changed: DataFrame, batch: int) -> None:
-        changed.write.mode("overwrite").parquet(f"{out}/batch={batch}")
+        write_progress_batch(changed, batch, out, every)
 
     return job_progress_latest(events).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).start()
 
 
 def read_job_progress(spark: SparkSession, out: str) -> DataFrame:
-    """Latest row of each job among all batches that ``start_job_progress`` has written."""
-    batches = spark.read.parquet(out)
-    columns = [c for c in batches.columns if c != "batch"]
-    newest = batches.groupBy("job_id").agg(F.max_by(F.struct(*[c for c in columns if c != "job_id"]), "batch").alias("_l"))
-    return newest.select("job_id", "_l.*")
+    """Latest row of each job of the table that ``start_job_progress`` keeps; its cost does not grow with the triggers."""
+    found = _latest_of(spark, out)
+    if found is None:
+        raise ValueError(f"no batch in {out}")
+    return found.drop("batch")

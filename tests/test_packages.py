@@ -131,6 +131,22 @@ def test_progress_stream_equals_the_table(spark, tmp_path):
     assert all((live[j][3], live[j][4]) == best[j] for j in live) and all(r[5] == (r[1] in ("complete", "error")) for r in live.values())
 
 
+def test_kept_progress_is_compacted(spark, tmp_path):
+    """Snapshots take the place of old batches, and a repeated batch or snapshot changes nothing."""
+    out, schema = str(tmp_path / "kept"), "job_id long, state string, progress double, ts timestamp, event_id long"
+    want = {}
+    for batch in range(11):
+        rows = [(j, "planning", float(batch), T0 + dt.timedelta(seconds=batch), batch * 10 + j) for j in range(4) if (batch + j) % 3 == 0 or j == 3 and batch == 0]
+        want |= {r[0]: r for r in rows}
+        changed = jobs.job_progress_latest(spark.createDataFrame(rows, schema)).coalesce(1)
+        for _ in range(2 if batch in (4, 8, 10) else 1):  # those are delivered twice
+            jobs.write_progress_batch(changed, batch, out, every=3)
+        got = {r.job_id: (r.job_id, r.state, r.progress, r.ts, r.event_id) for r in jobs.read_job_progress(spark, out).collect()}
+        assert got == want
+    assert sorted(p.name for p in (tmp_path / "kept" / "snapshots").iterdir() if "=" in p.name) == ["upto=5", "upto=8"]
+    assert sorted(p.name for p in (tmp_path / "kept" / "batches").iterdir() if "=" in p.name) == sorted(f"batch={n}" for n in (6, 7, 8, 9, 10))
+
+
 def test_written_package(spark, tmp_path):
     areas = spark.createDataFrame([(1, 0.0, 9.0, 1.0, 10.0), (2, 5.0, 9.0, 4.0, 10.0)], "area_id int, west double, south double, east double, north double")
     px = spark.range(10000).select(F.lit(1).alias("area_id"), (F.col("id") % 100).alias("x"), F.floor(F.col("id") / 100).alias("y"))
