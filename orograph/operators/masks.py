@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.heights import vegetation_intensity
@@ -139,6 +139,45 @@ def mask_clear_counts(
     return tiles.join(counted, keys, "left").fillna(0, ["water_cleared", "road_cleared"])
 
 
+def plan_with_errors(plan: DataFrame, cliff_threshold: float | str = 45.0) -> DataFrame:
+    """A plan (keys, kind, line_px) with ``reason``: why a mask cannot be made, null where it can.
+
+    ``cliff_threshold`` is a number or a column of the plan.
+    """
+    threshold = double(F.col(cliff_threshold) if isinstance(cliff_threshold, str) else F.lit(cliff_threshold))
+    bad_threshold = threshold.isNull() | F.isnan(threshold) | (threshold < 0) | (threshold > 90)
+    px = F.col("line_px").cast("string")
+    return plan.withColumn("reason", (
+        F.when(F.col("kind").isNull() | ~F.col("kind").isin(*[k for k, *_ in MASK_KINDS]), F.concat(F.lit("unknown kind: "), F.coalesce("kind", F.lit("none"))))
+        .when((F.col("kind") == "road") & ~F.coalesce(F.col("line_px") > 0, F.lit(False)), F.concat(F.lit("line width: "), F.coalesce(px, F.lit("none"))))
+        .when((F.col("kind") == "cliff") & bad_threshold, F.concat(F.lit("cliff threshold: "), F.coalesce(threshold.cast("string"), F.lit("none"))))
+    ))
+
+
+def usable_features(features: DataFrame, geometry: str = "geometry") -> DataFrame:
+    """The features whose points all have finite coordinates; the others would leave holes in what is painted with them."""
+    def finite(v) -> Column:
+        return F.coalesce(~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))), F.lit(False))
+
+    return features.filter(F.coalesce(F.forall(geometry, lambda p: F.coalesce(finite(p["lat"]) & finite(p["lon"]), F.lit(False))), F.lit(False)))
+
+
+def mask_outcomes(plan: DataFrame, painted: DataFrame, features: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per mask of a plan (with ``reason``): status painted, empty or failed, its pixels, and features left out.
+
+    ``painted`` are the masks made of the plan's rows without a reason; a mask that fails leaves the others as they are.
+    ``features`` are all of the tiles; the unusable ones are counted for the kinds that draw them.
+    """
+    pixels = painted.groupBy(*keys, "kind").agg(F.count(F.lit(1)).alias("n_px"))
+    marked = features.join(usable_features(features).select(*keys, "type", "id").withColumn("_ok", F.lit(True)).distinct(), [*keys, "type", "id"], "left").filter("_ok IS NULL")
+    tags = {"road": "roads", "water": "water", "vegetation": "vegetation", "building": "buildings"}
+    of = F.filter(F.array(*[F.when(tag_filter(t), F.lit(k)) for k, t in tags.items()]), lambda k: k.isNotNull())
+    skipped = unroll(marked, of, "kind").groupBy(*keys, "kind").agg(F.count(F.lit(1)).alias("n_skipped"))
+    out = plan.select(*keys, "kind", "reason").join(pixels, [*keys, "kind"], "left").join(skipped, [*keys, "kind"], "left").fillna(0, ["n_px", "n_skipped"])
+    status = F.when(F.col("reason").isNotNull(), F.lit("failed")).when(F.col("n_px") > 0, F.lit("painted")).otherwise(F.lit("empty"))
+    return out.select(*keys, "kind", status.alias("status"), "reason", "n_px", "n_skipped")
+
+
 def combine_masks(
     plan: DataFrame, features: DataFrame, cliffs: DataFrame, vegetation: DataFrame, keys: list[str], feature_keys: list[str],
     resolution: int, waterway_as: str = "polygon", drawn_vegetation: DataFrame | None = None,

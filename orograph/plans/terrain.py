@@ -141,15 +141,25 @@ class TerrainPackage:
         level = F.floor(clamp("v", F.lit(0.0), F.lit(255.0)) + 0.5).cast("int")
         return blocks.pixels_of(found, self.keys, ("v",)).withColumn("v", level).filter("v > 0")
 
+    @cached_property
+    def mask_plan(self) -> DataFrame:
+        """The masks of all tiles that are switched on, with the reason of those that cannot be made."""
+        on = [k for k, yes in self.settings.switches.items() if yes]
+        plan = self.tiles.select(*self.keys, F.explode(F.array(*[F.lit(k) for k in on])).alias("kind"))
+        return masks.plan_with_errors(plan.withColumn("line_px", F.lit(self.settings.road_px).cast("int")), self.settings.cliff_threshold)
+
+    @cached_property
+    def mask_outcomes(self) -> DataFrame:
+        """What became of every mask: painted, empty or failed with its reason."""
+        return masks.mask_outcomes(self.mask_plan, self.masks, self.features, self.keys)
+
     @cached_property
     def masks(self) -> DataFrame:
         """Pixels of all masks; vegetation from land cover where a tile has any, else drawn from features."""
-        size, on = self.settings.resolution, [k for k, yes in self.settings.switches.items() if yes]
-        plan = self.tiles.select(*self.keys, F.explode(F.array(*[F.lit(k) for k in on])).alias("kind"))
-        plan = plan.withColumn("line_px", F.lit(self.settings.road_px))
+        size, plan = self.settings.resolution, self.mask_plan.filter("reason IS NULL").drop("reason")
         bare = self.tiles.select(*self.keys).join(self.covered, self.keys, "left_anti")
         return masks.combine_masks(
-            plan, self.features, self.cliffs, self.vegetation, self.keys, ["type", "id"], size, self.settings.waterway_as, bare, lambda spans: self._kept("spans", spans)
+            plan, masks.usable_features(self.features), self.cliffs, self.vegetation, self.keys, ["type", "id"], size, self.settings.waterway_as, bare, lambda spans: self._kept("spans", spans)
         )
 
     @cached_property

@@ -70,3 +70,18 @@ def unpack_r16(blobs: DataFrame, keys: list[str], content: str = "content", widt
 def read_r16(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.r16").load(path)
     return unpack_r16(files.select("path", "content"), ["path"])
+
+
+def read_r16_file(spark: SparkSession, path: str, width: int, split_bytes: int = 64 << 20) -> DataFrame:
+    """Pixels (x, y, q) of one blob of any size, read by ranges of its bytes: a record is a row of ``width`` heights.
+
+    Other than ``read_r16``, no task holds more than a range, so a blob may be larger than the 2 GB of a cell. A file
+    that ends within a row is an error.
+    """
+    hadoop = "org.apache.hadoop"
+    records = spark.sparkContext.newAPIHadoopFile(
+        path, f"{hadoop}.mapreduce.lib.input.FixedLengthInputFormat", f"{hadoop}.io.LongWritable", f"{hadoop}.io.BytesWritable",
+        conf={"fixedlengthinputformat.record.length": str(2 * width), "mapreduce.input.fileinputformat.split.maxsize": str(split_bytes)},
+    )
+    rows = records.map(lambda r: (r[0] // 2, bytes(r[1])))
+    return unpack_bands(spark.createDataFrame(rows, "start bigint, content binary"), [], width)

@@ -221,3 +221,16 @@ def test_holes_beside_repeats_and_pixels_outside_are_filled(spark):
     wide = spark.range(300 * 300).filter("id NOT IN (0, 7, 32767, 32768, 89999)").selectExpr("'w' AS k", "id % 300 AS x", "id div 300 AS y", "1.0D AS z")
     full = grids.fill_holes(wide, spark.createDataFrame([("w", 300, 300)], "k string, width int, height int"), ["k"], {"z": 0.0})
     assert sorted(r.y * 300 + r.x for r in full.filter("z = 0").collect()) == [0, 7, 32767, 32768, 89999] and full.count() == 90000
+
+
+def test_a_blob_read_by_byte_ranges(spark, tmp_path):
+    from orograph.sources import r16
+
+    heights = (np.arange(37 * 500) * 7919 % 65536).astype("<u2")
+    (tmp_path / "h.r16").write_bytes(heights.tobytes())
+    got = r16.read_r16_file(spark, str(tmp_path / "h.r16"), 37, split_bytes=4000)
+    assert got.rdd.getNumPartitions() >= 9
+    assert {(r.x, r.y): r.q for r in got.collect()} == {(i % 37, i // 37): int(v) for i, v in enumerate(heights)}
+    (tmp_path / "cut.r16").write_bytes(heights.tobytes()[:-3])
+    with pytest.raises(Exception):
+        r16.read_r16_file(spark, str(tmp_path / "cut.r16"), 37).count()

@@ -239,6 +239,31 @@ def _(spark, sf):
     return out.groupBy("sheet", "kind", "y").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("sum_x"), F.sum("v").alias("sum_v"))
 
 
+# A plan with masks that cannot be made: no line width, a threshold beyond a right angle, a kind that does not exist.
+OUTCOME_PLAN = {k: f"({v}) AND NOT ({b})" for (k, v), b in zip(PLAN.items(), ("sheet % 5 = 1", "false", "false", "false", "sheet % 4 = 2"))}
+OUTCOMES = {**ALL_MASKS, "hw": f"SELECT sheet, x, y FROM pw WHERE {PLAN['water']}", "hr": f"SELECT sheet, x, y FROM pr WHERE {OUTCOME_PLAN['road']}",
+            "every": ALL_MASKS["every"].replace(f"v > 0 AND {PLAN['cliff']}", f"v > 0 AND {OUTCOME_PLAN['cliff']}"),
+            "sheets": "SELECT DISTINCT sheet FROM feat", "listed": " UNION ALL ".join(f"SELECT sheet, '{k}' AS kind FROM sheets WHERE {c}" for k, c in PLAN.items()) + " UNION ALL SELECT sheet, 'snow' FROM sheets WHERE sheet % 7 = 0",
+            "counted": "SELECT sheet, kind, count(*) AS n FROM every GROUP BY ALL"}
+
+
+@query("mask_outcomes", recursive(with_ctes("dem", "landcover", *FEAT, **OUTCOMES)) + """SELECT sheet, kind, CASE WHEN reason IS NOT NULL THEN 'failed' WHEN n > 0 THEN 'painted' ELSE 'empty' END AS status, reason, coalesce(n, 0) AS n_px
+  FROM (SELECT sheet, kind, n, CASE WHEN kind = 'snow' THEN 'unknown kind: snow' WHEN kind = 'road' AND sheet % 5 = 1 THEN 'line width: 0' WHEN kind = 'cliff' AND sheet % 4 = 2 THEN 'cliff threshold: 91.0' END AS reason
+  FROM listed LEFT JOIN counted USING (sheet, kind))""")
+def _(spark, sf):
+    f = features(spark, sf)
+    kinds = [F.when(F.expr(c), F.lit(k)) for k, c in PLAN.items()] + [F.when(F.col("sheet") % 7 == 0, F.lit("snow"))]
+    plan = f.select("sheet").distinct().select("sheet", F.explode(F.filter(F.array(*kinds), lambda k: k.isNotNull())).alias("kind"))
+    plan = plan.withColumns({"line_px": F.when(F.col("kind") == "road", F.when(F.col("sheet") % 5 == 1, 0).otherwise(F.col("sheet") % 4 + 1)).cast("int"), "threshold": F.when(F.col("sheet") % 4 == 2, 91.0).otherwise(85.0)})
+    plan = masks.plan_with_errors(plan, "threshold")
+    sheet = (F.col("tile_row") * 2 + F.col("tile_col")).alias("sheet")
+    cover = fx(spark, sf, "landcover").select(sheet, "x", "y", masks.vegetation_intensity("cls").alias("v"))
+    plants = masks.match_size(cover, ["sheet"], (50, 50), (SMALL, SMALL))
+    good = plan.filter("reason IS NULL").select("sheet", "kind", "line_px")
+    painted = masks.generate_masks(good, masks.usable_features(f), fx(spark, sf, "dem").select(sheet, "x", "y", "z"), plants, ["sheet"], ["id"], SMALL, (50, 50), 85.0)
+    return masks.mask_outcomes(plan, painted, f, ["sheet"]).drop("n_skipped")
+
+
 # --- streams, run as tables -----------------------------------------------------------------
 
 
