@@ -1,7 +1,7 @@
 """Time the queries on one machine and print one JSON line.
 
 BENCH_SF_DIR and BENCH_CPUS name the tables and the cores. ``python bench.py --all`` times every
-query, ``--sweep`` adds pixel rates on generated rasters of 10**6 and 10**7 pixels.
+query, ``--sweep`` adds pixel rates on generated rasters of 10**6 and 10**7 pixels, for rasters in blocks of 10**6 to 10**8.
 """
 
 from __future__ import annotations
@@ -32,9 +32,21 @@ def run(df) -> float:
 
 def sweep(spark) -> dict[str, float]:
     """Seconds for the raster operators on tiles of 1000 x 1000 generated pixels."""
-    from orograph.operators import resample, surface
+    from orograph.operators import blocks, resample, surface
 
-    out = {}
+    out, side = {}, blocks.BLOCK
+    for power in (6, 7, 8):
+        # tiles of four by four blocks, whose values are made as arrays
+        n = round(10 ** power / side ** 2)
+        place = {"tile": F.floor(F.col("id") / 16), "x0": F.col("id") % 4 * side, "y0": F.floor(F.col("id") % 16 / 4) * side, "w": F.lit(side), "h": F.lit(side)}
+        raster = spark.range(0, n, 1, max(n // 16, 8)).withColumns(place).withColumn("v", F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda i: (i * 7919 % 4801 / 10).cast("double"))).drop("id")
+        whole = {"left": 0, "top": 0, "src_w": 4 * side, "src_h": 4 * side, "dst_w": 512, "dst_h": 512}
+        frames = spark.range(-(-n // 16)).select(F.col("id").alias("tile"), *[F.lit(v).cast("bigint").alias(k) for k, v in whole.items()])
+        out[f"blocks_made_1e{power}"] = run(raster)
+        out[f"slope_blocks_1e{power}"] = run(blocks.slopes(raster, ["tile"]))
+        out[f"bilinear_blocks_1e{power}"] = run(blocks.resampled(raster, frames, ["tile"], ["tile"], "bilinear"))
+        out[f"lanczos_blocks_1e{power}"] = run(blocks.resampled(raster, frames, ["tile"], ["tile"], "lanczos3"))
+        out[f"quantized_blocks_1e{power}"] = run(blocks.quantized(raster, ["tile"]))
     for power in (6, 7):
         n = 10 ** power
         cell = F.col("id") % 1000000

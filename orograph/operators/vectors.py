@@ -14,6 +14,8 @@ from ..functions.unroll import residual, unroll, unroll_indexed
 from .grids import int_range
 
 BOUNDS = ("west", "south", "east", "north")
+#: Extents of a cell that is not cut, and how often a cell is halved at most (the rest of a crowd is on one spot).
+CROWD, MOST_HALVINGS = 1 << 16, 10
 
 
 def _is(tags, key: str, value: str | None = None) -> Column:
@@ -66,12 +68,24 @@ def _cells(df: DataFrame, levels: Column, w: str, s: str, e: str, n: str) -> Dat
     return unroll(out, int_range(floor_div(s, size), floor_div(n, size)), "_cy")
 
 
-def region_pairs(extents: DataFrame, regions: DataFrame, region_keys: list[str]) -> DataFrame:
+def _leaves(df: DataFrame, crowded: DataFrame, w: str, s: str, e: str, n: str) -> DataFrame:
+    """The parts (_sx, _sy) that an extent touches of its cell, which is halved ``_cut`` times if it is crowded."""
+    out = df.join(crowded, ["_lv", "_cx", "_cy"], "left").withColumn("_cut", F.coalesce("_cut", F.lit(0)))
+    size, parts = F.pow(F.lit(2.0), F.col("_lv") - F.col("_cut")), F.pow(F.lit(2.0), F.col("_cut")).cast("bigint")
+    for low, high, cell, leaf in ((w, e, "_cx", "_sx"), (s, n, "_cy", "_sy")):
+        first, last = F.col(cell) * parts, F.col(cell) * parts + parts - 1
+        out = unroll(out, int_range(F.greatest(first, floor_div(low, size)), F.least(last, floor_div(high, size))), leaf)
+    return out
+
+
+def region_pairs(extents: DataFrame, regions: DataFrame, region_keys: list[str], crowd: int = CROWD) -> DataFrame:
     """Pairs of extents (columns f_west .. f_north) and regions that meet, each once.
 
     Every extent has the level of the cell size it fits in, and a pair is looked for on the level of
     its larger member, so a cell holds no more than what is near in its own measure. The levels that
-    occur, a few dozen whole numbers at most, are a scalar sub-query of the same job.
+    occur, a few dozen whole numbers at most, are a scalar sub-query of the same job. A cell of more than
+    ``crowd`` extents, a city for example, is cut to leaves with about that many; both members go to the
+    leaves they touch, so no task gets a city whole.
     """
     f = extents.withColumn("_own", _level("f_west", "f_south", "f_east", "f_north")).filter("_own IS NOT NULL")
     r = regions.select(*region_keys, *[F.col(b).alias(f"r_{b}") for b in BOUNDS])
@@ -86,16 +100,19 @@ def region_pairs(extents: DataFrame, regions: DataFrame, region_keys: list[str])
         on_levels(f, "_own", r, "_r_own", ("f_west", "f_south", "f_east", "f_north")),
         on_levels(r, "_r_own", f, "_own", ("r_west", "r_south", "r_east", "r_north")),
     )
+    halvings = F.least(F.ceil(F.log2(F.col("_n") / crowd) / 2), F.lit(MOST_HALVINGS)).cast("int")
+    crowded = f.groupBy("_lv", "_cx", "_cy").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > crowd).select("_lv", "_cx", "_cy", halvings.alias("_cut"))
+    f, r = _leaves(f, crowded, "f_west", "f_south", "f_east", "f_north"), _leaves(r, crowded, "r_west", "r_south", "r_east", "r_north").drop("_cut")
     meets = (
         (F.col("f_west") <= F.col("r_east")) & (F.col("f_east") >= F.col("r_west"))
         & (F.col("f_south") <= F.col("r_north")) & (F.col("f_north") >= F.col("r_south"))
     )
-    size = F.pow(F.lit(2.0), F.col("_lv"))
-    home = (F.col("_cx") == F.greatest(floor_div("f_west", size), floor_div("r_west", size))) & (
-        F.col("_cy") == F.greatest(floor_div("f_south", size), floor_div("r_south", size))
+    size = F.pow(F.lit(2.0), F.col("_lv") - F.col("_cut"))
+    home = (F.col("_sx") == F.greatest(floor_div("f_west", size), floor_div("r_west", size))) & (
+        F.col("_sy") == F.greatest(floor_div("f_south", size), floor_div("r_south", size))
     )
     once = (F.col("_lv") == F.greatest("_own", "_r_own")) & home
-    return f.join(r, ["_lv", "_cx", "_cy"]).filter(residual(meets & once)).drop("_lv", "_cx", "_cy", "_own", "_r_own")
+    return f.join(r, ["_lv", "_cx", "_cy", "_sx", "_sy"]).filter(residual(meets & once)).drop("_lv", "_cx", "_cy", "_sx", "_sy", "_cut", "_own", "_r_own")
 
 
 def features_to_regions(features: DataFrame, regions: DataFrame, region_keys: list[str]) -> DataFrame:

@@ -269,3 +269,22 @@ def test_broken_responses_are_named(spark, tmp_path):
     (tmp_path / "x.json").write_text(rows[1][1])
     with _pytest.raises(Exception, match="no feature response"):
         osm.read_osm_features(spark, str(tmp_path)).collect()
+
+
+def test_a_crowded_cell_is_cut_to_leaves(spark):
+    """A city gives the same pairs in small parts, also where many features lie on one spot or on the seams."""
+    import random
+
+    rng = random.Random(31)
+    boxes = [(i, x := rng.choice([0.5, 0.25, rng.random()]), y := rng.choice([0.5, rng.random()]), x + rng.choice([0, 0.001, 0.01]), y + rng.choice([0, 0.002])) for i in range(600)]
+    areas = [(k, a / 3, b / 3, (a + 1) / 3, (b + 1) / 3) for k, (a, b) in enumerate((a, b) for a in range(3) for b in range(3))] + [(99, 0.0, 0.0, 1.0, 1.0), (98, 0.49, 0.49, 0.51, 0.51)]
+    f = spark.createDataFrame(boxes, "id int, f_west double, f_south double, f_east double, f_north double")
+    r = spark.createDataFrame(areas, "region int, west double, south double, east double, north double")
+    want = {(i, k) for i, w, s, e, n in boxes for k, rw, rs, re_, rn in areas if w <= re_ and e >= rw and s <= rn and n >= rs}
+    for crowd in (1 << 16, 40, 3):
+        pairs = [(p.id, p.region) for p in vectors.region_pairs(f, r, ["region"], crowd).collect()]
+        assert len(pairs) == len(set(pairs)) and set(pairs) == want
+    cells = vectors._cells(f, F.array(F.lit(0)), "f_west", "f_south", "f_east", "f_north")
+    crowded = cells.groupBy("_lv", "_cx", "_cy").count().select("_lv", "_cx", "_cy", F.lit(3).alias("_cut"))
+    leaves = vectors._leaves(cells, crowded, "f_west", "f_south", "f_east", "f_north").groupBy("_cx", "_cy", "_sx", "_sy").count()
+    assert leaves.agg(F.max("count")).first()[0] < 300 and leaves.count() > 30
