@@ -3,8 +3,9 @@
 All rolling word pairs of a text are hashed and joined to the positions of the same pairs in the
 templates. A hit at word p of the text and word t of a template votes for the diagonal p - t. Votes
 are counted per diagonal, neighbouring diagonals (a word more or less) that overlap are merged to
-one span, and a span is verified by the share of the template's pairs it holds: a phrase must be
-complete, a license text must hold ``MIN_SHARE`` of its pairs.
+one span, and a span is verified: a phrase must be complete, and of a license text the span must hold
+``MIN_SHARE`` of the pairs in the order of the template, each counted once. So a pair of words that is
+repeated, which votes for many diagonals, is no license.
 
 The templates are the fixed list below, so the table of their pairs has a known size and is
 broadcast; the pairs of the texts stay in the task that read the text, and only votes are shuffled,
@@ -99,20 +100,42 @@ def spans(found: DataFrame) -> DataFrame:
     )
     apart = (F.abs(F.col("diagonal") - F.col("diagonal_before")) > SHIFT) | (F.col("first") > F.col("last_before") + GAP)
     texts = texts.withColumn("span", F.sum(F.coalesce(apart, F.lit(True)).cast("int")).over(by_text))
-    whole = texts.groupBy(*keys, "span").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"))
-    whole = whole.withColumn("share", F.least(F.lit(1.0), F.col("n") / F.col("pairs"))).filter(F.col("share") >= MIN_SHARE)
+    spanned = texts.select(*keys, "diagonal", "n", "span", F.sum("n").over(Window.partitionBy("id", "text_key", "template", "span")).alias("votes"))
+    # Only spans with enough votes are verified; those of one pair that repeats have votes, but no chain.
+    likely = spanned.filter(F.col("votes") >= MIN_SHARE * F.col("pairs")).select("id", "text_key", "template", "diagonal", "span")
+    places = hits.join(likely, ["id", "text_key", "template", "diagonal"]).groupBy(*keys, "span").agg(
+        F.min("p").alias("first"), (F.max("p") + 2).alias("last"), F.array_sort(F.collect_list(F.struct("p", (-(F.col("p") - F.col("diagonal"))).alias("back")))).alias("places"))
+    whole = places.withColumn("share", chain_length("places") / F.col("pairs")).filter(F.col("share") >= MIN_SHARE)
     columns = ["id", "text_key", "template", "base", "label", "first", "last", "share"]
     return phrase.select(*columns).unionByName(whole.select(*columns))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Verified license spans of every text: ``id_col``, ``text_key`` and the columns of ``spans``."""
-    return spans(votes(docs, templates(docs.sparkSession), id_col, text_col)).withColumnRenamed("id", id_col)
+def chain_length(places: str) -> Column:
+    """Most places whose words of the text and of the template both increase; ``places`` are structs (p, back = -word of the template) in order.
+
+    The ends of the chains of each length are kept; there are no more than the template has pairs.
+    """
+    def put(ends: Column, place: Column) -> Column:
+        at = -place["back"]
+        shorter = F.size(F.filter(ends, lambda e: e < at))
+        return F.concat(F.slice(ends, 1, shorter), F.array(at), F.slice(ends, shorter + 2, F.greatest(F.size(ends) - shorter - 1, F.lit(0))))
+
+    return F.aggregate(places, F.array().cast("array<int>"), put, F.size)
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: DataFrame | None = None) -> DataFrame:
+    """Verified license spans of every text: ``id_col``, ``text_key`` and the columns of ``spans``.
+
+    ``known`` is another table of ``templates``, small enough to be sent to all tasks.
+    """
+    pairs = known if known is not None else templates(docs.sparkSession)
+    return spans(checkpointed(votes(docs, pairs, id_col, text_col))).withColumnRenamed("id", id_col)
 
 
-def summary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def summary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: DataFrame | None = None) -> DataFrame:
     """One row per row of ``docs``: words, base places, labels and a score (best share among its spans)."""
-    found = checkpointed(votes(docs, templates(docs.sparkSession), id_col, text_col))  # read by three branches
+    pairs = known if known is not None else templates(docs.sparkSession)
+    found = checkpointed(votes(docs, pairs, id_col, text_col))  # read by several branches
     place = F.when(F.col("base"), F.col("first"))
     no_span = [F.lit(None).cast(t).alias(n) for n, t in (("base", "boolean"), ("label", "string"), ("first", "int"), ("share", "double"))]
     rows = found.filter("template IS NULL").select("id", "text_key", F.coalesce(F.col("p") + 1, F.lit(0)).alias("n_words"), "copies", *no_span)

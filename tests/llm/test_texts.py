@@ -1,5 +1,6 @@
 """Personal data, licenses, fingerprints and decontamination against plain loops, on odd rows too."""
 
+import collections
 import hashlib
 import random
 import re
@@ -82,6 +83,66 @@ def test_licenses_equal_plain_loops(spark, odd, nothing):
     assert licenses.summary(nothing).count() == 0
 
 
+def verified(text):
+    """Labels and score by loops: hits of pairs, their diagonals, stretches of diagonals, the longest chain of each."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").lower())
+    pairs, labels, score = list(zip(words, words[1:])), set(), 0.0
+    for phrase, label in licenses.PHRASES.items():
+        known = phrase.split()
+        if any(words[i:i + len(known)] == known for i in range(len(words))):
+            labels.add(label)
+            score = 1.0
+    for label, template in licenses.TEXTS.items():
+        known = list(zip(template.split(), template.split()[1:]))
+        diagonals = collections.defaultdict(list)
+        for p, pair in enumerate(pairs):
+            for at, other in enumerate(known):
+                if pair == other:
+                    diagonals[p - at].append(p)
+        stretches, reach = [], None
+        ordered = sorted((ps[0], d, ps[-1] + 2) for d, ps in diagonals.items())
+        for k, (first, d, last) in enumerate(ordered):
+            if k == 0 or abs(d - ordered[k - 1][1]) > licenses.SHIFT or first > reach + licenses.GAP:
+                stretches.append([])
+            stretches[-1].append(d)
+            reach = max(last, reach or 0)
+        for stretch in stretches:
+            hits = sorted((p, p - d) for d in stretch for p in diagonals[d])
+            best = {}
+            for p, at in hits:
+                best[p, at] = 1 + max((n for (q, other), n in best.items() if q < p and other < at), default=0)
+            share = max(best.values()) / len(known)
+            if share >= licenses.MIN_SHARE:
+                labels.add(label)
+                score = max(score, share)
+    return ",".join(sorted(labels)), score
+
+
+def test_labels_and_scores_equal_plain_loops_and_repeats_are_no_license(spark):
+    rng = random.Random(21)
+    repeats = ["permission is " * 12, "and or " * 20, "source code form " * 3 + "of the software " * 10, "the license " * 40, "you may not " * 30 + "of the " * 30]
+    texts = list(repeats)
+    for template in licenses.TEXTS.values():
+        words = template.split()
+        for share in (0.0, 0.1, 0.3, 0.6):
+            texts.append("so " + " ".join(w for w in words if rng.random() >= share for w in ([w, "extra"] if rng.random() < share / 3 else [w])) + " end")
+        texts.append(" ".join(rng.sample(words, len(words))))
+        texts.append(" ".join(words[:len(words) // 2] + ["x"] * 20 + words[len(words) // 2:]))
+        texts.append(" ".join(words + words[3:] + words))
+    got = {r.doc_id: (r.labels, round(r.score, 9)) for r in licenses.summary(made(spark, texts)).collect()}
+    for i, text in enumerate(texts):
+        labels, score = verified(text)
+        assert got[i] == (labels, round(score, 9)), text[:80]
+    assert all(got[i] == ("", 0.0) for i in range(len(repeats)))
+    assert sum(labels != "" for labels, _ in got.values()) > 20
+
+
+def test_other_templates_can_be_scanned(spark):
+    known = licenses.templates(spark, {}, {"own": "all rights of this house stay with its owner and nobody else"})
+    rows = licenses.scan(made(spark, ["x all rights of this old house stay with its owner and nobody else y", "mit license"]), known=known).collect()
+    assert [(r.label, r.first) for r in rows] == [("own", 1)]
+
+
 def test_license_texts_with_changes_are_one_verified_span(spark):
     text = "Intro. " + licenses.TEXTS["mit"].replace("free of charge", "without any charge at all").upper() + " the end"
     rows = licenses.scan(made(spark, [text, "permission is hereby given"])).collect()
