@@ -1,8 +1,10 @@
 """Personal data in texts, with SQL functions only.
 
 Regular expressions propose spans, checks confirm them (parts of an address up to 255, Luhn for
-cards, the number of digits for phones, remainder 97 for account numbers) and words near a span
-adjust its score. Everything happens within a row: no shuffle, and no Python on the executors.
+cards, the number of digits for phones, remainder 97 for account numbers, the numbers that are given
+out for social security) and words near a span raise its score. A span of a kind with a limit counts
+only if its score reaches it: a social security number needs such a word, as nothing else tells it
+from other numbers of that form. The base kinds have no limit. Everything happens within a row: no shuffle, and no Python on the executors.
 
 How spans are found: ``split`` by a pattern gives what stands between its matches and
 ``regexp_extract_all`` the matches, so the places are running sums of their lengths. The sums are
@@ -28,7 +30,7 @@ NEAR = 48
 
 @dataclass(frozen=True)
 class Kind:
-    """How one kind is found: pattern, words near it that speak for it, and the score without them."""
+    """How one kind is found: pattern, words near it that speak for it, the score without them, what they add, and the score that it takes."""
 
     name: str
     pattern: str
@@ -36,6 +38,8 @@ class Kind:
     words: str
     score: float
     check: str | None = None
+    near: float = 0.1
+    least: float = 0.0
 
 
 def _behind(chars: str) -> str:
@@ -63,13 +67,16 @@ def _account() -> str:
     return rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:(?:{each})(?![A-Za-z0-9])|{other}(?![A-Za-z0-9]))"
 
 
+#: Score that spans of the added kinds must reach.
+ADDED_LIMIT = 0.75
 LOCAL = "A-Za-z0-9._%+-"
 KINDS = (
     Kind("email", rf"{_behind(LOCAL)}[{LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", "mail|contact|write|address", 0.9),
     Kind("ip", rf"{_behind('0-9')}[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", ".", "ip|host|server|address|login", 0.6, "ip"),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", "", "card|visa|credit|pay|account", 0.7, "card"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", "phone|call|tel|mobile|fax", 0.7, "phone"),
-    Kind("iban", _account(), "", "iban|account|bank|transfer", 0.8, "iban"),
+    Kind("iban", _account(), "", "iban|account|bank|transfer", 0.8, "iban", least=ADDED_LIMIT),
+    Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-", r"\bssn\b|social[\x20-]security", 0.4, "ssn", 0.4, ADDED_LIMIT),
 )
 BASE = ("email", "ip", "card", "phone")
 
@@ -125,6 +132,8 @@ def _valid(check: str | None, match: Column) -> Column:
     if check == "iban":
         account = F.replace(match, F.lit(" "), F.lit(""))
         return F.when(F.length(account).between(15, 34), mod97(account)).otherwise(False)
+    if check == "ssn":
+        return ~match.rlike(r"^(?:000|666|9)|-00-|0000$")
     return F.lit(True)
 
 
@@ -156,9 +165,10 @@ def _with_spans(rows: DataFrame, kinds: Sequence[Kind]) -> DataFrame:
 
         def span(m: Column, i: Column) -> Column:
             around = F.concat_ws(" ", F.right(F.get(f"b_{n}", i), F.lit(NEAR)), F.left(F.get(f"b_{n}", i + 1), F.lit(NEAR)))
-            score = F.lit(kind.score) + F.when(around.rlike(f"(?i)(?:{kind.words})"), 0.1).otherwise(0.0)
+            score = F.lit(kind.score) + F.when(around.rlike(f"(?i)(?:{kind.words})"), kind.near).otherwise(0.0)
             start = F.length(F.get(f"b_{n}", F.lit(0))) + F.get(f"s_{n}", i)
-            return F.when(_valid(kind.check, m), F.struct(
+            counts = _valid(kind.check, m) if kind.score >= kind.least else _valid(kind.check, m) & (score >= kind.least)
+            return F.when(counts, F.struct(
                 start.cast("long").alias("start"), F.lit(rank).alias("rank"), (start + F.length(m)).cast("long").alias("end"), F.lit(n).alias("kind"), score.alias("score"),
             ))
 
@@ -173,14 +183,14 @@ def listed(spans: Column) -> Column:
 
 
 def summary(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Counts of the base kinds, the digest of their spans, and all spans as a text."""
+    """Counts of the base kinds, the digest of their spans, all spans as a text, and their scores in the same order."""
     spans = F.col("spans")
     base = F.filter(spans, lambda s: s["kind"].isin(*BASE))
 
     def count(kind: str) -> Column:
         return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    return found.select(id_col, *map(count, BASE), F.sha2(listed(base), 256).alias("base_sha256"), listed(spans).alias("spans"))
+    return found.select(id_col, *map(count, BASE), F.sha2(listed(base), 256).alias("base_sha256"), listed(spans).alias("spans"), F.transform(spans, lambda s: F.round(s["score"], 3)).alias("scores"))
 
 
 def redact(docs: DataFrame, kinds: Sequence[Kind] = KINDS, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
