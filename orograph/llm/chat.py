@@ -11,6 +11,10 @@ hold at most ``stride`` tokens, unless a single turn is longer (it is kept whole
 in one window. Before its new turns a window repeats the leading system turn and the turns just
 before, as far as they fit in ``history`` tokens; repeated turns are not in the loss mask.
 
+A system turn longer than half of ``stride`` makes the stride of its conversation twice as long as itself,
+so all its repetitions together are no longer than about the conversation; windows then hold more tokens
+than ``window``. They do also where a single turn, or a system turn beyond ``system`` tokens, is longer.
+
 No step needs a conversation in one place but the digest of its whole text, which streams over the
 sorted windows with a running hash.
 
@@ -26,11 +30,11 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .arrow import slices
 from .shared import checkpointed
 from .token_counts import piece_counter
 
@@ -67,10 +71,10 @@ def unescape(text: str) -> str:
 def with_tokens(turns: DataFrame, model_path: str) -> DataFrame:
     """``turns`` with the tokens of each formatted turn, by the piece model at ``model_path``."""
 
-    @F.pandas_udf("long")
-    def count(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("long")
+    def count(texts: pa.Array) -> pa.Array:
         counter = piece_counter(model_path)
-        return texts.map(counter.count)
+        return pa.array([n for part in slices(iter([pa.RecordBatch.from_arrays([texts], names=["text"])])) for n in map(counter.count, part.column("text").to_pylist())], pa.int64())
 
     return turns.withColumn("tokens", count(F.concat("head", "body", F.lit(CLOSE))))
 
@@ -83,7 +87,7 @@ def formatted_turns(conversations: DataFrame, conv_col: str = "conv_id", turn_co
 
 
 def with_places(turns: DataFrame) -> DataFrame:
-    """Adds ``number`` (from 0) and ``start`` (tokens before it, without a leading system turn) along each conversation."""
+    """Adds ``number`` (from 0), ``start`` (tokens before it, without a leading system turn) and ``lead`` (tokens of that turn) along each conversation."""
     turns = turns.withColumn("block", F.floor(F.coalesce("turn", F.lit(-1)) / BLOCK))
     inner = Window.partitionBy("conv", "block").orderBy(F.col("turn").asc_nulls_first(), "role", "body")
     before = inner.rowsBetween(Window.unboundedPreceding, -1)
@@ -92,12 +96,13 @@ def with_places(turns: DataFrame) -> DataFrame:
     blocks = turns.groupBy("conv", "block").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("total"), F.min(F.struct(F.col("turn"), F.col("role"), F.col("body"), F.col("tokens"))).alias("first"))
     lead = Window.partitionBy("conv").orderBy("block")
     first = F.first("first").over(lead)
+    system = F.when(first["role"] == "system", first["tokens"]).otherwise(0)
     blocks = blocks.select(
         F.col("conv").alias("b_conv"), F.col("block").alias("b_block"), F.coalesce(F.sum("n").over(over), F.lit(0)).alias("b_n"),
-        (F.coalesce(F.sum("total").over(over), F.lit(0)) - F.when(first["role"] == "system", first["tokens"]).otherwise(0)).alias("b_sum"),
+        (F.coalesce(F.sum("total").over(over), F.lit(0)) - system).alias("b_sum"), system.alias("lead"),
     )
     joined = inside.join(blocks, F.col("conv").eqNullSafe(F.col("b_conv")) & (F.col("block") == F.col("b_block")))
-    return joined.select("conv", "role", "head", "body", "tokens", (F.col("at") + F.col("b_n")).alias("number"), (F.col("sum") + F.col("b_sum")).alias("start"))
+    return joined.select("conv", "role", "head", "body", "tokens", (F.col("at") + F.col("b_n")).alias("number"), (F.col("sum") + F.col("b_sum")).alias("start"), "lead")
 
 
 def windows(turns: DataFrame, budget: Budget = Budget()) -> DataFrame:
@@ -106,8 +111,9 @@ def windows(turns: DataFrame, budget: Budget = Budget()) -> DataFrame:
     ``turns`` has the columns of ``with_places``.
     """
     system = (F.col("number") == 0) & (F.col("role") == "system")
-    span = F.floor(F.col("start") / budget.stride)
-    crosses = (F.col("start") + F.col("tokens") > (span + 1) * budget.stride).cast("long")
+    stride = F.greatest(F.lit(budget.stride).cast("long"), F.col("lead") * 2)  # a stretch gives two windows at most
+    span = F.floor(F.col("start") / stride)
+    crosses = (F.col("start") + F.col("tokens") > (span + 1) * stride).cast("long")
     part = F.struct("number", "head", "body", "tokens")
     new = turns.withColumn("window", F.when(system, F.lit(0).cast("long")).otherwise(span * 2 + crosses))
     starts = new.filter(~system).groupBy(F.col("conv").alias("w_conv"), F.col("window").alias("w_window")).agg(F.min("start").alias("w_start"))

@@ -102,6 +102,19 @@ def test_windows_keep_to_the_budget(spark, talks):
     assert all(chat.parse(w.text)[0][0] == "system" for w in windows if w.conv in with_system)
 
 
+def test_a_long_system_turn_is_not_repeated_without_bound(spark):
+    """Output stays within about twice the conversation, and everything is read back, very long turns too."""
+    said_once = "You are a careful assistant. " * 520
+    rows = [(1, 0, "system", said_once)] + [(1, t, ("user", "assistant")[t % 2], f"turn {t} " + "some words here " * 16) for t in range(1, 400)]
+    rows += [(2, 0, "user", "long " * 30_000), (2, 1, "assistant", "also long " * 20_000), (2, 2, "assistant", "short")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    formatted = chat.format_conversations(df, MODEL)
+    given = {c: sum(len(t) + 40 for conv, _, _, t in rows if conv == c) for c in (1, 2)}
+    sizes = {r.conv: r.n for r in formatted.selectExpr("conv", "length(text) AS n").groupBy("conv").sum("n").withColumnRenamed("sum(n)", "n").collect()}
+    assert all(sizes[c] < 2.6 * given[c] for c in given)
+    assert {r.conv_id: tuple(r)[1:5] for r in chat.read_back(formatted).collect()} == said(rows)
+
+
 def test_pipeline_stages_equal_plain_loops(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     bench = [tuple(r) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
