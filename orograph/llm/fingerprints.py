@@ -177,6 +177,33 @@ def with_character_anchors(rows: DataFrame, text_col: str, out: str) -> DataFram
     return rows.select("*", character_anchors(F.col("_points"), F.col("_blank")).alias(out)).drop("_points", "_blank")
 
 
+def edited_anchors(rows: DataFrame, kept: Column, put: Column, out: str) -> DataFrame:
+    """Column ``out``: anchors of the text made of the first ``kept`` characters of a row and the first ``put`` of the next one.
+
+    A window's choice depends on the window alone, so the windows inside of either part are those of ``codes`` and
+    ``next_codes``, at other places; only the windows over the seam are hashed. Texts that are blank or shorter than a
+    window, for which other rules hold, are read directly. ``rows`` has text, codes, next_text, next_codes and edited.
+    """
+    k, low = CHAR_K, F.lit((1 << 32) - 1)
+
+    def place(c: Column) -> Column:
+        return c.bitwiseAND(low)
+
+    rows = rows.select("*", kept.cast("int").alias("_kept"), put.cast("int").alias("_put"))
+    kept, put = F.col("_kept"), F.col("_put")
+    first = F.greatest(kept - (k - 1), F.lit(0))
+    last = F.least(kept + put, kept + (k - 1))
+    direct = ~F.col("text").rlike(r"\S") | ~F.col("next_text").rlike(r"\S") | (kept + put < k) | ~F.col("edited").rlike(r"\S")
+    seam = F.substring(F.col("edited"), first + 1, F.when((last - first < k) | (put == 0) | (kept == 0), F.lit(0)).otherwise(last - first))
+    rows = rows.select("*", direct.alias("_direct"), first.alias("_first"), F.encode(F.when(direct, F.col("edited")).otherwise(seam), "UTF-32").alias("_points"))
+    # what is read directly may be blank; a blank seam between visible parts has anchors
+    found = character_anchors(F.col("_points"), F.col("_direct") & ~F.col("edited").rlike(r"\S"))
+    rows = rows.select("*", F.when(F.col("_direct"), found).when(F.length("_points") == 0, F.array().cast("array<bigint>")).otherwise(F.transform(found, lambda c: c + F.col("_first"))).alias("_seam"))
+    before = F.filter("codes", lambda c: place(c) + k <= kept)
+    after = F.transform(F.filter("next_codes", lambda c: place(c) + k <= put), lambda c: c + kept)
+    return rows.select("*", F.when(F.col("_direct"), F.col("_seam")).otherwise(F.concat(before, "_seam", after)).alias(out)).drop("_kept", "_put", "_direct", "_first", "_points", "_seam")
+
+
 def digest(codes: Column) -> Column:
     """The smallest distinct hashes of anchors, a text of fixed size at most."""
     return as_text(F.slice(F.sort_array(F.array_distinct(F.transform(codes, lambda c: F.shiftrightunsigned(c, 32)))), 1, SIZE))
@@ -287,8 +314,8 @@ def passage_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
-    rows = rows.select("id", n.cast("long").alias("n_chars"), "codes", "next_codes", edited.alias("edited"))
-    rows = with_character_anchors(rows, "edited", "edited_codes")
+    rows = rows.select("id", "text", "next_text", n.cast("long").alias("n_chars"), half.alias("half"), "codes", "next_codes", edited.alias("edited"))
+    rows = edited_anchors(rows, F.col("n_chars") - F.col("half"), F.least("half", F.length("next_text")), "edited_codes").drop("text", "next_text", "half")
     rows = with_matches(with_matches(rows, "codes", "edited_codes", "matched_edited"), "codes", "next_codes", "matched_next")
     return rows.select(
         F.col("id").alias(id_col), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digest(F.col("codes")).alias("fingerprint"),

@@ -78,6 +78,19 @@ def test_matches_equal_plain_loops(spark):
         assert r.n == brute_passages.matched(brute_passages.anchors(a), brute_passages.anchors(b)) and r.near == brute_passages.like(a, b)
 
 
+def test_anchors_of_edited_texts_equal_those_read_directly(spark):
+    rng = random.Random(8)
+    some = [" ", " " * 40, "\n", "", "a", "ab cd", "x" * 30, "é漢 b" * 9, words(rng, 30), words(rng, 200), " " * 20 + words(rng, 6), words(rng, 4) + " " * 30, words(rng, 900), "漢" * 5000]
+    rows = [(k, a, b) for k, (a, b) in enumerate((a, b) for a in some for b in some)]
+    df = spark.createDataFrame(rows, "k int, text string, next_text string").repartition(4)
+    df = fingerprints.with_character_anchors(fingerprints.with_character_anchors(df, "text", "codes"), "next_text", "next_codes")
+    half = fingerprints.F.expr("CAST(floor(length(text) / 2) AS INT)")
+    df = df.select("*", half.alias("half")).selectExpr("*", "concat(substring(text, 1, length(text) - half), substring(next_text, 1, half)) AS edited")
+    df = fingerprints.edited_anchors(df, fingerprints.F.expr("length(text) - half"), fingerprints.F.expr("least(half, length(next_text))"), "quick")
+    bad = [(r.text[:40], r.next_text[:40]) for r in fingerprints.with_character_anchors(df, "edited", "direct").collect() if r.quick != r.direct]
+    assert not bad
+
+
 def test_the_query_gives_these_likenesses(spark, odd, nothing):
     sf = "/root/testdata/sf0.001"
     docs = sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
